@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingloom.llm import language, sentences
+from lingloom.llm import fixed_sample, keyword_spam, language, sentences, stratified, topn
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,8 +23,42 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_spans(_t(spark, sf, "sampled_sources"), "source_id", "source_text")
 
 
+def _drawn(spark: SparkSession, sf: str) -> stratified.Drawn:
+    return stratified.draw(stratified.distinct_items(_t(spark, sf, "sampled_sources")), _t(spark, sf, "sample_targets"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _drawn(spark, sf).report.where("exhausted").select("plan_id", "kind", "length_from")
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _drawn(spark, sf).report.select("plan_id", "kind", "length_from", "wanted", "available", "quota", "exhausted")
+
+
+def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return _drawn(spark, sf).sample.select("plan_id", "kind", "length_from", F.col("item").alias("source_id"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _t(spark, sf, "prefilter_candidates").select("source_id", "candidate_index", "prefilter.score_sample")
+    best = topn.top_n(scored, "source_id", F.col("score_sample"), F.col("candidate_index"), 3)
+    return best.select(F.col("group").alias("source_id"), F.col("tie").alias("candidate_index"))
+
+
+def p7_samples(spark: SparkSession, sf: str) -> DataFrame:
+    segments = _t(spark, sf, "sampled_sources")
+    drawn = fixed_sample.fixed_size_samples(segments, _t(spark, sf, "sample_draws"), "source_id", "shard_id")
+    texts = segments.select("source_id", "source_text")
+    joined = texts.join(drawn, texts["source_id"].eqNullSafe(drawn["key"]))
+    return joined.groupBy("draw_id", "source_id").agg(F.min("source_text").alias("source_text"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return keyword_spam.keyword_pages(_t(spark, sf, "documents")).select(F.col("page").alias("doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found]
+    found = [p1_found, p2_found, p4_found, p4_report, p4_sample, p5_found, p7_samples, p10_found]
     return {f.__name__: f for f in found}
 
 
