@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingloom.llm import fixed_sample, keyword_spam, language, sentences, stratified, topn
+from lingloom.llm import fixed_sample, keyword_spam, language, mixing, packing, sentences, stratified, topn
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,12 +53,32 @@ def p7_samples(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("draw_id", "source_id").agg(F.min("source_text").alias("source_text"))
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_containers(_t(spark, sf, "documents"), _t(spark, sf, "containers"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> mixing.Mixed:
+    return mixing.mix(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf).report.where("exhausted").select("mix_id", "source")
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf).report
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.draw_copies(_mixed(spark, sf)).select("mix_id", F.col("key").alias("doc_id"), F.col("n").alias("n_tokens"), "copies")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return keyword_spam.keyword_pages(_t(spark, sf, "documents")).select(F.col("page").alias("doc_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p4_found, p4_report, p4_sample, p5_found, p7_samples, p10_found]
+    found = [p1_found, p2_found, p4_found, p4_report, p4_sample, p5_found, p7_samples, p8_containers, p9_found, p9_report, p9_mix, p10_found]
     return {f.__name__: f for f in found}
 
 
