@@ -10,12 +10,16 @@ candidate's text is no sentence.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lingloom.llm import sentences as S
+from lingloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -31,8 +35,8 @@ class SpamConfig:
     common_words: int = 30
     languages: int = 100
     least_pages: int = 30
-    extreme: float = 1.5
-    least_words: int = 64
+    extreme: float = 2.5
+    least_words: int = 48
     spam_share: float = 0.5
 
 
@@ -40,43 +44,54 @@ TOKEN_GAP = "[^\\p{L}\\p{M}\\p{N}]+"
 
 
 def rank_frequency(pages: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
-    """(page, lang, n, types, slope, residual, divergence) for each page with a word.
+    """(page, lang hash, n, types, slope, residual, divergence, common) for each page with a word.
 
-    ``pages`` is (page, lang, text). Words are replaced by their 64-bit hash
-    before anything is shuffled, and counted on the map side.
+    ``pages`` is (page, lang, text). The texts are spread by page, which is less
+    to move than their word counts; counting and ranking then need no further
+    shuffle. Words are replaced by a hash. The ranked counts are written once,
+    as the profile of each language and the fits both read them.
     """
-    lang = F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("und"))
     words = F.filter(F.split(F.lower("text"), TOKEN_GAP), lambda w: F.length(w) > 0)
-    tokens = pages.select("page", lang.alias("lang"), F.explode(words).alias("w")).select("page", "lang", F.xxhash64("w").alias("w"))
-    counts = tokens.groupBy("page", "lang", "w").agg(F.count("*").cast("int").alias("c"))
-    by_page = Window.partitionBy("page")
-    ranked = counts.repartition("page").withColumn("n", F.sum("c").over(by_page)).withColumn("r", F.row_number().over(by_page.orderBy(F.desc("c"), "w")))
+    tokens = pages.repartition("page").select("page", language_hash(F.col("lang")).alias("lang"), F.explode(words).alias("w"))
+    # numbers only from here on: such groups are aggregated by hash, without a sort
+    counts = tokens.select("page", "lang", F.hash("w").alias("w")).groupBy("page", "lang", "w").agg(F.count("*").alias("c"))
+    by_page = Window.partitionBy("page").orderBy(F.desc("c"))
+    total = F.sum("c").over(by_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = counts.select("page", "lang", "w", F.col("c").cast("int").alias("c"), F.row_number().over(by_page).alias("r"), total.cast("int").alias("n"))
+    ranked = materialize(ranked)
     share = ranked.groupBy("lang", "w").agg(F.sum(F.col("c") / F.col("n")).alias("s"))
     pages_of = ranked.where("r = 1").groupBy("lang").agg(F.count("*").alias("pages"))
     known = pages_of.orderBy(F.desc("pages"), "lang").limit(config.languages)
     top = share.join(F.broadcast(known), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("s"), "w"))).where(F.col("k") <= config.top_words)
-    profile = F.broadcast(top.select("lang", "w", (F.col("s") / F.col("pages")).alias("q"), (F.col("k") <= config.common_words).alias("common")))
-    rest = F.broadcast(top.groupBy("lang").agg((1 - F.sum(F.col("s") / F.col("pages"))).alias("q_rest")))
-    x, y = F.log("r"), F.log("c")
-    p = F.col("c") / F.col("n")
-    joined = ranked.join(profile, ["lang", "w"], "left")
-    fitted = joined.groupBy("page", "lang").agg(
-        F.max("n").alias("n"),
+    top = materialize(top.select("lang", "w", (F.col("s") / F.col("pages")).alias("q"), (F.col("k") <= config.common_words).alias("common")))
+    rest = top.groupBy("lang").agg((1 - F.sum("q")).alias("q_rest"))
+    x, y, p = F.log(F.col("r").cast("double")), F.log(F.col("c").cast("double")), F.col("c") / F.col("n")
+    sums = ranked.join(F.broadcast(top), ["lang", "w"], "left").groupBy("page", "lang", "n").agg(
         F.count("*").alias("types"),
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_syy(y, x).alias("_syy"),
-        F.regr_sxy(y, x).alias("_sxy"),
-        F.regr_sxx(y, x).alias("_sxx"),
+        F.sum(x).alias("_x"),
+        F.sum(y).alias("_y"),
+        F.sum(x * x).alias("_xx"),
+        F.sum(x * y).alias("_xy"),
+        F.sum(y * y).alias("_yy"),
         F.sum(F.when(F.col("q").isNotNull(), p * F.log(p / F.col("q"))).otherwise(0.0)).alias("_kl"),
         F.sum(F.when(F.col("q").isNull(), p).otherwise(0.0)).alias("_p_rest"),
         F.sum(F.when(F.col("common"), p).otherwise(0.0)).alias("common"),
     )
+    m = F.col("types").cast("double")
+    sxx = F.greatest(F.col("_xx") - F.col("_x") ** 2 / m, F.lit(0.0))
+    sxy = F.col("_xy") - F.col("_x") * F.col("_y") / m
+    syy = F.greatest(F.col("_yy") - F.col("_y") ** 2 / m, F.lit(0.0))
+    slope = F.when(sxx > 1e-12, sxy / sxx).otherwise(0.0)
+    residual = F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0)) / m)
     left = F.greatest(F.coalesce("q_rest", F.lit(1.0)), F.lit(1e-3))
     kl_rest = F.when(F.col("_p_rest") > 0, F.col("_p_rest") * F.log(F.col("_p_rest") / left)).otherwise(0.0)
-    residual = F.sqrt(F.greatest((F.col("_syy") - F.when(F.col("_sxx") > 0, F.col("_sxy") ** 2 / F.col("_sxx")).otherwise(0.0)) / F.col("types"), F.lit(0.0)))
-    return fitted.join(rest, "lang", "left").select(
-        "page", "lang", "n", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce(residual, F.lit(0.0)).alias("residual"), (F.col("_kl") + kl_rest).alias("divergence"), "common"
-    )
+    fitted = sums.join(F.broadcast(rest), "lang", "left").select("page", "lang", "n", "types", slope.alias("slope"), residual.alias("residual"), (F.col("_kl") + kl_rest).alias("divergence"), "common")
+    return materialize(fitted)
+
+
+def language_hash(lang):
+    """A language code as a number; null and blank are a language of their own."""
+    return F.hash(F.coalesce(F.nullif(F.lower(F.trim(lang)), F.lit("")), F.lit("und")))
 
 
 FEATURES = ["slope", "residual", "divergence", "richness", "common"]
@@ -103,55 +118,62 @@ def candidates(scored: DataFrame, config: SpamConfig = SpamConfig()) -> DataFram
     return scored.where(hit)
 
 
-LINK = "(?:https?://|www\\.)[!-~&&[^\"'<>)\\]]]+|</?a\\b[^>]*>|\\[[^\\]\\n]*\\]\\([^)\\s]*\\)"
-_NO_SPACE = "[\\u0e01-\\u0e5b\\u3040-\\u30ff\\u3400-\\u9fff]"
+# How links, words, list marks and ends of sentences look.
+LINK = re.compile(r"(?:https?://|www[.\ue000])[!-&(-;=?-\\^-~\ue000-\ue007]+|</?a\b[^>]*>|\[[^\]\n]*\]\([^)\s]*\)")
+WORD = re.compile(r"(?:[^\W_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])+")
+MARK = re.compile(r"[,;|·•»/、，]| [-–—] |(?:^|\s)#")
+ENDED = re.compile(r"[.!?…。！？\ue000-\ue007][\"'”’»“」』)）]*\s*$")
+THAI = re.compile(r"[\u0e01-\u0e5b]")
+DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 
 
-def no_sentence(unit: Column) -> Column:
+def no_sentence(unit: str) -> int:
     """How many code points of a sentence unit belong to keywords, links or tags."""
-    size = F.length(unit)
-
-    def judged(x: Column) -> Column:
-        plain, words, marks = x["plain"], x["words"], x["marks"]
-        n = F.size(words)
-        distinct = F.size(F.array_distinct(words))
-        ended = plain.rlike("[.!?…。！？][\"'”’»“」』)）]*\\s*$")
-        dense = plain.rlike(_NO_SPACE)
-        letters = F.length(F.regexp_replace(plain, "[^\\p{L}\\p{M}]", ""))
-        links = size - F.length(plain)
-        thai = plain.rlike("[\\u0e01-\\u0e5b]")
-        return (
-            F.when(thai & (letters < (marks + 1) * 20), size)
-            .when(dense & ~thai & (letters < 9), size)
-            .when(~dense & (n <= 4), size)
-            .when(~dense & ~ended & (n <= 6), size)
-            .when((n >= 8) & (distinct < n * 0.6), size)
-            .when((n >= 5) & (distinct < n * 0.5), size)
-            .when(~ended & ~thai & (marks >= 2) & (n <= marks * 5), size)
-            .when(~ended & ~dense & (n > 25), size)
-            .when((marks >= 3) & (n <= marks * 3.5), size)
-            .when((n >= 6) | (dense & (letters >= 12)), 0)
-            .otherwise(links)
-        )
-
-    plain = F.regexp_replace(unit, LINK, "")
-    return S.let(
-        S.let(plain, lambda t: F.struct(
-            t.alias("plain"),
-            F.filter(F.split(F.lower(t), TOKEN_GAP), lambda w: F.length(w) > 0).alias("words"),
-            F.regexp_count(t, F.lit("[,;|·•»/、，]| [-–—] |(?:^|\\s)#")).alias("marks"),
-        )),
-        judged,
-    )
-
-
-def spam_share(text: Column) -> Column:
-    """Share of the text that is no sentence."""
-    parts = F.transform(S.sentences(text), lambda u: F.struct(F.length(u).cast("double").alias("n"), no_sentence(u).cast("double").alias("bad")))
-    total = F.aggregate(
-        parts, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("bad")), lambda a, p: F.struct((a["n"] + p["n"]).alias("n"), (a["bad"] + p["bad"]).alias("bad"))
-    )
-    return S.let(total, lambda a: F.when(a["n"] > 0, a["bad"] / a["n"]).otherwise(0.0))
+    size = len(unit)
+    plain = LINK.sub("", unit)
+    words = WORD.findall(plain.lower())
+    n, distinct = len(words), len(set(words))
+    marks = len(MARK.findall(plain))
+    thai, dense = THAI.search(plain), DENSE.search(plain)
+    ended = ENDED.search(plain)
+    if thai or dense:
+        letters = sum(map(str.isalpha, plain))
+        if letters < (20 * (marks + 1) if thai else 9):
+            return size
+    else:
+        letters = 0
+        if n <= 4 or (n <= 6 and not ended) or (n > 25 and not ended):
+            return size
+    if (n >= 8 and distinct < n * 0.6) or (n >= 5 and distinct < n * 0.5):
+        return size
+    if not thai and not ended and marks >= 2 and n <= marks * 5:
+        return size
+    if marks >= 3 and n <= marks * 3.5:
+        return size
+    return 0 if n >= 6 or letters >= 12 else size - len(plain)
+
+
+def share_of(marked: str) -> float:
+    """Share of a text, cut into sentences by break characters, that is no sentence."""
+    total = bad = 0
+    for unit in marked.split(S.BREAK):
+        unit = unit.strip()
+        if unit:
+            total += len(unit)
+            bad += no_sentence(unit)
+    return bad / total if total else 0.0
+
+
+def with_share(df: DataFrame, marked: str) -> DataFrame:
+    """Replace the column of marked texts by ``share``."""
+    fields = [T.StructField("share", T.DoubleType()) if f.name == marked else f for f in df.schema.fields]
+
+    def run(batches):
+        for b in batches:
+            k = b.schema.get_field_index(marked)
+            yield b.set_column(k, "share", pa.array([share_of(t) for t in b.column(k).to_pylist()], type=pa.float64()))
+
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", config: SpamConfig = SpamConfig()) -> DataFrame:
@@ -164,9 +186,5 @@ def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     pages = docs.select(F.col(key).alias("page"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     found = candidates(extremes(rank_frequency(pages.where(F.col("text").isNotNull()), config), config), config)
     few = found.select("page", "slope_z", "residual_z", "divergence_z", "richness_z", "common_z")
-    return (
-        pages.join(few, "page")
-        .select("page", "slope_z", "residual_z", "divergence_z", "richness_z", "common_z", spam_share(F.col("text")).alias("share"))
-        .where(F.col("share") >= config.spam_share)
-        .dropDuplicates(["page"])
-    )
+    kept = pages.join(few, "page").select("page", "slope_z", "residual_z", "divergence_z", "richness_z", "common_z", S.mark_breaks(S.mask(F.col("text"))).alias("_m"))
+    return with_share(kept, "_m").where(F.col("share") >= config.spam_share).dropDuplicates(["page"])
