@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lingloom.llm.sentences import BREAK, mark_breaks, mask
+from lingloom.llm.sentences import let
 from lingloom.session import materialize
 
 # Languages, each with its commonest function words (none where the script decides).
@@ -87,10 +88,9 @@ class LanguageConfig:
 
 def normal_code(code: Column) -> Column:
     """Two-letter base of a language code in any usual spelling; null if it names no language."""
-    base = F.substring_index(F.regexp_replace(F.lower(F.trim(code)), "_", "-"), "-", 1)
+    base = F.substring_index(F.lower(F.trim(F.translate(code, "_", "-"))), "-", 1)
     names = F.create_map(*[F.lit(x) for pair in ISO3.items() for x in pair])
-    short = F.coalesce(F.when(F.length(base) == 3, F.element_at(names, base)), base)
-    return F.when(short.rlike("^[a-z]{2}$") & ~short.isin("xx", "na", "zz"), short)
+    return let(base, lambda b: F.when(F.length(b) == 3, F.element_at(names, b)).when((F.length(b) == 2) & b.rlike("^[a-z]{2}$") & ~b.isin("xx", "na", "zz"), b))
 
 
 def address_suffix(url: Column) -> Column:
@@ -99,25 +99,25 @@ def address_suffix(url: Column) -> Column:
     return F.nullif(F.regexp_extract(host, "\\.([a-z]{2,})$", 1), F.lit(""))
 
 
-def marked(text: Column) -> Column:
-    """The text with a break character after each sentence, blanks inside quotations restored."""
-    return mark_breaks(mask(text))
-
-
 class WordScorer:
     """Log-likelihoods of sentences. Words are looked up, never searched for."""
 
+    # Addresses, short quotations and codes are passed over; what is captured is a word, or an end of a
+    # unit. Units need not be whole sentences: to cut at an abbreviation makes two units of one language.
     WORD = re.compile(
-        r"(?:https?://|www[.\ue000])[^\s" + BREAK + END + r"]*"
-        r"|[“„«「『‹\"][^“”„«»「」『』‹›\"" + BREAK + END + r"]{1,40}[”“»」』›\"]"
+        r"(?:https?://|www\.)[!-~]*"
+        r"|[“„«「『‹\"][^“”„«»「」『』‹›\"\n" + END + r"]{1,40}[”“»」』›\"]"
         r"|[^\W\d_]*[0-9][0-9A-Za-z-]*"
-        r"|([^\W\d_]+|[" + BREAK + END + r"])"
+        r"|([^\W\d_]+"
+        r"|[\n\r\u0085\u2028\u2029" + END + r"]|[。！？｡।؟۔]+"
+        r"|(?<=\w\w)[.!?…]+(?=[\s”»“\"')\]）]|[^\W\d_a-z])|(?<=[”»“\")）\]])[.!?…]+"
+        r"|(?<=[\u0e01-\u0e5b])[ ](?=[^\s\u0e01-\u0e5b])|(?<=[^\s\u0e01-\u0e5b])[ ](?=[\u0e01-\u0e5b]))"
     )
 
     def __init__(self, words: dict[str, list[float]]):
         zero = [0.0] * len(LANGUAGES)
         rows = [zero, zero, zero]  # no evidence, end of a sentence, end of a text
-        self.ids = {BREAK: 1, END: 2, "": 0}
+        self.ids = {END: 2, "": 0}
         self.script_ids = []
         for name, low, high, codes in SCRIPTS:
             v = [-8.0] * len(LANGUAGES)
@@ -134,9 +134,9 @@ class WordScorer:
         self.plain = len(rows)
         rows.append(plain)
         for word, v in words.items():
-            self.ids[word] = len(rows)
-            rows.append(v)
-        self.first_word = self.plain + 1
+            if len(word) > 1 or word >= "\u0370":
+                self.ids[word] = len(rows)
+                rows.append(v)
         self.fixed = dict(self.ids)
         self.rows = np.array(rows, dtype=np.float32)
         self.strong = np.ones(len(rows), dtype=bool)
@@ -154,6 +154,10 @@ class WordScorer:
         return Memo(start)
 
     def classify(self, word: str) -> int:
+        if not word[0].isalpha():
+            return 1
+        if len(word) == 1 and word < "\u0370":
+            return 0  # single Latin letters are initials and abbreviations as often as words
         found = self.fixed.get(word.lower())
         if found is not None:
             return found
@@ -173,7 +177,8 @@ class WordScorer:
         best), and one byte: whether any word spoke for a language."""
         if len(self.look) > 400_000:
             self.look = self._memo(self.fixed)
-        tokens = self.WORD.findall("".join(t + BREAK + END for t in texts))
+        blank = [not t or (len(t) < 40 and t.strip("[](){}<>\"' .\t\n").lower() in PLACEHOLDERS) for t in texts]
+        tokens = self.WORD.findall("".join(("" if b else t.replace(END, " ")) + "\n" + END for t, b in zip(texts, blank)))
         ids = np.fromiter(map(self.look.__getitem__, tokens), dtype=np.int32, count=len(tokens))
         ends = np.flatnonzero(ids == 1)
         if not len(ends):
@@ -185,7 +190,7 @@ class WordScorer:
         packed = np.empty((len(total), len(LANGUAGES) + 1), dtype=np.int8)
         packed[:, :-1] = np.maximum(np.round(total * 4), -127)
         packed[:, -1] = known
-        of_text = np.searchsorted(np.flatnonzero(ids == 2), ends)  # each text ends in BREAK END
+        of_text = np.searchsorted(np.flatnonzero(ids == 2), ends)  # each text ends in a line end and END
         cuts = np.searchsorted(of_text, np.arange(len(texts) + 1))
         return [packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
@@ -199,17 +204,18 @@ def seed_words() -> dict[str, list[float]]:
     return words
 
 
-def score_sentences(df: DataFrame, words, marked_column: str, out: str = "packed") -> DataFrame:
-    """Replace the column of marked texts by their packed sentence scores; ``words`` is a broadcast word table."""
-    fields = [T.StructField(out, T.BinaryType()) if f.name == marked_column else f for f in df.schema.fields]
+def score_sentences(df: DataFrame, words, text_column: str, out: str = "packed") -> DataFrame:
+    """Replace the column of texts by their packed scores, unit by unit; ``words`` is a broadcast word table."""
+    fields = [T.StructField(out, T.BinaryType()) if f.name == text_column else f for f in df.schema.fields]
 
     def run(batches):
         scorer = _scorer(words)
-        for pdf in batches:
-            pdf[marked_column] = scorer.score(list(pdf[marked_column]))
-            yield pdf.rename(columns={marked_column: out})
+        for b in batches:
+            k = b.schema.get_field_index(text_column)
+            packed = pa.array(scorer.score(b.column(k).to_pylist()), type=pa.binary())
+            yield b.set_column(k, out, packed)
 
-    return df.mapInPandas(run, T.StructType(fields))
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 _SCORERS: dict[int, WordScorer] = {}
@@ -302,64 +308,91 @@ def host_priors(records: DataFrame, config: LanguageConfig = LanguageConfig()) -
     return logged, {c: float(np.log(base[i])) for i, c in enumerate(LANGUAGES)}
 
 
-def _decode(config: LanguageConfig, base: list[float]):
-    """Runs of one language in each record, by the sentences' scores and the record's prior."""
+def _viterbi(x: np.ndarray, switch: float) -> np.ndarray:
+    """Best path through sentence scores with a price for each change of language."""
+    at = x[0].copy()
+    back = np.zeros(x.shape, dtype=np.int16)
+    stay = np.arange(x.shape[1])
+    for k in range(1, len(x)):
+        best = int(at.argmax())
+        jump = at[best] - switch
+        moved = jump > at
+        back[k] = np.where(moved, best, stay)
+        at = np.where(moved, jump, at) + x[k]
+    path = np.empty(len(x), dtype=np.int16)
+    path[-1] = at.argmax()
+    for k in range(len(x) - 1, 0, -1):
+        path[k - 1] = back[k][path[k]]
+    return path
+
+
+RUNS = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("first", pa.int32()), ("last", pa.int32())])
+
+
+def decode_batch(packed: list[bytes], priors: list, declared: list, base: np.ndarray, config: LanguageConfig) -> pa.Array:
+    """Runs of one language in each record: evidence of its sentences fused with what is known of the record.
+
+    Records whose sentences all agree, the great majority, are decided for the
+    whole batch at once; only mixed ones walk the trellis.
+    """
     width = len(LANGUAGES)
     miss = np.log((1 - config.declared_trust) / (width - 1))
     hit = np.log(config.declared_trust)
+    about = np.array([base if q is None else q for q in priors], dtype=np.float32).reshape(-1, width) * config.prior_weight
+    code = np.array([INDEX.get(d, -1) for d in declared], dtype=np.int32)
+    named = np.flatnonzero(code >= 0)
+    about[named] += miss
+    about[named, code[named]] += hit - miss
+    about -= about.max(axis=1, keepdims=True)
+    a = np.frombuffer(b"".join(packed), dtype=np.int8).reshape(-1, width + 1)
+    size = np.fromiter((len(p) for p in packed), dtype=np.int64, count=len(packed)) // (width + 1)
+    start = np.concatenate(([0], np.cumsum(size)))
+    owner = np.repeat(np.arange(len(packed)), size)
+    known = a[:, -1] != 0
+    spoken = np.bincount(owner[known], minlength=len(packed))
+    evidence = a[:, :-1].astype(np.float32) / 4
+    evidence[~known] = 0.0
+    # what is known of the record speaks once, not for every sentence, and not for names and numbers
+    x = evidence + (about / np.maximum(spoken, 1)[:, None])[owner] * known[:, None]
+    tops = x.argmax(axis=1).astype(np.int16)
+    first_known = np.full(len(packed), -1, dtype=np.int64)
+    rows = np.flatnonzero(known)[::-1]
+    first_known[owner[rows]] = rows
+    lead = np.where(first_known >= 0, tops[np.maximum(first_known, 0)] if len(tops) else 0, -1)
+    mixed = np.zeros(len(packed), dtype=bool)
+    mixed[owner[known & (tops != lead[owner])]] = True
+    path = lead[owner].astype(np.int16)
+    for r in np.flatnonzero(mixed):
+        path[start[r] : start[r + 1]] = _viterbi(x[start[r] : start[r + 1]], config.switch)
+    z = np.exp(evidence + about[owner] - (evidence + about[owner]).max(axis=1, keepdims=True))
+    sure = z[np.arange(len(z)), np.maximum(path, 0)] / z.sum(axis=1)
+    begins = np.ones(len(path), dtype=bool)
+    begins[1:] = (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])
+    begins &= spoken[owner] > 0
+    at = np.flatnonzero(begins)
+    if not len(at):
+        return pa.array([[] for _ in packed], type=pa.list_(RUNS))
+    counted = np.where(known, 1.0, 0.0)
+    ends = np.minimum(np.concatenate((at[1:], [len(path)])), start[owner[at] + 1])
+    sums = np.concatenate(([0.0], np.cumsum(sure * counted)))
+    ns = np.concatenate(([0.0], np.cumsum(counted)))
+    confidence = (sums[ends] - sums[at]) / np.maximum(ns[ends] - ns[at], 1)
+    names = pa.array(LANGUAGES).take(pa.array(path[at].astype(np.int32)))
+    flat = pa.StructArray.from_arrays(
+        [names, pa.array(np.round(confidence, 4)), pa.array((at - start[owner[at]]).astype(np.int32)), pa.array((ends - 1 - start[owner[at]]).astype(np.int32))], fields=list(RUNS)
+    )
+    runs_of = np.bincount(owner[at], minlength=len(packed))
+    offsets = np.concatenate(([0], np.cumsum(runs_of))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
 
-    def viterbi(x: np.ndarray) -> np.ndarray:
-        at = x[0].copy()
-        back = np.zeros(x.shape, dtype=np.int16)
-        stay = np.arange(width)
-        for k in range(1, len(x)):
-            best = int(at.argmax())
-            jump = at[best] - config.switch
-            moved = jump > at
-            back[k] = np.where(moved, best, stay)
-            at = np.where(moved, jump, at) + x[k]
-        path = np.empty(len(x), dtype=np.int16)
-        path[-1] = at.argmax()
-        for k in range(len(x) - 1, 0, -1):
-            path[k - 1] = back[k][path[k]]
-        return path
-
-    def decode(packed, prior, declared):
-        result = []
-        for p, q, d in zip(packed, prior, declared):
-            a = np.frombuffer(p, dtype=np.int8).reshape(-1, width + 1)
-            spoken = np.flatnonzero(a[:, -1]) if len(a) else []
-            if not len(spoken):
-                result.append([])
-                continue
-            evidence = a[:, :-1].astype(np.float64) / 4
-            evidence[a[:, -1] == 0] = 0.0
-            about = np.array(base if q is None else q) * config.prior_weight
-            if d in INDEX:
-                about = about + miss
-                about[INDEX[d]] += hit - miss
-            about = about - about.max()
-            # what is known of the record speaks once, not for every sentence
-            x = evidence + about / len(spoken)
-            tops = x[spoken].argmax(axis=1)
-            path = np.full(len(x), tops[0], dtype=np.int16) if (tops == tops[0]).all() else viterbi(x)
-            z = evidence + about
-            post = np.exp(z - z.max(axis=1, keepdims=True))
-            post /= post.sum(axis=1, keepdims=True)
-            runs, first = [], 0
-            for k in range(1, len(path) + 1):
-                if k == len(path) or path[k] != path[first]:
-                    inside = [j for j in range(first, k) if a[j, -1]]
-                    sure = float(np.mean([post[j, path[first]] for j in inside])) if inside else 0.0
-                    runs.append({"lang": LANGUAGES[path[first]], "confidence": round(sure, 4), "first": first, "last": k - 1})
-                    first = k
-            result.append(runs)
-        return result
+def _decode(config: LanguageConfig, base: list[float]):
+    known = np.array(base, dtype=np.float32)
 
     def run(batches):
-        for pdf in batches:
-            pdf["runs"] = decode(pdf["packed"], pdf["prior"], pdf["declared"])
-            yield pdf[["origin", "rec_key", "declared", "runs"]]
+        for b in batches:
+            runs = decode_batch(b.column("packed").to_pylist(), b.column("prior").to_pylist(), b.column("declared").to_pylist(), known, config)
+            yield pa.RecordBatch.from_arrays([b.column("origin"), b.column("rec_key"), b.column("declared"), runs], names=["origin", "rec_key", "declared", "runs"])
 
     return run
 
@@ -377,9 +410,7 @@ def identify(records: DataFrame, config: LanguageConfig = LanguageConfig(), word
     words = fit_words(records, config) if words is None else words
     shipped = spark.sparkContext.broadcast(words)
     priors, base = host_priors(records, config)
-    placeholder = F.lower(F.trim(F.regexp_replace("text", "^[\\[(<{\\s]+|[\\])>}\\s.]+$", ""))).isin(PLACEHOLDERS)
-    text = F.when(F.col("text").isNull() | placeholder, "").otherwise(marked(F.col("text")))
-    prepared = records.select("origin", "rec_key", "host", F.coalesce("suffix", F.lit("")).alias("suffix"), normal_code(F.col("declared")).alias("declared"), text.alias("_m"))
+    prepared = records.select("origin", "rec_key", "host", F.coalesce("suffix", F.lit("")).alias("suffix"), normal_code(F.col("declared")).alias("declared"), F.col("text").alias("_m"))
     scored = score_sentences(prepared, shipped, "_m")
     # a host may hold a third of all rows: its records go to several partitions, its prior to each of them
     salted = scored.withColumn("_salt", F.pmod(F.xxhash64("origin", "rec_key"), F.lit(config.salts)))
@@ -388,7 +419,7 @@ def identify(records: DataFrame, config: LanguageConfig = LanguageConfig(), word
     fused = salted.join(spread, on, "left").select(salted["host"], salted["_salt"], "origin", "rec_key", "declared", "packed", "prior")
     once = fused.groupBy("origin", "rec_key").agg(F.max_by(F.struct("declared", "packed", "prior"), F.coalesce("declared", F.lit(""))).alias("x")).select("origin", "rec_key", "x.*")
     schema = "origin string, rec_key string, declared string, runs array<struct<lang string, confidence double, first int, last int>>"
-    return once.mapInPandas(_decode(config, [base[c] for c in LANGUAGES]), schema)
+    return once.mapInArrow(_decode(config, [base[c] for c in LANGUAGES]), schema)
 
 
 def mislabelled(identified: DataFrame) -> DataFrame:

@@ -90,12 +90,17 @@ def _mask_straight(text: Column) -> Column:
     return F.when(F.contains(text, F.lit('"')), F.array_join(lines, "\n")).otherwise(text)
 
 
-def mask(text: Column) -> Column:
-    """``text`` with every mark that ends no sentence replaced, position for position."""
-    t = F.translate(text, PRIVATE_USE, "�" * len(PRIVATE_USE))
+def _mask_quotations(t: Column) -> Column:
     for opener, closer in QUOTES:
         t = let(t, _quoted_by(opener, closer))
-    t = let(t, _mask_straight)
+    return let(t, _mask_straight)
+
+
+def mask(text: Column) -> Column:
+    """``text`` with every mark that ends no sentence replaced, position for position."""
+    # rare characters are looked for before anything is replaced: most texts have none
+    t = let(text, lambda x: F.when(x.rlike(f"[{PRIVATE_USE}]"), F.translate(x, PRIVATE_USE, "�" * len(PRIVATE_USE))).otherwise(x))
+    t = let(t, lambda x: F.when(x.rlike("[“«„「『‹\"]"), _mask_quotations(x)).otherwise(x))
     # inside numbers, versions, addresses, "i.e": a dot right before a small letter or digit.
     # The patterns start with the mark itself: a position without one costs one comparison.
     t = F.regexp_replace(t, "\\.(?=[\\p{Ll}\\p{N}])(?<=[\\p{L}\\p{N}_/\\-]\\.)", DOT)
