@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingloom.llm import fixed_sample, keyword_spam, language, mixing, packing, sentences, stratified, topn
+from lingloom.llm import defects, fixed_sample, keyword_spam, language, mixing, near_duplicates, packing, sentences, stratified, topn
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,22 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_spans(_t(spark, sf, "sampled_sources"), "source_id", "source_text")
 
 
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    final = _t(spark, sf, "final_dataset")
+    words = language.fit_words(language.corpus_records(spark, sf))
+    unlabelled = language.corpus_records(spark, sf).where("origin = 'final_dataset'").withColumn("declared", F.lit(None).cast("string"))
+    spoken = language.identify(unlabelled, words=words)
+    return defects.label(defects.votes_of_pairs(final, spoken))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defects.one_defect(_labels(spark, sf))
+
+
+def p3_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return _labels(spark, sf)
+
+
 def _drawn(spark: SparkSession, sf: str) -> stratified.Drawn:
     return stratified.draw(stratified.distinct_items(_t(spark, sf, "sampled_sources")), _t(spark, sf, "sample_targets"))
 
@@ -45,6 +61,15 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(F.col("group").alias("source_id"), F.col("tie").alias("candidate_index"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = near_duplicates.expand(near_duplicates.near_duplicates(_t(spark, sf, "sampled_sources")))
+    return pairs.select(F.col("a").alias("source_id_a"), F.col("b").alias("source_id_b"))
+
+
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.class_links(near_duplicates.near_duplicates(_t(spark, sf, "sampled_sources"))).withColumnRenamed("key", "source_id")
+
+
 def p7_samples(spark: SparkSession, sf: str) -> DataFrame:
     segments = _t(spark, sf, "sampled_sources")
     drawn = fixed_sample.fixed_size_samples(segments, _t(spark, sf, "sample_draws"), "source_id", "shard_id")
@@ -78,7 +103,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p4_found, p4_report, p4_sample, p5_found, p7_samples, p8_containers, p9_found, p9_report, p9_mix, p10_found]
+    found = [p1_found, p2_found, p3_found, p3_labels, p4_found, p4_report, p4_sample, p5_found, p6_found, p6_classes, p7_samples, p8_containers, p9_found, p9_report, p9_mix, p10_found]
     return {f.__name__: f for f in found}
 
 
