@@ -32,14 +32,15 @@ class NearDuplicateConfig:
     """gram: code points of an element. threshold: least Jaccard similarity. least_length: code points a text must
     have. slots: counters of the frequency sketch that orders elements (its size, and so what is broadcast, does not
     grow with the data). block: records of one element that are compared in one task; larger groups are cut into
-    pairs of blocks. chunk: pairs looked at in one array."""
+    pairs of blocks. chunk: pairs looked at in one array. texts_at_once: texts whose branches are built together (both bound memory)."""
 
     gram: int = 5
     threshold: float = 0.7
     least_length: int = 150
     slots: int = 1 << 20
     block: int = 20_000
-    chunk: int = 2_000_000
+    chunk: int = 200_000
+    texts_at_once: int = 256
 
 
 BLANKS = re.compile(r"\s+")
@@ -52,6 +53,10 @@ def normal_text(text: str) -> str:
 
 def gram_hashes(text: str, k: int) -> np.ndarray:
     """Distinct 64-bit hashes of the ``k``-code-point substrings of a normalised text."""
+    return np.unique(hashes_in_order(text, k))
+
+
+def hashes_in_order(text: str, k: int) -> np.ndarray:
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     if len(a) < k:
         return np.zeros(0, dtype=np.uint64)
@@ -62,7 +67,7 @@ def gram_hashes(text: str, k: int) -> np.ndarray:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return h
 
 
 def _slot(h: np.ndarray, slots: int) -> np.ndarray:
@@ -76,9 +81,9 @@ def frequency_sketch(texts: DataFrame, config: NearDuplicateConfig) -> np.ndarra
     def count(batches):
         seen = np.zeros(slots, dtype=np.int64)
         for b in batches:
-            hs = [_slot(gram_hashes(t, k), slots) for t in b.column(0).to_pylist()]
-            if hs:
-                seen += np.bincount(np.concatenate(hs), minlength=slots)
+            for at in range(0, b.num_rows, config.texts_at_once):
+                hs = [_slot(gram_hashes(t, k), slots) for t in b.slice(at, config.texts_at_once).column(0).to_pylist()]
+                np.add.at(seen, np.concatenate(hs), 1)
         for at in range(0, slots, part):
             piece = seen[at : at + part]
             if piece.any():
@@ -128,7 +133,8 @@ def tree_prefixes(texts: DataFrame, counts, config: NearDuplicateConfig) -> Data
 
     def run(batches):
         seen = counts.value
-        for b in batches:
+        small = (b.slice(at, config.texts_at_once) for b in batches for at in range(0, b.num_rows, config.texts_at_once))
+        for b in small:
             cols: list[list] = [[], [], [], [], [], []]
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = gram_hashes(text, k)
@@ -312,11 +318,10 @@ def verify(candidates: DataFrame, reps: DataFrame, counts, config: NearDuplicate
 
         def ordered(text: str) -> list:
             if text not in known:
-                if len(known) > 2000:
+                if len(known) > 256:
                     known.clear()
-                grams = {text[i : i + k] for i in range(len(text) - k + 1)}
-                key = {g: (int(seen[_slot(gram_hashes(g, k), slots)][0]), g) for g in grams}
-                known[text] = sorted(key.values())
+                often = seen[_slot(hashes_in_order(text, k), slots)].tolist()
+                known[text] = sorted(set(zip(often, (text[i : i + k] for i in range(len(text) - k + 1)))))
             return known[text]
 
         for b in batches:
