@@ -24,11 +24,13 @@ from lingloom.session import materialize
 @dataclass(frozen=True)
 class PackingConfig:
     """quadratic: tokens at which the attention term equals the linear one. shard_tokens: tokens of a shard
-    (and at least shard_containers containers), the bound of what one task holds."""
+    (and at least shard_containers containers), the bound of what one task holds.
+    most_kinds: kinds of container, more are an error."""
 
     quadratic: float = 4096.0
     shard_tokens: int = 4_000_000
     shard_containers: int = 500
+    most_kinds: int = 1000
     tokenizer: TokenizerConfig = TokenizerConfig()
 
 
@@ -97,9 +99,14 @@ def fill_containers(docs: DataFrame, containers: DataFrame, key: str = "doc_id",
     """
     sized = with_tokens(docs.select(F.col(key).alias("key"), F.col(text).alias("n_tokens")), "n_tokens", config=config.tokenizer)
     sized = materialize(sized.groupBy("key").agg(F.max("n_tokens").alias("n")))
-    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("cap")).where("cap > 0")
+    listed = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("cap")).where("cap > 0").distinct().limit(config.most_kinds + 1).collect()
+    if len(listed) > config.most_kinds:
+        raise ValueError(f"more than {config.most_kinds} kinds of container")
+    kinds = F.array(*[F.struct(F.lit(r["container_kind"]).alias("container_kind"), F.lit(r["cap"]).cast("long").alias("cap")) for r in listed])
+    if not listed:
+        kinds = F.array().cast("array<struct<container_kind:string,cap:long>>")
     whole = F.floor(F.col("n") / F.col("cap"))
-    cut = sized.crossJoin(F.broadcast(kinds)) if kinds.limit(1001).count() <= 1000 else sized.join(kinds, F.lit(True))
+    cut = sized.select("key", "n", F.explode(kinds).alias("k")).select("key", "n", "k.*")
     cut = cut.withColumn("full", whole).withColumn("rest", F.col("n") - F.col("full") * F.col("cap"))
     # full pieces fill containers of their own
     alone = cut.where("full > 0").select("container_kind", "cap", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece_no"))
