@@ -143,7 +143,7 @@ def tree_prefixes(texts: DataFrame, counts, config: NearDuplicateConfig) -> Data
                     continue
                 often = seen[_slot(h, slots)]
                 order = np.lexsort((h, often))[: n - math.ceil(t * n) + 1]
-                element, blocks = h[order].view(np.int64), -(-often[order] // most)
+                element, blocks = h[order].view(np.int64), -(-often[order].astype(np.int64) // most)
                 depth = np.arange(len(order), dtype=np.int32)
                 mine = np.zeros(len(order), dtype=np.int32)
                 if (blocks > 1).any():

@@ -108,5 +108,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_ITEMS = "it AS (SELECT source_id, max(lower(trim(kind))) AS kind, max(length_approx) AS len FROM sampled_sources GROUP BY source_id), n AS (SELECT count(*) AS n FROM it)"
+_REPORT = f"""{_ITEMS}, r AS (SELECT plan_id, kind, length_from, greatest(min_rows::DOUBLE, round(target_share * sample_fraction * n, 6)) AS wanted,
+  (SELECT count(*) FROM it WHERE it.kind = lower(trim(t.kind)) AND it.len >= t.length_from AND it.len < t.length_to) AS available FROM sample_targets t, n)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that a plain engine can express on whole tables; the others are tested against brute force."""
+    return {
+        "p4_found": f"WITH {_REPORT} SELECT plan_id, kind, length_from FROM r WHERE available < wanted",
+        "p4_report": f"WITH {_REPORT} SELECT plan_id, kind, length_from, wanted, available, least(available, floor(wanted + 0.5)::BIGINT) AS quota, available < wanted AS exhausted FROM r",
+        "p5_found": """WITH d AS (SELECT DISTINCT source_id, candidate_index, prefilter.score_sample AS s FROM prefilter_candidates WHERE prefilter.score_sample IS NOT NULL AND NOT isnan(prefilter.score_sample))
+SELECT source_id, candidate_index FROM d QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY s, candidate_index) <= 3""",
+    }

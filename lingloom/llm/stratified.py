@@ -62,7 +62,8 @@ def draw(items: DataFrame, plan: DataFrame, config: StratifiedConfig = Stratifie
     # counts: first by (kind, length), so that few rows meet the plan
     sizes = items.groupBy("kind", "length").count()
     have = sizes.alias("i").join(strata.alias("s"), inside).groupBy("s.plan_id", "s.kind", "s.length_from").agg(F.sum("count").alias("available"))
-    wanted = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.col("sample_fraction") * F.lit(float(n)))
+    # rounded, as a product of shares that is 60 in exact arithmetic may come out a hair above
+    wanted = F.greatest(F.col("min_rows").cast("double"), F.round(F.col("target_share") * F.col("sample_fraction") * F.lit(float(n)), 6))
     report = (
         rows.join(F.broadcast(have) if plan_rows <= config.small_plan else have, ["plan_id", "kind", "length_from"], "left")
         .withColumn("available", F.coalesce("available", F.lit(0)))
