@@ -32,9 +32,11 @@ ABBREVIATIONS_WITHIN = [
 ]
 # Abbreviations that end a sentence unless it visibly goes on.
 ABBREVIATIONS_EITHER = [
-    "Co", "Corp", "Inc", "Ltd", "Cía", "Cia", "Bros", "Jr", "al", "etc", "usw", "др", "пр", "руб", "коп", "г", "гг", "в", "вв", "тыс", "млн", "ч", "мин",
-    "km", "cm", "mm", "kg", "min", "sec", "hrs", "кг", "км",
+    "Bros", "Jr", "etc", "usw", "др", "пр", "руб", "коп", "г", "гг", "в", "вв", "тыс", "млн", "ч", "мин",
 ]
+# The same for companies and co-authors, after which an article begins a sentence of its own.
+ABBREVIATIONS_OF_NAMES = ["Co", "Corp", "Inc", "Ltd", "Cía", "Cia", "al"]
+ARTICLES = ["the", "a", "an", "our", "el", "la", "los", "las", "un", "una", "nuestro", "nuestra", "o", "os", "um", "uma", "le", "les", "une", "notre"]
 # Thai words with which a clause goes on after a blank ...
 THAI_CONTINUES = [
     "เพราะ", "เนื่องจาก", "เพื่อ(?!น)", "แม้", "ขณะที่", "ในขณะที่", "ก่อนที่", "หลังจาก", "ซึ่ง", "จนกระทั่ง", "ตามที่(?!คาด)", "ในชื่อ", "รายการ", "หน้า(?!ร้อน)", "กำลัง",
@@ -111,7 +113,7 @@ def mask(text: Column) -> Column:
     t = F.regexp_replace(
         t,
         "\\.(?:"
-        "(?=[,;:])"  # before a comma and the like
+        "(?=[,;:]|[ \\u00a0\\u202f]+[!?])"  # before a comma and the like, or a mark set off by a blank
         "|(?=\\s)(?<=(?:^|[\\n\\r])[ \\t]{0,4}\\p{N}{1,3}\\.)"  # after a list number
         f"|(?=[\\s)\\p{{Lu}}\\p{{N}}º])(?<={no_word}(?:{within})\\.)"  # after a title or the like
         "|(?=\\s?\\p{Lu}[\\p{Ll}" + DOT + ".])(?<=(?<![\\p{L}\\p{N}\\-])\\p{Lu}\\.)"  # after an initial
@@ -123,7 +125,15 @@ def mask(text: Column) -> Column:
         ")",
         DOT,
     )
-    t = F.regexp_replace(t, f"\\.(?=\\)|[ ]+[\\p{{Ll}}\\p{{N}}(])(?<={no_word}(?:{either}|\\p{{Ll}})\\.)", DOT)
+    names, articles = "|".join(ABBREVIATIONS_OF_NAMES), "|".join(ARTICLES)
+    in_brackets = "\\)(?!\\s+[\\p{Lu}“„«\"¿¡(])"
+    goes_on = "[\\p{Ll}\\p{N}]|\\((?!\\p{Lu})"
+    t = F.regexp_replace(
+        t,
+        f"\\.(?:(?={in_brackets}|[ ]+(?:{goes_on}))(?<={no_word}(?:{either}|\\p{{Ll}})\\.)"
+        f"|(?={in_brackets}|[ ]+(?!(?:{articles})[ ])(?:{goes_on}))(?<={no_word}(?:{names})\\.))",
+        DOT,
+    )
     return let(t, lambda x: F.when(x.rlike("[\\u0e01-\\u0e5b]"), _mask_thai(x)).otherwise(x))
 
 
@@ -135,8 +145,11 @@ def _mask_thai(t: Column) -> Column:
     opened = "|".join(w.replace(".", DOT) for w in THAI_OPEN)
     return F.regexp_replace(
         t,
-        f"(?= )(?<=[\\u0e01-\\u0e45\\u0e47-\\u0e4e\\p{{N}}\\p{{Lu}}\\p{{Ll}}”»\"){DOT}])(?<!(?:{opened}))(?<!(?:^|[\\n\\r])[ \\t]{{0,4}}\\p{{N}}{{1,3}}{DOT})( +)"
-        f"(?=[\\u0e01-\\u0e4e(“]|[\\p{{IsCyrillic}}\\p{{IsHangul}}\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}]|\\p{{Lu}}[\\p{{L}}'’]*(?: [\\p{{L}}'’]+){{3}})(?!(?:{goes_on}))",
+        # before Thai, after anything; before another script only after Thai or after a code
+        f"(?= )(?:(?<=[\\u0e01-\\u0e45\\u0e47-\\u0e4e\\p{{N}}\\p{{Lu}}\\p{{Ll}}”»\"){DOT}])(?= +(?:[\\u0e01-\\u0e4e“]|\\([\\u0e01-\\u0e4e][^()\\n]{{24}}))"
+        f"|(?<=[\\u0e01-\\u0e45\\u0e47-\\u0e4e”»)]|[0-9]-[\\p{{Lu}}\\p{{N}}]{{3}}|[\\u0e01-\\u0e4e]{DOT})"
+        f"(?= +(?:[\\p{{IsCyrillic}}\\p{{IsHangul}}\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}]|[\\p{{Lu}}„“«][\\p{{L}}'’]*,?(?: [\\p{{L}}'’]+,?){{3}})))"
+        f"(?<!(?:{opened}))(?<!(?:^|[\\n\\r])[ \\t]{{0,4}}\\p{{N}}{{1,3}}{DOT})( +)(?!(?:{goes_on}))",
         f"$1{BREAK}",
     )
 
@@ -152,7 +165,7 @@ def mark_breaks(masked: Column) -> Column:
         f"|([。！？｡]+{_CLOSERS})(?=[^\\s。！？｡…!?.」』”’）)])"
         f"|(…+{_CLOSERS})(?=[\\p{{L}}（(“「«])"
         f"|([!?]+{_CLOSERS})(?=[\\p{{L}}（(“「«])"
-        f"|((?<=[\\p{{L}}\\p{{N}})”»])\\.+{_CLOSERS})(?=[\\p{{Lu}}{_CJK}“«(])"
+        f"|((?<=[\\p{{L}}\\p{{N}})”»“」\"])\\.+{_CLOSERS})(?=[\\p{{Lu}}{_CJK}“«(])"
         f"|([\"”»“]+)(?=\\s+[\\p{{Lu}}¿¡])(?<=[{MASKED}]{{1,3}}[\"”»“]{{1,2}}))",
         f"$1$2$3$4$5$6$7{BREAK}",
     )
