@@ -51,13 +51,14 @@ def rank_frequency(pages: DataFrame, config: SpamConfig = SpamConfig()) -> DataF
     shuffle. Words are replaced by a hash. The ranked counts are written once,
     as the profile of each language and the fits both read them.
     """
-    words = F.filter(F.split(F.lower("text"), TOKEN_GAP), lambda w: F.length(w) > 0)
-    tokens = pages.repartition("page").select("page", language_hash(F.col("lang")).alias("lang"), F.explode(words).alias("w"))
+    # gaps are greedy, so that only the first and the last part can be empty
+    parts = pages.repartition("page").select("page", language_hash(F.col("lang")).alias("lang"), F.split(F.lower("text"), TOKEN_GAP, -1).alias("p"))
+    sized = parts.select("page", "lang", "p", (F.size("p") - (F.col("p")[0] == "").cast("int") - (F.element_at("p", -1) == "").cast("int")).alias("n"))
     # numbers only from here on: such groups are aggregated by hash, without a sort
-    counts = tokens.select("page", "lang", F.hash("w").alias("w")).groupBy("page", "lang", "w").agg(F.count("*").alias("c"))
-    by_page = Window.partitionBy("page").orderBy(F.desc("c"))
-    total = F.sum("c").over(by_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranked = counts.select("page", "lang", "w", F.col("c").cast("int").alias("c"), F.row_number().over(by_page).alias("r"), total.cast("int").alias("n"))
+    tokens = sized.select("page", "lang", "n", F.explode("p").alias("w")).where("w <> ''").select("page", "lang", "n", F.hash("w").alias("w"))
+    counts = tokens.groupBy("page", "lang", "n", "w").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("c")))
+    ranked = counts.select("page", "lang", "w", F.col("c").cast("int").alias("c"), rank.alias("r"), "n")
     ranked = materialize(ranked)
     share = ranked.groupBy("lang", "w").agg(F.sum(F.col("c") / F.col("n")).alias("s"))
     pages_of = ranked.where("r = 1").groupBy("lang").agg(F.count("*").alias("pages"))
@@ -65,18 +66,22 @@ def rank_frequency(pages: DataFrame, config: SpamConfig = SpamConfig()) -> DataF
     top = share.join(F.broadcast(known), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("s"), "w"))).where(F.col("k") <= config.top_words)
     top = materialize(top.select("lang", "w", (F.col("s") / F.col("pages")).alias("q"), (F.col("k") <= config.common_words).alias("common")))
     rest = top.groupBy("lang").agg((1 - F.sum("q")).alias("q_rest"))
-    x, y, p = F.log(F.col("r").cast("double")), F.log(F.col("c").cast("double")), F.col("c") / F.col("n")
-    sums = ranked.join(F.broadcast(top), ["lang", "w"], "left").groupBy("page", "lang", "n").agg(
+    x, y = F.log(F.col("r").cast("double")), F.log(F.col("c").cast("double"))
+    known_word = F.col("q").isNotNull()
+    sums = ranked.join(F.broadcast(top), ["lang", "w"], "left").groupBy("page", "lang").agg(
         F.count("*").alias("types"),
+        F.sum("c").alias("n"),
         F.sum(x).alias("_x"),
         F.sum(y).alias("_y"),
         F.sum(x * x).alias("_xx"),
         F.sum(x * y).alias("_xy"),
         F.sum(y * y).alias("_yy"),
-        F.sum(F.when(F.col("q").isNotNull(), p * F.log(p / F.col("q"))).otherwise(0.0)).alias("_kl"),
-        F.sum(F.when(F.col("q").isNull(), p).otherwise(0.0)).alias("_p_rest"),
-        F.sum(F.when(F.col("common"), p).otherwise(0.0)).alias("common"),
+        F.sum(F.when(known_word, F.col("c")).otherwise(0)).alias("_c"),
+        F.sum(F.when(known_word, F.col("c") * (y - F.log("q"))).otherwise(0.0)).alias("_cq"),
+        F.sum(F.when(F.col("common"), F.col("c")).otherwise(0)).alias("_common"),
     )
+    # sum of p*log(p/q) over words of the profile, with p = c/n; all other words are one more
+    sums = sums.withColumn("_kl", F.col("_cq") / F.col("n") - F.col("_c") / F.col("n") * F.log(F.col("n").cast("double"))).withColumn("_p_rest", 1 - F.col("_c") / F.col("n")).withColumn("common", F.col("_common") / F.col("n"))
     m = F.col("types").cast("double")
     sxx = F.greatest(F.col("_xx") - F.col("_x") ** 2 / m, F.lit(0.0))
     sxy = F.col("_xy") - F.col("_x") * F.col("_y") / m

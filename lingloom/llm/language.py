@@ -122,17 +122,27 @@ class WordScorer:
         for name, low, high, codes in SCRIPTS:
             v = [-8.0] * len(LANGUAGES)
             for k, code in enumerate(codes):
-                v[INDEX[code]] = -2.5 * k if name == "han" else -1.5 * k
+                v[INDEX[code]] = -1.5 * k
             if name == "han":
                 v[INDEX["ko"]] = -6.0
             self.script_ids.append((low, high, len(rows)))
             rows.append(v)
+        # Japanese seldom goes on in Chinese characters alone: the longer such a run, the less likely
+        self.han = next(k for (low, _, k), s in zip(self.script_ids, SCRIPTS) if s[0] == "han")
+        self.long_han = []
+        for penalty in (-4.0, -8.0):
+            v = list(rows[self.han])
+            v[INDEX["ja"]] = penalty
+            self.long_han.append(len(rows))
+            rows.append(v)
         plain = list(zero)  # a Latin word that no language knows: no East Asian prose, else nothing
         for code in LANGUAGES:
             if code not in LATIN:
                 plain[INDEX[code]] = -0.3
         self.plain = len(rows)
         rows.append(plain)
+        self.small = len(rows)  # the same in small letters: no name, so all the less East Asian prose
+        rows.append([5 * x for x in plain])
         for word, v in words.items():
             if len(word) > 1 or word >= "\u0370":
                 self.ids[word] = len(rows)
@@ -140,7 +150,7 @@ class WordScorer:
         self.fixed = dict(self.ids)
         self.rows = np.array(rows, dtype=np.float32)
         self.strong = np.ones(len(rows), dtype=bool)
-        self.strong[[0, 1, 2, self.plain]] = False
+        self.strong[[0, 1, 2, self.plain, self.small]] = False
         self.look = self._memo(self.fixed)
 
     def _memo(self, start: dict[str, int]) -> dict[str, int]:
@@ -170,7 +180,11 @@ class WordScorer:
                         if best is None or k < best:
                             best = k
                         break
-        return self.plain if best is None else best
+        if best == self.han and len(word) >= 4:
+            return self.long_han[len(word) >= 8]
+        if best is None:
+            return self.small if len(word) > 2 and word.islower() else self.plain
+        return best
 
     def score(self, texts: list[str]) -> list[bytes]:
         """For each text its sentences' scores, one signed byte a language (quarters of a nat under the
