@@ -55,18 +55,25 @@ def balanced_sample(df: DataFrame, key: str, bucket: Column, config: BalancedCon
     """A sample with equal shares of the buckets, deficits filled from the extras of others.
 
     The reservoir of a bucket is its lowest hashes: the same distribution as a
-    one-pass reservoir, but reproducible. Ranks above a bucket's capacity are
-    dropped before the shuffle by the window's group limit.
+    one-pass reservoir, but reproducible. A histogram of the hashes' first digits
+    tells below which digits a bucket's reservoir lies, so that only about
+    ``oversample * size`` rows are shuffled and ranked, however many there are.
     """
     buckets = max(1, len(config.boundaries) - 1)
     wanted = quotas(config.size, buckets)
     room = capacities(wanted, config.oversample)
-    most = max(room)
     rows = df.withColumn("_b", bucket).withColumn("_h", order_key(config.seed, f"{salt}keep", F.col(key)))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))).where(F.col("_r") <= most)
-    quota, cap = (F.array(*[F.lit(x) for x in v]) for v in (wanted, room))
+    cap, quota = (F.array(*[F.lit(x) for x in v]) for v in (room, wanted))
+    digits = F.substring("_h", 1, 4)
+    bins = rows.groupBy("_b", digits.alias("_d")).count()  # at most 65,536 a bucket
+    upto = F.sum("count").over(Window.partitionBy("_b").orderBy("_d"))
+    cuts = bins.withColumn("_n", upto).where(F.col("_n") >= F.get(cap, F.col("_b"))).groupBy("_b").agg(F.min("_d").alias("_d")).collect()
+    inside = F.lit(True)
+    for r in cuts:
+        inside = inside & ((F.col("_b") != r["_b"]) | (digits <= r["_d"]))
+    ranked = rows.where(inside).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     kept = ranked.where(F.col("_r") <= F.get(cap, F.col("_b"))).withColumn("_extra", F.col("_r") > F.get(quota, F.col("_b")))
-    # extras come after all quotas, in an order of their own; the whole is at most oversample * size rows
+    # extras come after all quotas, in an order of their own
     first = kept.withColumn("_h2", order_key(config.seed, f"{salt}fill", F.col(key)))
     return first.orderBy("_extra", "_h2", key).limit(config.size).drop("_h", "_h2", "_r", "_extra", "_b")
 
@@ -100,9 +107,8 @@ def split_train_eval(df: DataFrame, key: str, ratio: float, seed: int) -> DataFr
     digit group it falls into is ranked, not the table.
     """
     rows = df.withColumn("_h", order_key(seed, "split", F.col(key)))
-    n = df.count()
-    k = eval_size(n, ratio)
     digits = rows.groupBy(F.substring("_h", 1, 3).alias("_d")).count().collect()  # 4096 groups
+    k = eval_size(sum(r["count"] for r in digits), ratio)
     below, cut, rest = 0, None, 0
     for r in sorted(digits, key=lambda r: r["_d"]):
         if below + r["count"] >= k:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -43,16 +44,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def remove_materialized() -> None:
+    """Delete the tables written by ``materialize``; also runs when the driver ends."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session is gone, and with it the means to delete
+            continue
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     A written table survives the loss of executors and is read column by column.
-    The files are removed when the application ends if the cluster cleans its
-    checkpoint folder; each call uses a fresh name.
+    Each call uses a fresh name; the files are removed when the driver ends, or
+    by ``remove_materialized``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lingloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
