@@ -15,6 +15,7 @@ word); what leaves it is one small integer for each language and sentence.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -222,8 +223,10 @@ def score_sentences(df: DataFrame, words, text_column: str, out: str = "packed")
     """Replace the column of texts by their packed scores, unit by unit; ``words`` is a broadcast word table."""
     fields = [T.StructField(out, T.BinaryType()) if f.name == text_column else f for f in df.schema.fields]
 
+    token = uuid.uuid4().hex
+
     def run(batches):
-        scorer = _scorer(words)
+        scorer = _scorer(token, words)
         for b in batches:
             k = b.schema.get_field_index(text_column)
             packed = pa.array(scorer.score(b.column(k).to_pylist()), type=pa.binary())
@@ -232,17 +235,15 @@ def score_sentences(df: DataFrame, words, text_column: str, out: str = "packed")
     return df.mapInArrow(run, T.StructType(fields))
 
 
-_SCORERS: dict[int, WordScorer] = {}
+_SCORERS: dict[str, WordScorer] = {}
 
 
-def _scorer(words) -> WordScorer:
-    """One scorer for each Python worker, made from the broadcast word table."""
-    table = words.value
-    key = id(table)
-    if key not in _SCORERS:
+def _scorer(token: str, words) -> WordScorer:
+    """The present scorer of this Python worker, made once from the broadcast word table."""
+    if token not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[key] = WordScorer(table)
-    return _SCORERS[key]
+        _SCORERS[token] = WordScorer(words.value)
+    return _SCORERS[token]
 
 
 def best_language(packed: pd.Series) -> pd.Series:

@@ -208,7 +208,8 @@ def sentence_spans(df: DataFrame, key: str, text: str) -> DataFrame:
         (F.length("_p") - F.length(F.ltrim("_p", F.lit(BLANKS)))).alias("_lead"),
         F.length(F.rtrim("_p", F.lit(BLANKS))).alias("_stop"),
     )
-    once = found.repartition(F.col(key)).groupBy(key, "_i").agg(F.first("_n").alias("_n"), F.first("_lead").alias("_lead"), F.first("_stop").alias("_stop"))
+    # by key and number first: replays are merged before the shuffle, and a much replayed key is spread
+    once = found.groupBy(key, "_i").agg(F.first("_n").alias("_n"), F.first("_lead").alias("_lead"), F.first("_stop").alias("_stop"))
     before = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     return (
         once.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -50,7 +50,8 @@ def top_n(df: DataFrame, group: str, score: Column, tie: Column, n: int, config:
     listed = spark.createDataFrame([(k,) for k in heavy_keys], rows.select("group").withColumnRenamed("group", "_key").schema)
     on = rows["group"].eqNullSafe(listed["_key"])
     light = _best(rows.join(F.broadcast(listed), on, "left_anti"), [F.col("group")], order, n)
-    heavy = rows.join(F.broadcast(listed), on, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    # replays are merged on the map side before anything of a heavy group moves
+    heavy = rows.join(F.broadcast(listed), on, "left_semi").distinct().withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
     ranges = config.ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = heavy.repartitionByRange(ranges, "group", "score", "tie", "_salt").drop("_salt").withColumn("_range", F.spark_partition_id())
     local = _best(spread, [F.col("group"), F.col("_range")], order, n).drop("_range").distinct()
