@@ -37,7 +37,8 @@ def raw_lines(text: Column, config: SegmentConfig = SegmentConfig(), is_list: bo
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SegmentConfig = SegmentConfig()) -> DataFrame:
     """(doc, pos, line). A null text gives no line."""
     is_list = docs.schema[text].dataType.typeName() == "array"
-    return docs.select(F.col(key).alias("doc"), F.posexplode(raw_lines(F.col(text), config, is_list)).alias("pos", "line"))
+    # outer: else a filter on the array's size is inferred, and the array computed twice
+    return docs.select(F.col(key).alias("doc"), F.posexplode_outer(raw_lines(F.col(text), config, is_list)).alias("pos", "line")).where("line is not null")
 
 
 def merge_short(lines: DataFrame, threshold: int) -> DataFrame:

@@ -462,7 +462,7 @@ def _tokens(spark, sf):
 
 @query(f"WITH {_TOKENS} SELECT row_id, i - 1 AS pos, s::BIGINT AS start_at, e::BIGINT AS end_at FROM off")
 def token_offsets(spark, sf):
-    return _tokens(spark, sf).select("row_id", F.posexplode("offsets").alias("pos", "o")).select("row_id", F.col("pos").cast("long").alias("pos"), F.col("o.start").cast("long").alias("start_at"), F.col("o.end").cast("long").alias("end_at"))
+    return _tokens(spark, sf).select("row_id", F.posexplode_outer("offsets").alias("pos", "o")).where("pos is not null").select("row_id", F.col("pos").cast("long").alias("pos"), F.col("o.start").cast("long").alias("start_at"), F.col("o.end").cast("long").alias("end_at"))
 
 
 def _span_sql(policy: str, how: str) -> str:
@@ -473,7 +473,7 @@ def _span_sql(policy: str, how: str) -> str:
 def _span_query(policy: str, how: str) -> Query:
     def run(spark, sf):
         r = K.span_token_rewards(F.col("offsets"), F.col("spans"), policy, how)
-        return _tokens(spark, sf).select("row_id", F.posexplode(r).alias("pos", "reward")).select("row_id", F.col("pos").cast("long").alias("pos"), "reward")
+        return _tokens(spark, sf).select("row_id", F.posexplode_outer(r).alias("pos", "reward")).where("pos is not null").select("row_id", F.col("pos").cast("long").alias("pos"), "reward")
 
     run.__name__ = f"span_token_rewards_{policy.split('_')[0]}_{how}"
     return run
@@ -501,7 +501,7 @@ def _advantages(spark, sf):
 
 
 def _token_rows(df: DataFrame) -> DataFrame:
-    return df.select("row_id", F.posexplode("advantages").alias("pos", "a")).select("row_id", F.col("pos").cast("long").alias("pos"), F.round("a", 6).alias("advantage"))
+    return df.select("row_id", F.posexplode_outer("advantages").alias("pos", "a")).where("pos is not null").select("row_id", F.col("pos").cast("long").alias("pos"), F.round("a", 6).alias("advantage"))
 
 
 @query(f"""WITH {_ADV}, m AS (SELECT row_id, src, avg(a) AS s FROM adv GROUP BY row_id, src), g AS (SELECT src, avg(s) AS mean, stddev_pop(s) AS sd FROM m GROUP BY src)
