@@ -55,7 +55,8 @@ def rank_frequency(pages: DataFrame, config: SpamConfig = SpamConfig()) -> DataF
     parts = pages.repartition("page").select("page", language_hash(F.col("lang")).alias("lang"), F.split(F.lower("text"), TOKEN_GAP, -1).alias("p"))
     sized = parts.select("page", "lang", "p", (F.size("p") - (F.col("p")[0] == "").cast("int") - (F.element_at("p", -1) == "").cast("int")).alias("n"))
     # numbers only from here on: such groups are aggregated by hash, without a sort
-    tokens = sized.select("page", "lang", "n", F.explode("p").alias("w")).where("w <> ''").select("page", "lang", "n", F.hash("w").alias("w"))
+    # outer: else a filter on the array's size is inferred, and the text split twice
+    tokens = sized.select("page", "lang", "n", F.explode_outer("p").alias("w")).where("w <> ''").select("page", "lang", "n", F.hash("w").alias("w"))
     counts = tokens.groupBy("page", "lang", "n", "w").agg(F.count("*").alias("c"))
     rank = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("c")))
     ranked = counts.select("page", "lang", "w", F.col("c").cast("int").alias("c"), rank.alias("r"), "n")

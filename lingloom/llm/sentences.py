@@ -201,7 +201,8 @@ def sentence_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     lengths are shuffled, never texts, and rows of one key are merged before the
     shuffle.
     """
-    found = df.select(F.col(key), F.posexplode(pieces(F.col(text))).alias("_i", "_p")).select(
+    # outer: else a filter on the array's size is inferred, and the pieces computed twice
+    found = df.select(F.col(key), F.posexplode_outer(pieces(F.col(text))).alias("_i", "_p")).where("_p is not null").select(
         key,
         "_i",
         F.length("_p").alias("_n"),
