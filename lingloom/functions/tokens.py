@@ -154,3 +154,54 @@ def budget(prompt: Column, target: Column, most: int, end: str) -> Column:
 
 def pad(ids: Column, width: Column, filler: str) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(filler), F.greatest(F.lit(0), width - F.size(ids))))
+
+
+def union_ids(*ids: Column) -> Column:
+    """Ids of several lists in order, each once; null lists count as empty."""
+    return F.array_distinct(F.concat(*[F.coalesce(i, F.array().cast("array<int>")) for i in ids]))
+
+
+def coerce_ids(raw: Column) -> Column:
+    """Token ids from text: a JSON list, a list of lists, one number, or numbers set apart by blanks.
+
+    Null and blank give an empty list, anything else an error.
+    """
+    t = F.trim(raw)
+    flat = F.from_json(t, "array<int>", {"mode": "PERMISSIVE"})
+    nested = F.flatten(F.from_json(t, "array<array<int>>", {"mode": "PERMISSIVE"}))
+    spaced = F.transform(F.split(t, "\\s+"), lambda x: x.try_cast("int"))
+    return (
+        F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<int>"))
+        .when(t.rlike("^\\[\\s*\\["), nested)
+        .when(t.startswith("["), flat)
+        .when(t.rlike("^-?\\d+(\\s+-?\\d+)*$"), spaced)
+        .otherwise(F.raise_error(F.concat(F.lit("no token ids: "), F.substring(t, 1, 120))).cast("array<int>"))
+    )
+
+
+SPAN = "struct<start:int,end:int,severity:string,confidence:double>"
+
+
+def error_spans(metadata: Column, expected: Column) -> Column:
+    """Error spans of each of ``expected`` samples from a scorer's JSON metadata.
+
+    Known layouts: a list with an entry a sample (an object with error_spans, or a
+    list of spans), an object with error_spans (a list a sample, or the spans of
+    the first), an object with samples. Missing samples get no spans, surplus ones
+    are dropped.
+    """
+    lenient = {"mode": "PERMISSIVE"}
+    one = lambda j: F.when(j.startswith("["), F.from_json(j, f"array<{SPAN}>", lenient)).otherwise(F.from_json(j, f"struct<error_spans:array<{SPAN}>>", lenient)["error_spans"])
+    items = lambda j: F.from_json(j, "array<string>", lenient)
+    nothing = F.array().cast(f"array<{SPAN}>")
+    kept = lambda spans: F.coalesce(F.filter(spans, lambda s: s.isNotNull()), nothing)
+    t = F.coalesce(F.trim(metadata), F.lit(""))
+    inner = F.coalesce(F.get_json_object(t, "$.error_spans"), F.lit(""))
+    per_sample = (
+        F.when(t.startswith("["), F.transform(items(t), lambda j: kept(one(j))))
+        .when(inner.rlike("^\\[\\s*\\["), F.transform(items(inner), lambda j: kept(one(j))))
+        .when(inner.startswith("["), F.array(kept(F.from_json(inner, f"array<{SPAN}>", lenient))))
+        .otherwise(F.transform(items(F.coalesce(F.get_json_object(t, "$.samples"), F.lit("[]"))), lambda j: kept(one(j))))
+    )
+    filled = F.concat(F.coalesce(per_sample, F.array().cast(f"array<array<{SPAN}>>")), F.array_repeat(nothing, F.greatest(F.lit(0), expected)))
+    return F.slice(filled, F.lit(1), expected)

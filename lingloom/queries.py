@@ -13,6 +13,7 @@ from lingloom.functions import text as X
 from lingloom.functions import tokens as K
 from lingloom.operators import advantage as A
 from lingloom.operators import candidates as C
+from lingloom.operators import external as EXT
 from lingloom.operators import filters as R
 from lingloom.operators import sample as B
 from lingloom.operators import segment as G
@@ -357,6 +358,21 @@ def progress_counts(spark, sf):
     return KV.progress_counts(rows("prefilter_candidates", "prefilter").union(rows("sampled_sources", "sample")))
 
 
+class _Echo:
+    """A generator stand-in: the request in capitals."""
+
+    def complete(self, request):
+        return request.upper()
+
+
+@query(f"WITH {_LATEST}, asked AS (SELECT source_id, max(source_text) AS s FROM sampled_sources GROUP BY source_id) SELECT a.source_id, md5(CASE WHEN l.source_id IS NULL THEN upper(a.source_id) ELSE l.text END) AS text_md5, l.source_id IS NOT NULL AS cached FROM asked a LEFT JOIN (SELECT * FROM latest WHERE candidate_index = 0 AND {O.strip('text')} <> '') l ON a.source_id = l.source_id")
+def cached_completions(spark, sf):
+    asked = t(spark, sf, "sampled_sources").select("source_id", F.col("source_id").alias("request")).distinct()
+    cache = _cache(spark, sf).where("candidate_index = 0").select(F.col("source_id").alias("key"), F.col("text").alias("value"))
+    done = EXT.complete_with_cache(asked, "source_id", "request", cache, _Echo)
+    return done.select("source_id", F.md5(F.encode("completion", "UTF-8")).alias("text_md5"), "cached")
+
+
 # ---- prompts, examples, token budget --------------------------------------------------------------------------------
 
 
@@ -548,6 +564,38 @@ for _algorithm in ("grpo", "reinforce"):
     query(_loss_sql(_algorithm))(_loss(_algorithm))
 
 
+@query("SELECT row_id, CASE row_id % 5 WHEN 0 THEN row_id || ',7' WHEN 1 THEN '1,' || row_id WHEN 2 THEN row_id || ',5,6' WHEN 3 THEN '' ELSE row_id::VARCHAR END AS ids FROM (SELECT DISTINCT row_id FROM final_dataset)")
+def token_ids(spark, sf):
+    r = F.col("row_id").cast("string")
+    m = F.col("row_id") % 5
+    raw = F.when(m == 0, F.concat(F.lit("["), r, F.lit(", 7]"))).when(m == 1, F.concat(F.lit("[[1], ["), r, F.lit("]]"))).when(m == 2, F.concat(r, F.lit(" 5  6"))).when(m == 3, "").otherwise(r)
+    rows = t(spark, sf, "final_dataset").select("row_id").distinct()
+    return rows.select("row_id", F.array_join(K.coerce_ids(raw).cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '1,2,' || (3 + row_id) ELSE '2,' || (3 + row_id) || ',1' END AS ids FROM (SELECT DISTINCT row_id FROM final_dataset)")
+def stop_ids(spark, sf):
+    rows = t(spark, sf, "final_dataset").select("row_id").distinct()
+    n = (F.lit(3) + F.col("row_id")).cast("int")
+    own = F.when(F.col("row_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2), n))
+    return rows.select("row_id", F.array_join(K.union_ids(own, F.array(F.lit(2), n, F.lit(1))).cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT row_id, pos, row_id % 7 AS start_at, CASE row_id % 4 WHEN 3 THEN 'MINOR' ELSE 'MAJOR' END AS severity FROM (SELECT DISTINCT row_id FROM final_dataset), (VALUES (0), (1)) AS p(pos) WHERE (row_id % 4 IN (0, 3) AND pos = 1) OR (row_id % 4 = 1 AND pos = 0) OR row_id % 4 = 2")
+def span_extraction(spark, sf):
+    rows = t(spark, sf, "final_dataset").select("row_id").distinct()
+    s = lambda severity: F.concat(F.lit('{"start": '), (F.col("row_id") % 7).cast("string"), F.lit(f', "end": 9, "severity": "{severity}"}}'))
+    m = F.col("row_id") % 4
+    meta = (
+        F.when(m == 0, F.concat(F.lit('[null, {"error_spans": ['), s("MAJOR"), F.lit("]}]")))
+        .when(m == 1, F.concat(F.lit('{"error_spans": ['), s("MAJOR"), F.lit("]}")))
+        .when(m == 2, F.concat(F.lit('{"error_spans": [['), s("MAJOR"), F.lit("], ["), s("MAJOR"), F.lit("], ["), s("MAJOR"), F.lit("]]}")))
+        .otherwise(F.concat(F.lit('{"samples": [[], ['), s("MINOR"), F.lit("]]}")))
+    )
+    spans = rows.select("row_id", F.posexplode(K.error_spans(meta, F.lit(2))).alias("pos", "spans")).select("row_id", "pos", F.explode("spans").alias("s"))
+    return spans.select("row_id", F.col("pos").cast("int").alias("pos"), F.col("s.start").cast("long").alias("start_at"), F.col("s.severity").alias("severity"))
+
+
 # ---- reports --------------------------------------------------------------------------------------------------------
 
 

@@ -40,7 +40,7 @@ def test_query(spark, con, name):
     assert all(alike(x, y) for g, w in zip(got, want) for x, y in zip(g, w))
 
 
-WITH_PYTHON = {"model_score_udf", "blobs", "pool_mix", "token_offsets", "group_advantage", "batch_advantage", "policy_loss_grpo", "policy_loss_reinforce", "eval_report", "severity_counts", "reward_stats", "pipeline_verdicts", "pipeline_final"}
+WITH_PYTHON = {"model_score_udf", "cached_completions", "blobs", "pool_mix", "token_offsets", "group_advantage", "batch_advantage", "policy_loss_grpo", "policy_loss_reinforce", "eval_report", "severity_counts", "reward_stats", "pipeline_verdicts", "pipeline_final"}
 
 
 @pytest.mark.parametrize("name", sorted(Q.queries()))
