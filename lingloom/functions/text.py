@@ -17,6 +17,11 @@ HTML_TAG = "<[^>]+>"
 CODE_HINT = "[{};]{2,}|</?[\\p{L}\\p{N}_]+>|(?<![\\p{L}\\p{N}_])(class|def|function|import|return)(?![\\p{L}\\p{N}_])"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: a lambda variable, not a copied expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
@@ -38,9 +43,12 @@ def word_set(text: Column) -> Column:
 
 def jaccard_overlap(a: Column, b: Column) -> Column:
     """Shared words over all words of two texts; 0 if either has none."""
-    union = F.size(F.array_union(word_set(a), word_set(b)))
-    empty = (F.size(word_set(a)) == 0) | (F.size(word_set(b)) == 0)
-    return F.when(empty, F.lit(0.0)).otherwise(F.size(F.array_intersect(word_set(a), word_set(b))) / F.greatest(union, F.lit(1)))
+    def of(x: Column) -> Column:
+        shared = F.size(F.array_intersect(x["a"], x["b"]))
+        union = F.size(x["a"]) + F.size(x["b"]) - shared
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), F.lit(0.0)).otherwise(shared / F.greatest(union, F.lit(1)))
+
+    return let(F.struct(word_set(a).alias("a"), word_set(b).alias("b")), of)
 
 
 def json_string(text: Column) -> Column:
@@ -63,9 +71,12 @@ def shard_of(key: Column, shards: int) -> Column:
 
 def is_noise(text: Column) -> Column:
     """Blank, a bare address, a short piece of markup, or a short piece of code."""
-    s = strip(text)
-    n = F.length(s)
-    return (n == 0) | s.rlike(URL_ONLY) | ((F.regexp_count(s, F.lit(HTML_TAG)) >= 3) & (n < 200)) | (s.rlike(CODE_HINT) & (n < 300))
+    def of(s: Column) -> Column:
+        n = F.length(s)
+        short = (n < 300) & (((n < 200) & (F.regexp_count(s, F.lit(HTML_TAG)) >= 3)) | s.rlike(CODE_HINT))
+        return (n == 0) | s.rlike(URL_ONLY) | short
+
+    return let(strip(text), of)
 
 
 def split_lines(text: Column) -> Column:

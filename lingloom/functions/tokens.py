@@ -81,22 +81,25 @@ def span_token_rewards(
     if policy not in ("any_overlap", "majority_overlap") or combine_policy not in ("sum", "min", "max"):
         raise ValueError("unknown overlap or combine policy")
 
-    def penalty(s: Column) -> Column:
+    def weighed(s: Column) -> Column:
         w = severity_weight(s["severity"], weights)
-        return w * F.coalesce(s["confidence"], F.lit(1.0)) if use_confidence else w
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (w * F.coalesce(s["confidence"], F.lit(1.0)) if use_confidence else w).alias("w"))
 
-    def of_token(o: Column) -> Column:
+    def of_token(o: Column, live: Column) -> Column:
         overlap = lambda s: F.least(o["end"], s["end"]) - F.greatest(o["start"], s["start"])
         width = o["end"] - o["start"]
-        hit = lambda s: (s["end"] > s["start"]) & (width > 0) & (overlap(s) > 0) & (penalty(s) != 0.0) & (
-            F.lit(True) if policy == "any_overlap" else overlap(s) / F.greatest(width, F.lit(1)) >= threshold
-        )
-        hits = F.transform(F.filter(spans, hit), penalty)
+        enough = lambda s: overlap(s) > 0 if policy == "any_overlap" else (overlap(s) > 0) & (overlap(s) / F.greatest(width, F.lit(1)) >= threshold)
+        hits = F.filter(live, enough)
         if combine_policy == "sum":
-            return F.aggregate(hits, F.lit(0.0), lambda a, x: a + x)
-        return F.coalesce(F.array_min(hits) if combine_policy == "min" else F.array_max(hits), F.lit(0.0))
-
-    return F.transform(offsets, of_token)
+            total = F.aggregate(hits, F.lit(0.0), lambda a, s: a + s["w"])
+        else:
+            ws = F.transform(hits, lambda s: s["w"])
+            total = F.coalesce(F.array_min(ws) if combine_policy == "min" else F.array_max(ws), F.lit(0.0))
+        return F.when(width > 0, total).otherwise(F.lit(0.0))
+
+    # spans are weighed and sifted once a row, not once a token
+    sifted = F.filter(F.transform(spans, weighed), lambda s: (s["end"] > s["start"]) & (s["w"] != 0.0))
+    return F.transform(F.array(sifted), lambda live: F.transform(offsets, lambda o: of_token(o, live)))[0]
 
 
 def policy_token_loss(new: Column, old: Column, advantage: Column, ref: Column | None, clip: float, kl: float, algorithm: str = "grpo") -> Column:

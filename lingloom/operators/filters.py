@@ -26,27 +26,40 @@ class FilterConfig:
 def rule_verdict(source: Column, target: Column, config: FilterConfig = FilterConfig()) -> Column:
     """struct(passed, reason_code, notes) of the first rule that fails, in a fixed order. A null target is empty."""
     clean = X.strip(F.coalesce(target, F.lit("")))
-    low = F.lower(clean)
-    hits = F.filter(F.array(*[F.lit(b) for b in config.blocked]).cast("array<string>"), lambda b: F.contains(low, F.lower(b)))
-    ratio = F.length(clean) / F.greatest(F.lit(1), F.length(X.strip(F.coalesce(source, F.lit("")))))
-    overlap = X.jaccard_overlap(F.coalesce(source, F.lit("")), clean)
-    reason = (
-        F.when(clean == "", "empty")
-        .when(F.length(clean) < config.min_chars, "too_short")
-        .when(F.length(clean) > config.max_chars, "too_long")
-        .when(F.size(hits) > 0, "blocked_substring")
-        .when(ratio < config.length_ratio_min, "ratio_too_small")
-        .when(ratio > config.length_ratio_max, "ratio_too_large")
-        .when(overlap > config.max_copy_overlap, "copy_overlap")
-        .otherwise("pass")
-    )
-    notes = (
-        F.when(reason == "blocked_substring", F.get(hits, F.lit(0)))
-        .when(reason.isin("ratio_too_small", "ratio_too_large"), F.format_string("ratio=%.3f", ratio))
-        .when(reason == "copy_overlap", F.format_string("overlap=%.3f", overlap))
-        .otherwise("")
-    )
-    return F.struct((reason == "pass").alias("passed"), reason.alias("reason_code"), notes.alias("notes"))
+    given = F.coalesce(source, F.lit(""))
+    blocked = F.array(*[F.lit(b) for b in config.blocked]).cast("array<string>")
+
+    def measured(x: Column) -> Column:
+        low = F.lower(x["clean"])
+        return F.struct(
+            F.length(x["clean"]).alias("n"),
+            F.get(F.filter(blocked, lambda b: F.contains(low, F.lower(b))), F.lit(0)).alias("hit"),
+            (F.length(x["clean"]) / F.greatest(F.lit(1), F.length(x["given"]))).alias("ratio"),
+            X.jaccard_overlap(x["source"], x["clean"]).alias("overlap"),
+        )
+
+    def verdict(m: Column) -> Column:
+        reason = (
+            F.when(m["n"] == 0, "empty")
+            .when(m["n"] < config.min_chars, "too_short")
+            .when(m["n"] > config.max_chars, "too_long")
+            .when(m["hit"].isNotNull(), "blocked_substring")
+            .when(m["ratio"] < config.length_ratio_min, "ratio_too_small")
+            .when(m["ratio"] > config.length_ratio_max, "ratio_too_large")
+            .when(m["overlap"] > config.max_copy_overlap, "copy_overlap")
+            .otherwise("pass")
+        )
+        notes = (
+            lambda r: F.when(r == "blocked_substring", m["hit"])
+            .when(r.isin("ratio_too_small", "ratio_too_large"), F.format_string("ratio=%.3f", m["ratio"]))
+            .when(r == "copy_overlap", F.format_string("overlap=%.3f", m["overlap"]))
+            .otherwise("")
+        )
+        return X.let(reason, lambda r: F.struct((r == "pass").alias("passed"), r.alias("reason_code"), notes(r).alias("notes")))
+
+    # each measure once, however many rules and notes look at it
+    whole = F.struct(clean.alias("clean"), X.strip(given).alias("given"), given.alias("source"))
+    return X.let(X.let(whole, measured), verdict)
 
 
 def parse_judge(raw: Column) -> Column:

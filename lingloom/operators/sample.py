@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingloom.functions.text import let
+
 # Default bounds of the length buckets.
 BOUNDARIES = [0, 10, 20, 40, 80, 120, 200, 400, 800, 999999]
 
@@ -15,11 +17,15 @@ def bucket_of(length: Column, boundaries: list[int] = BOUNDARIES) -> Column:
     """Index of the half-open interval; anything outside all of them is in the last."""
     if len(boundaries) < 2:
         return F.lit(0)
-    out = None
-    for k in range(len(boundaries) - 1):
-        hit = (length >= boundaries[k]) & (length < boundaries[k + 1])
-        out = F.when(hit, k) if out is None else out.when(hit, k)
-    return out.otherwise(len(boundaries) - 2)
+
+    def of(n: Column) -> Column:
+        out = None
+        for k in range(len(boundaries) - 1):
+            hit = (n >= boundaries[k]) & (n < boundaries[k + 1])
+            out = F.when(hit, k) if out is None else out.when(hit, k)
+        return out.otherwise(len(boundaries) - 2)
+
+    return let(length, of)  # a measured length is measured once, not once a bound
 
 
 def quotas(size: int, buckets: int) -> list[int]:
@@ -68,10 +74,9 @@ def balanced_sample(df: DataFrame, key: str, bucket: Column, config: BalancedCon
     bins = rows.groupBy("_b", digits.alias("_d")).count()  # at most 65,536 a bucket
     upto = F.sum("count").over(Window.partitionBy("_b").orderBy("_d"))
     cuts = bins.withColumn("_n", upto).where(F.col("_n") >= F.get(cap, F.col("_b"))).groupBy("_b").agg(F.min("_d").alias("_d")).collect()
-    inside = F.lit(True)
-    for r in cuts:
-        inside = inside & ((F.col("_b") != r["_b"]) | (digits <= r["_d"]))
-    ranked = rows.where(inside).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
+    by_bucket = {r["_b"]: r["_d"] for r in cuts}
+    last = F.array(*[F.lit(by_bucket.get(k, "ffff")) for k in range(buckets)])
+    ranked = rows.where(digits <= F.get(last, F.col("_b"))).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     kept = ranked.where(F.col("_r") <= F.get(cap, F.col("_b"))).withColumn("_extra", F.col("_r") > F.get(quota, F.col("_b")))
     # extras come after all quotas, in an order of their own
     first = kept.withColumn("_h2", order_key(config.seed, f"{salt}fill", F.col(key)))

@@ -60,7 +60,9 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", config: S
 
     Indices count merged lines before the filters, so that ids keep their gaps.
     """
-    lines = lines_of(docs, key, text, config)
+    # spread by document before the lines are made: the windows then need no shuffle of their own, and a
+    # corpus in few files is still cut in parallel
+    lines = lines_of(docs.select(key, text).repartition(key), key, text, config)
     if config.merge_short_lines:
         lines = merge_short(lines, config.min_chars)
     numbered = lines.withColumn("segment_index", F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1)

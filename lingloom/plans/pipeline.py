@@ -21,6 +21,7 @@ from lingloom.operators import filters as R
 from lingloom.operators import sample as B
 from lingloom.operators import segment as G
 from lingloom.plans.config import PipelineConfig, load, validate
+from lingloom.session import materialize
 from lingloom.sources import io
 
 Generator = Callable[[Column, Column, Column], Column]
@@ -48,7 +49,8 @@ class Pipeline:
         sc = G.SegmentConfig(c.segment.min_chars, c.segment.max_chars, c.segment.merge_short_lines, c.segment.noise_filter, c.segment.blob_max_tokens)
         target = ordered_distinct(c.data.target_langs)[0]
         rows = lambda s: G.source_rows(s, c.data.source_lang, target, c.sample.boundaries, c.data.lang, c.data.split)
-        segs = G.segments(docs, key, text, sc)
+        # read four times (sentences and blobs, each for its histogram and its sample), mostly two columns of it
+        segs = materialize(G.segments(docs, key, text, sc))
         blobs = rows(G.blobs(segs, sc)) if c.segment.blobs else None
         pool = B.pool_mix(rows(segs), blobs, c.data.sample_pool_size, c.data.sentence_ratio, B.BalancedConfig(c.data.sample_pool_size, c.sample.seed, c.sample.oversample, tuple(c.sample.boundaries)))
         return self.keep(pool, "sampled_sources")

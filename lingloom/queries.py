@@ -21,6 +21,7 @@ from lingloom.operators import sft as S
 from lingloom.operators import tables as KV
 from lingloom.plans import config as P
 from lingloom.plans.pipeline import Pipeline
+from lingloom.session import materialize
 from lingloom.sources import examples as EX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,7 +196,7 @@ def bucket_sample(spark, sf):
 @query("WITH RECURSIVE " + O.segments() + O.blobs() + "," + O.balanced("(SELECT source_id, length_approx FROM segs)", 150, 7, "sa") + "," + O.balanced("(SELECT source_id, length_approx FROM blobs)", 150, 8, "bl")
        + " SELECT source_id, 'sentence' AS kind FROM sa UNION ALL SELECT source_id, 'blob' FROM bl")
 def pool_mix(spark, sf):
-    s = G.segments(docs(spark, sf))
+    s = materialize(G.segments(docs(spark, sf)))
     return B.pool_mix(s, G.blobs(s), 300, 0.5, B.BalancedConfig()).select("source_id", "kind")
 
 
