@@ -21,7 +21,7 @@ from lingloom.session import materialize
 @dataclass(frozen=True)
 class FixedSampleConfig:
     """rounds: of the Feistel network. buckets: numbering buckets of a piece, so that a piece with a third of
-    all rows is split. most_draws: bound of the draws sent to the workers."""
+    all rows is split. most_draws: bound of the draws sent to the workers, more are an error."""
 
     rounds: int = 6
     buckets: int = 256
@@ -90,7 +90,10 @@ def fixed_size_samples(df: DataFrame, draws: DataFrame, key: str, piece: str, co
     size over N takes all, a null, zero or negative size takes none, an empty
     table gives no rows.
     """
-    listed = [(r[0], int(r[1] or 0), int(r[2] or 0)) for r in draws.select("draw_id", "draw_seed", "sample_size").limit(config.most_draws).collect()]
+    rows = draws.select("draw_id", "draw_seed", "sample_size").limit(config.most_draws + 1).collect()
+    if len(rows) > config.most_draws:
+        raise ValueError(f"more than {config.most_draws} draws")
+    listed = [(r[0], int(r[1] or 0), int(r[2] or 0)) for r in rows]
     numbered, n = number_densely(df, key, piece, config)
     id_type = draws.schema["draw_id"].dataType.simpleString()
     key_type = df.schema[key].dataType.simpleString()
