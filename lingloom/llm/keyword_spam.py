@@ -2,10 +2,15 @@
 
 Each page's words are counted and ranked by SQL windows and a line is fitted to
 log frequency over log rank. Slope, residual and the divergence of the page's
-words from the prose of its language are held against the median of pages of
+words from the prose of its language are held against the median of prose of
 that language and of comparable length; pages extreme in any of them are
 candidates. An exact check then measures, sentence by sentence, how much of a
 candidate's text is no sentence.
+
+What is prose is not guessed from the features: a sample of the distinct texts
+of each language and length goes through the exact check first, and profiles
+and medians are those of the pages that pass it, so that spam does not move
+them whatever its share.
 """
 
 from __future__ import annotations
@@ -26,14 +31,17 @@ from lingloom.session import materialize
 class SpamConfig:
     """top_words: words of each language whose shares make up its prose profile, the first
     common_words of them count as its function words; languages: languages with a
-    profile of their own, by pages (together they bound the broadcast table). least_pages: pages a length class needs for
-    its own baseline. extreme: distance from the median, in scaled median deviations, from which a page is a
+    profile of their own, by pages (together they bound the broadcast table). audited: distinct texts of each language and length
+    class that are checked to find its prose; core_share: a page is prose if less of it is no sentence. least_pages: pages
+    of prose a length class needs for its own baseline. extreme: distance from the median, in scaled median deviations, from which a page is a
     candidate. least_words: pages with fewer words have too few ranks for a fit and are candidates anyway (they are
     short, so that the check costs little). spam_share: share of the text that must be no sentence."""
 
     top_words: int = 300
     common_words: int = 30
     languages: int = 100
+    audited: int = 100
+    core_share: float = 0.25
     least_pages: int = 30
     extreme: float = 2.5
     least_words: int = 48
@@ -43,13 +51,13 @@ class SpamConfig:
 TOKEN_GAP = "[^\\p{L}\\p{M}\\p{N}]+"
 
 
-def rank_frequency(pages: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
-    """(page, lang hash, n, types, slope, residual, divergence, common) for each page with a word.
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(page, lang hash, w, c, r, n): each page's words, replaced by a hash, with count and rank, and its number of words.
 
     ``pages`` is (page, lang, text). The texts are spread by page, which is less
     to move than their word counts; counting and ranking then need no further
-    shuffle. Words are replaced by a hash. The ranked counts are written once,
-    as the profile of each language and the fits both read them.
+    shuffle. The ranked counts are written once, as the audit, the profiles and
+    the fits all read them.
     """
     # gaps are greedy, so that only the first and the last part can be empty
     parts = pages.repartition("page").select("page", language_hash(F.col("lang")).alias("lang"), F.split(F.lower("text"), TOKEN_GAP, -1).alias("p"))
@@ -60,11 +68,39 @@ def rank_frequency(pages: DataFrame, config: SpamConfig = SpamConfig()) -> DataF
     counts = tokens.groupBy("page", "lang", "n", "w").agg(F.count("*").alias("c"))
     rank = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("c")))
     ranked = counts.select("page", "lang", "w", F.col("c").cast("int").alias("c"), rank.alias("r"), "n")
-    ranked = materialize(ranked)
-    share = ranked.groupBy("lang", "w").agg(F.sum(F.col("c") / F.col("n")).alias("s"))
-    pages_of = ranked.where("r = 1").groupBy("lang").agg(F.count("*").alias("pages"))
-    known = pages_of.orderBy(F.desc("pages"), "lang").limit(config.languages)
-    top = share.join(F.broadcast(known), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("s"), "w"))).where(F.col("k") <= config.top_words)
+    return materialize(ranked)
+
+
+def size_class(n):
+    """Half octaves of a number of words."""
+    return F.floor(F.log2(n.cast("double")) * 2).cast("int")
+
+
+def audit(pages: DataFrame, ranked: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
+    """(page, share) of a sample of the distinct texts of each language and length class, all through the exact check.
+
+    Pages with the same words equally often are one text. Short pages are left
+    out, as all of them are checked anyway.
+    """
+    known = ranked.where("r = 1").groupBy("lang").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "lang").limit(config.languages)
+    texts = ranked.where(F.col("n") >= config.least_words).groupBy("page", "lang").agg(F.sum("c").alias("n"), F.bit_xor(F.xxhash64("w", "c")).alias("content")).withColumn("size_class", size_class(F.col("n")))
+    distinct = texts.join(F.broadcast(known.select("lang")), "lang").groupBy("lang", "size_class", "content").agg(F.min("page").alias("page"))
+    order = F.row_number().over(Window.partitionBy("lang", "size_class").orderBy(F.xxhash64("content"), "page"))
+    few = distinct.withColumn("k", order).where(F.col("k") <= config.audited).select("page")
+    marked = pages.join(F.broadcast(few), "page").select("page", S.mark_breaks(S.mask(F.col("text"))).alias("_m"))
+    return materialize(with_share(marked, "_m").groupBy("page").agg(F.max("share").alias("share")))
+
+
+def rank_frequency(ranked: DataFrame, prose: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
+    """(page, lang hash, n, types, slope, residual, divergence, common) for each page with a word.
+
+    ``ranked`` is of ``word_counts``, ``prose`` the (page) from which the word
+    profile of each language is taken.
+    """
+    core = ranked.join(F.broadcast(prose), "page")
+    share = core.groupBy("lang", "w").agg(F.sum(F.col("c") / F.col("n")).alias("s"))
+    pages_of = core.where("r = 1").groupBy("lang").agg(F.count("*").alias("pages"))
+    top = share.join(F.broadcast(pages_of), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("s"), "w"))).where(F.col("k") <= config.top_words)
     top = materialize(top.select("lang", "w", (F.col("s") / F.col("pages")).alias("q"), (F.col("k") <= config.common_words).alias("common")))
     rest = top.groupBy("lang").agg((1 - F.sum("q")).alias("q_rest"))
     x, y = F.log(F.col("r").cast("double")), F.log(F.col("c").cast("double"))
@@ -103,12 +139,13 @@ def language_hash(lang):
 FEATURES = ["slope", "residual", "divergence", "richness", "common"]
 
 
-def extremes(fitted: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
-    """``fitted`` with the distance of each feature from same-language pages of comparable length."""
-    f = fitted.withColumn("size_class", F.floor(F.log2(F.col("n").cast("double")) * 2).cast("int")).withColumn("richness", F.log("types") - F.log("n"))
+def extremes(fitted: DataFrame, prose: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
+    """``fitted`` with the distance of each feature from same-language ``prose`` (page) of comparable length."""
+    f = fitted.withColumn("size_class", size_class(F.col("n"))).withColumn("richness", F.log("types") - F.log("n"))
+    core = f.join(F.broadcast(prose), "page")
     middle = [F.percentile_approx(c, [0.16, 0.5, 0.84], 2000).alias(f"{c}_q") for c in FEATURES]
-    own = f.groupBy("lang", "size_class").agg(F.count("*").alias("pages"), *middle).where(F.col("pages") >= config.least_pages)
-    anyone = f.groupBy("size_class").agg(*[m.alias(f"{c}_any") for c, m in zip(FEATURES, middle)])
+    own = core.groupBy("lang", "size_class").agg(F.count("*").alias("pages"), *middle).where(F.col("pages") >= config.least_pages)
+    anyone = core.groupBy("size_class").agg(*[m.alias(f"{c}_any") for c, m in zip(FEATURES, middle)])
     based = f.join(F.broadcast(own), ["lang", "size_class"], "left").join(F.broadcast(anyone), "size_class", "left")
     out = based
     for c in FEATURES:
@@ -120,8 +157,9 @@ def extremes(fitted: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
 
 def candidates(scored: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
     e = config.extreme
-    hit = (F.col("n") < config.least_words) | (F.abs("slope_z") > e) | (F.col("residual_z") > e) | (F.col("divergence_z") > e) | (F.col("richness_z") < -e) | (F.col("common_z") < -e)
-    return scored.where(hit)
+    far = (F.abs("slope_z") > e) | (F.col("residual_z") > e) | (F.col("divergence_z") > e) | (F.col("richness_z") < -e) | (F.col("common_z") < -e)
+    # null: there is no prose to compare with
+    return scored.where((F.col("n") < config.least_words) | F.coalesce(far, F.lit(True)))
 
 
 # How links, words, list marks and ends of sentences look.
@@ -190,7 +228,13 @@ def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     its own.
     """
     pages = docs.select(F.col(key).alias("page"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    found = candidates(extremes(rank_frequency(pages.where(F.col("text").isNotNull()), config), config), config)
-    few = found.select("page", "slope_z", "residual_z", "divergence_z", "richness_z", "common_z")
-    kept = pages.join(few, "page").select("page", "slope_z", "residual_z", "divergence_z", "richness_z", "common_z", S.mark_breaks(S.mask(F.col("text"))).alias("_m"))
-    return with_share(kept, "_m").where(F.col("share") >= config.spam_share).dropDuplicates(["page"])
+    ranked = word_counts(pages.where(F.col("text").isNotNull()))
+    audited = audit(pages.where(F.col("text").isNotNull()), ranked, config)
+    prose = audited.where(F.col("share") < config.core_share).select("page")
+    scored = extremes(rank_frequency(ranked, prose, config), prose, config)
+    zs = ["slope_z", "residual_z", "divergence_z", "richness_z", "common_z"]
+    known = scored.join(F.broadcast(audited.where(F.col("share") >= config.spam_share)), "page").select("page", "share", *zs)
+    few = candidates(scored, config).join(F.broadcast(audited.select("page")), "page", "left_anti").select("page", *zs)
+    kept = pages.join(few, "page").select("page", *zs, S.mark_breaks(S.mask(F.col("text"))).alias("_m"))
+    found = with_share(kept, "_m").where(F.col("share") >= config.spam_share).select("page", "share", *zs)
+    return known.unionByName(found).dropDuplicates(["page"])

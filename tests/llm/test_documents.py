@@ -119,3 +119,30 @@ def test_keyword_pages(spark):
     got = {r["page"] for r in K.keyword_pages(docs(spark, rows).withColumn("n", F.lit("clash"))).collect()}
     assert got == {1000 + i for i, (_, spam) in enumerate(CASES.values()) if spam}
     assert K.keyword_pages(docs(spark, [])).count() == 0
+
+
+WORDS = "school wall plan sailor ticket machine harbour village lamp chair garden road storm market bridge letter window river teacher engine bakery coat winter morning".split()
+SMALL = "the of and a to in was for that with on as".split()
+
+
+def prose_page(i, sentences=12):
+    import random
+
+    rng = random.Random(i)
+    one = lambda: " ".join(w for _ in range(6) for w in (rng.choice(SMALL), rng.choice(WORDS))).capitalize() + "."
+    return " ".join(one() for _ in range(sentences))
+
+
+def keyword_page(i, times=18):
+    import random
+
+    rng = random.Random(i)
+    a, b = rng.sample(WORDS, 2)
+    return ", ".join(f"{rng.choice(['cheap', 'best', 'new', 'buy'])} {a} {b} {rng.choice(['sale', 'shop', 'price', 'online'])}" for _ in range(times * 2))
+
+
+@pytest.mark.parametrize("share", [0.05, 0.4, 0.9])
+def test_keyword_pages_at_any_share_of_their_class(spark, share):
+    n = round(200 * share)
+    rows = [(i, keyword_page(i), "en", "a") for i in range(n)] + [(1000 + i, prose_page(i), "en", "a") for i in range(200 - n)]
+    assert {r["page"] for r in K.keyword_pages(docs(spark, rows)).collect()} == set(range(n))
