@@ -140,16 +140,18 @@ FEATURES = ["slope", "residual", "divergence", "richness", "common"]
 
 
 def extremes(fitted: DataFrame, prose: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
-    """``fitted`` with the distance of each feature from same-language ``prose`` (page) of comparable length."""
+    """``fitted`` with the distance of each feature from same-language ``prose`` (page) of comparable length.
+
+    Where there is less than ``least_pages`` of it the distances are null, and
+    ``candidates`` passes the page on to the exact check.
+    """
     f = fitted.withColumn("size_class", size_class(F.col("n"))).withColumn("richness", F.log("types") - F.log("n"))
     core = f.join(F.broadcast(prose), "page")
     middle = [F.percentile_approx(c, [0.16, 0.5, 0.84], 2000).alias(f"{c}_q") for c in FEATURES]
     own = core.groupBy("lang", "size_class").agg(F.count("*").alias("pages"), *middle).where(F.col("pages") >= config.least_pages)
-    anyone = core.groupBy("size_class").agg(*[m.alias(f"{c}_any") for c, m in zip(FEATURES, middle)])
-    based = f.join(F.broadcast(own), ["lang", "size_class"], "left").join(F.broadcast(anyone), "size_class", "left")
-    out = based
+    out = f.join(F.broadcast(own), ["lang", "size_class"], "left")
     for c in FEATURES:
-        q = F.coalesce(F.col(f"{c}_q"), F.col(f"{c}_any"))
+        q = F.col(f"{c}_q")
         scale = F.greatest((q[2] - q[0]) / 2, F.lit(0.02))
         out = out.withColumn(f"{c}_z", (F.col(c) - q[1]) / scale)
     return out.select("page", "lang", "n", "types", *[x for c in FEATURES for x in (c, f"{c}_z")])
@@ -158,7 +160,7 @@ def extremes(fitted: DataFrame, prose: DataFrame, config: SpamConfig = SpamConfi
 def candidates(scored: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
     e = config.extreme
     far = (F.abs("slope_z") > e) | (F.col("residual_z") > e) | (F.col("divergence_z") > e) | (F.col("richness_z") < -e) | (F.col("common_z") < -e)
-    # null: there is no prose to compare with
+    # null: there is too little prose to compare with
     return scored.where((F.col("n") < config.least_words) | F.coalesce(far, F.lit(True)))
 
 

@@ -146,3 +146,8 @@ def test_keyword_pages_at_any_share_of_their_class(spark, share):
     n = round(200 * share)
     rows = [(i, keyword_page(i), "en", "a") for i in range(n)] + [(1000 + i, prose_page(i), "en", "a") for i in range(200 - n)]
     assert {r["page"] for r in K.keyword_pages(docs(spark, rows)).collect()} == set(range(n))
+
+
+def test_keyword_page_alone_in_its_length_class(spark):
+    rows = [(i, prose_page(i), "en", "a") for i in range(60)] + [(1000, keyword_page(1, 400), "en", "a"), (1001, keyword_page(2), "de", "a"), (1002, prose_page(1, 400), "de", "a")]
+    assert {r["page"] for r in K.keyword_pages(docs(spark, rows)).collect()} == {1000, 1001}
