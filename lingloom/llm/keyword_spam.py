@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lingloom.llm import language
 from lingloom.llm import sentences as S
 from lingloom.session import materialize
 
@@ -31,7 +32,8 @@ from lingloom.session import materialize
 class SpamConfig:
     """top_words: words of each language whose shares make up its prose profile, the first
     common_words of them count as its function words; languages: languages with a
-    profile of their own, by pages (together they bound the broadcast table). audited: distinct texts of each language and length
+    profile of their own, by pages (together they bound the broadcast table); pages of others all go through the exact
+    check. audited: distinct texts of each language and length
     class that are checked to find its prose; core_share: a page is prose if less of it is no sentence. least_pages: pages
     of prose a length class needs for its own baseline. extreme: distance from the median, in scaled median deviations, from which a page is a
     candidate. least_words: pages with fewer words have too few ranks for a fit and are candidates anyway (they are
@@ -132,8 +134,8 @@ def rank_frequency(ranked: DataFrame, prose: DataFrame, config: SpamConfig = Spa
 
 
 def language_hash(lang):
-    """A language code as a number; null and blank are a language of their own."""
-    return F.hash(F.coalesce(F.nullif(F.lower(F.trim(lang)), F.lit("")), F.lit("und")))
+    """A language code in any usual spelling as a number; null and blank are a language of their own."""
+    return F.hash(F.coalesce(language.normal_code(lang), F.nullif(F.lower(F.trim(lang)), F.lit("")), F.lit("und")))
 
 
 FEATURES = ["slope", "residual", "divergence", "richness", "common"]

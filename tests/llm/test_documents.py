@@ -151,3 +151,10 @@ def test_keyword_pages_at_any_share_of_their_class(spark, share):
 def test_keyword_page_alone_in_its_length_class(spark):
     rows = [(i, prose_page(i), "en", "a") for i in range(60)] + [(1000, keyword_page(1, 400), "en", "a"), (1001, keyword_page(2), "de", "a"), (1002, prose_page(1, 400), "de", "a")]
     assert {r["page"] for r in K.keyword_pages(docs(spark, rows)).collect()} == {1000, 1001}
+
+
+def test_keyword_pages_of_languages_without_a_profile_and_of_other_spellings(spark):
+    rows = [(i, prose_page(i), ["en", "EN-us", "eng", " en "][i % 4], "a") for i in range(60)] + [(500 + i, prose_page(i), "fr", "a") for i in range(40)] + [(1000 + i, keyword_page(i), "fr", "a") for i in range(10)]
+    df = docs(spark, rows)
+    assert df.select(K.language_hash(F.col("lang"))).distinct().count() == 2
+    assert {r["page"] for r in K.keyword_pages(df, config=K.SpamConfig(languages=1)).collect()} == {1000 + i for i in range(10)}
