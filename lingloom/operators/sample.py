@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingloom.functions.text import let
+from lingloom.session import materialize
 
 # Default bounds of the length buckets.
 BOUNDARIES = [0, 10, 20, 40, 80, 120, 200, 400, 800, 999999]
@@ -55,6 +56,7 @@ class BalancedConfig:
     seed: int = 7
     oversample: float = 2.0
     boundaries: tuple[int, ...] = tuple(BOUNDARIES)
+    most_in_heap: int = 10_000  # larger samples are cut by a histogram, not by heaps of whole rows
 
 
 def balanced_sample(df: DataFrame, key: str, bucket: Column, config: BalancedConfig = BalancedConfig(), salt: str = "") -> DataFrame:
@@ -73,14 +75,36 @@ def balanced_sample(df: DataFrame, key: str, bucket: Column, config: BalancedCon
     digits = F.substring("_h", 1, 4)
     bins = rows.groupBy("_b", digits.alias("_d")).count()  # at most 65,536 a bucket
     upto = F.sum("count").over(Window.partitionBy("_b").orderBy("_d"))
-    cuts = bins.withColumn("_n", upto).where(F.col("_n") >= F.get(cap, F.col("_b"))).groupBy("_b").agg(F.min("_d").alias("_d")).collect()
-    by_bucket = {r["_b"]: r["_d"] for r in cuts}
+    reached = F.when(F.col("_n") >= F.get(cap, F.col("_b")), F.col("_d"))
+    cuts = bins.withColumn("_n", upto).groupBy("_b").agg(F.min(reached).alias("_d"), F.sum("count").alias("_n")).collect()
+    by_bucket = {r["_b"]: r["_d"] for r in cuts if r["_d"] is not None}
     last = F.array(*[F.lit(by_bucket.get(k, "ffff")) for k in range(buckets)])
     ranked = rows.where(digits <= F.get(last, F.col("_b"))).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     kept = ranked.where(F.col("_r") <= F.get(cap, F.col("_b"))).withColumn("_extra", F.col("_r") > F.get(quota, F.col("_b")))
     # extras come after all quotas, in an order of their own
     first = kept.withColumn("_h2", order_key(config.seed, f"{salt}fill", F.col(key)))
-    return first.orderBy("_extra", "_h2", key).limit(config.size).drop("_h", "_h2", "_r", "_extra", "_b")
+    base = sum(min(r["_n"], wanted[r["_b"]]) for r in cuts)
+    extras = sum(min(r["_n"], room[r["_b"]]) for r in cuts) - base
+    if extras <= config.size - base:
+        out = first
+    elif config.size <= config.most_in_heap:
+        out = first.orderBy("_extra", "_h2", key).limit(config.size)
+    else:
+        out = lowest_extras(materialize(first), key, config.size - base)
+    return out.drop("_h", "_h2", "_r", "_extra", "_b")
+
+
+def lowest_extras(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The rows that are no ``_extra``, and the ``k`` of the extras with the lowest ``_h2``; only one digit group of them is ranked."""
+    d = F.substring("_h2", 1, 3)
+    below, cut, rest = 0, "", 0
+    for r in sorted(rows.where("_extra").groupBy(d.alias("_d")).count().collect(), key=lambda r: r["_d"]):  # 4096 groups
+        cut, rest = r["_d"], k - below
+        if below + r["count"] >= k:
+            break
+        below += r["count"]
+    edge = rows.where(F.col("_extra") & (d == cut)).withColumn("_n", F.row_number().over(Window.orderBy("_h2", key)))
+    return rows.where(~F.col("_extra") | (d < cut)).unionByName(edge.where(F.col("_n") <= rest).drop("_n"))
 
 
 def bucket_stats(df: DataFrame, bucket: Column, config: BalancedConfig = BalancedConfig()) -> DataFrame:

@@ -82,6 +82,10 @@ def from_dict(kind: type, values: dict[str, Any]) -> Any:
     return kind(**out)
 
 
+# The sizes of a full run: the pool, the sources selected from it, and the candidates of each.
+FULL = {"data": {"sample_pool_size": 1_000_000}, "select": {"top_n": 10_000, "num_candidates": 128}}
+
+
 def resolve_path(path: str, config_file: str) -> str:
     """Relative paths count from the configuration file; addresses stay as they are."""
     return path if "://" in path or os.path.isabs(path) else os.path.normpath(os.path.join(os.path.dirname(os.path.abspath(config_file)), path))

@@ -66,7 +66,9 @@ class Pipeline:
         return self.keep(C.top_sources(prefiltered, F.col("prefilter.improvement"), "source_id", self.config.select.top_n), "selected_sources")
 
     def generate_candidates(self, selected: DataFrame) -> DataFrame:
-        rows = C.expand_candidates(selected, self.config.select.num_candidates)
+        # the ranked sources are one partition; spread, or all candidates were made and scored in one task
+        spread = selected.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "source_id")
+        rows = C.expand_candidates(spread, self.config.select.num_candidates)
         return self.keep(rows.withColumn("candidate_text", self.generator(F.col("source_text"), F.col("source_id"), F.col("candidate_index"))), "generated_candidates")
 
     def score_select_best(self, generated: DataFrame) -> tuple[DataFrame, DataFrame]:

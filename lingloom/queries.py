@@ -642,28 +642,41 @@ def length_stats(spark, sf):
 # ---- the whole pipeline ---------------------------------------------------------------------------------------------
 
 _FLAG = P.PipelineConfig()
-_PIPE = (
-    "WITH RECURSIVE " + O.segments() + O.blobs() + "," + O.balanced("(SELECT source_id, source_text, length_approx FROM segs)", 150, 7, "sa") + "," + O.balanced("(SELECT source_id, source_text, length_approx FROM blobs)", 150, 8, "bl")
-    + f""", pool AS (SELECT * FROM sa UNION ALL SELECT * FROM bl),
+_FULL = P.from_dict(P.PipelineConfig, P.FULL)
+
+
+def _pipe_sql(c: P.PipelineConfig) -> str:
+    n = int(c.data.sample_pool_size * c.data.sentence_ratio)
+    balanced = lambda table, size, seed, name: O.balanced(f"(SELECT source_id, source_text, length_approx FROM {table})", size, seed, name)
+    return (
+        "WITH RECURSIVE " + O.segments() + O.blobs() + "," + balanced("segs", n, c.sample.seed, "sa") + "," + balanced("blobs", c.data.sample_pool_size - n, c.sample.seed + 1, "bl")
+        + f""", pool AS (SELECT * FROM sa UNION ALL SELECT * FROM bl),
 pre AS (SELECT *, {O.stub('source_text', 'source_id', "'-1'")} AS greedy, {O.stub('source_text', 'source_id', "'0'")} AS sampled FROM pool),
 imp AS (SELECT source_id, source_text, {O.score('source_text', 'greedy')} - {O.score('source_text', 'sampled')} AS improvement FROM pre),
-sel AS (SELECT *, row_number() OVER (ORDER BY improvement DESC, source_id) AS selection_rank FROM imp ORDER BY improvement DESC, source_id LIMIT 50),
-gen AS (SELECT sel.*, i AS candidate_index, {O.stub('source_text', 'source_id', 'i')} AS candidate_text FROM sel, range(4) AS r(i)),
+sel AS (SELECT *, row_number() OVER (ORDER BY improvement DESC, source_id) AS selection_rank FROM imp ORDER BY improvement DESC, source_id LIMIT {c.select.top_n}),
+gen AS (SELECT sel.*, i AS candidate_index, {O.stub('source_text', 'source_id', 'i')} AS candidate_text FROM sel, range({c.select.num_candidates}) AS r(i)),
 sc AS (SELECT *, {O.score('source_text', 'candidate_text')} AS score FROM gen),
 best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score, candidate_index) = 1)
 SELECT source_text, candidate_text AS target_text, round(score, 9) AS score, selection_rank, {O.rule_reason('source_text', 'candidate_text')} AS reason_code FROM best"""
-)
+    )
 
 
-@query(_PIPE)
-def pipeline_verdicts(spark, sf):
-    p = Pipeline(spark, _FLAG)
-    best, _ = p.score_select_best(p.generate_candidates(p.select_sources(p.prefilter_score(p.sample_sources(docs(spark, sf))))))
+_PIPE = _pipe_sql(_FLAG)
+
+
+def _verdicts(spark, sf, config: P.PipelineConfig, pooled=lambda df: df) -> DataFrame:
+    p = Pipeline(spark, config)
+    best, _ = p.score_select_best(p.generate_candidates(p.select_sources(p.prefilter_score(pooled(p.sample_sources(docs(spark, sf)))))))
     passed, rejected = p.format_filter(best)
     out = passed.unionByName(rejected)
     return out.select("source_text", "target_text", F.round("metricx_qe_score_best", 9).alias("score"), F.col("selection.selection_rank").cast("long").alias("selection_rank"), F.col("filters.reason_code").alias("reason_code"))
 
 
+@query(_PIPE)
+def pipeline_verdicts(spark, sf):
+    return _verdicts(spark, sf, _FLAG)
+
+
 @query(f"SELECT source_text, target_text, score FROM ({_PIPE}) WHERE reason_code IN ('pass', 'copy_overlap')")
 def pipeline_final(spark, sf):
     loose = P.from_dict(P.PipelineConfig, {"filters": {"max_copy_overlap": 1.0}})  # the stand-in generator copies words
@@ -671,7 +684,19 @@ def pipeline_final(spark, sf):
     return out.select("source_text", "target_text", F.round("metricx_qe_score_best", 9).alias("score"))
 
 
-FLAGSHIP = pipeline_verdicts
+@query(_pipe_sql(_FULL))
+def pipeline_full(spark, sf):
+    """The verdicts at the sizes of a full run. The pool is written once: completions and their join with the sources both read it."""
+    return _verdicts(spark, sf, _FULL, materialize)
+
+
+@query("WITH RECURSIVE " + O.segments() + O.blobs() + "," + O.balanced("(SELECT source_id, length_approx FROM segs)", 500_000, 7, "sa") + "," + O.balanced("(SELECT source_id, length_approx FROM blobs)", 500_000, 8, "bl")
+       + " SELECT source_id, 'sentence' AS kind FROM sa UNION ALL SELECT source_id, 'blob' FROM bl")
+def pool_full(spark, sf):
+    return materialize(Pipeline(spark, _FULL).sample_sources(docs(spark, sf)).select("source_id", "kind"))
+
+
+FLAGSHIP = pipeline_full
 
 
 def queries() -> dict[str, Query]:

@@ -206,3 +206,9 @@ def test_scores_are_asked_once_a_pair(spark):
     rows = spark.createDataFrame([("a", "b")] * 5 + [(None, "b")], "s string, h string").coalesce(1)
     got = C.score_once(rows, ["s", "h"], C.scorer_udf(Count)).collect()
     assert len(got) == 6 and all(r["score"] <= 2 for r in got)
+
+
+def test_balanced_sample_cut_by_histogram_is_the_one_of_the_heaps(spark):
+    rows = spark.range(600).selectExpr("concat('r', id) AS source_id", "CAST(CASE WHEN id < 20 THEN 5 WHEN id < 400 THEN 15 ELSE 25 END AS int) AS n")
+    pick = lambda most: {r[0] for r in B.balanced_sample(rows, "source_id", B.bucket_of(F.col("n"), [0, 10, 20, 30]), B.BalancedConfig(150, boundaries=(0, 10, 20, 30), most_in_heap=most)).collect()}
+    assert pick(0) == pick(10_000) and len(pick(0)) == 150

@@ -109,3 +109,13 @@ def test_stream_segments_each_document_once(spark, tmp_path):
     spark.createDataFrame(DOCS[2:], "doc_id string, text string").write.mode("append").parquet(src)
     run()
     assert n == 12 and spark.read.parquet(out).count() == 24
+
+
+def test_full_pipeline_leaves_no_segment_out(spark, tmp_path):
+    from lingloom import queries as Q
+
+    rows = [(i, "\n".join(f"This is line number {j} of document {i}, which is long enough to stay." for j in range(6))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = Q.FLAGSHIP(spark, str(tmp_path)).collect()
+    assert len({r["source_text"] for r in out if "\n" not in r["source_text"]}) == 360 and len(out) == 420
+    assert sorted(r["selection_rank"] for r in out) == list(range(1, 421))
