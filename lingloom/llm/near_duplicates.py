@@ -1,4 +1,4 @@
-"""Records of similar content: a prefix-tree join on sets of code-point n-grams.
+"""Records of similar content: a join on sets of code-point n-grams by an inverted index of their prefixes.
 
 Exact copies are collapsed first; one of each class goes on. Every set is put in
 one global order, rare n-grams first, the order of a prefix tree. Two sets of
