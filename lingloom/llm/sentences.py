@@ -56,14 +56,14 @@ _CLOSERS = "[\"'”’»“›\\)\\]」』）】〉》]*"
 _CJK = "\\u2e80-\\u9fff\\uf900-\\ufaff\\uac00-\\ud7a3\\u0e00-\\u0e7f\\uff00-\\uffef"
 
 
-def _mask_quoted(text: Column, opener: str, closer: str, most: int = 2000) -> Column:
+def _mask_quoted(text: Column, opener: str, closer: str) -> Column:
     """Mask marks and blanks between ``opener`` and ``closer``.
 
-    A quotation that holds a line break, or is longer than ``most`` code points,
-    is taken for an unbalanced mark and left alone.
+    A quotation that holds a line break is taken for an unbalanced mark and left
+    alone.
     """
     def masked(piece: Column, inner: Column) -> Column:
-        closed = F.contains(piece, F.lit(closer)) & (F.length(inner) <= most) & ~F.contains(inner, F.lit("\n"))
+        closed = F.contains(piece, F.lit(closer)) & ~F.contains(inner, F.lit("\n"))
         return F.when(closed, F.concat(F.translate(inner, MARKS + " ", MASKED + SPACE_MASK), _rest(piece, inner))).otherwise(piece)
 
     def one(piece: Column, i: Column) -> Column:

@@ -70,3 +70,9 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("k", "a.")], "source_id string, source_text string")
     assert "Python" not in S.sentence_spans(df, "source_id", "source_text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_quotation_is_one_sentence(spark):
+    text = "“" + "We walked on. " * 200 + "Then we slept,” she said. It rained."
+    df = spark.createDataFrame([("k", text)], "source_id string, source_text string")
+    assert S.sentence_spans(df, "source_id", "source_text").count() == 2
