@@ -1,16 +1,18 @@
 """Pages of repeated keywords, link lists and product tags.
 
-Each page's words are counted and ranked by SQL windows and a line is fitted to
-log frequency over log rank. Slope, residual and the divergence of the page's
-words from the prose of its language are held against the median of prose of
-that language and of comparable length; pages extreme in any of them are
-candidates. An exact check then measures, sentence by sentence, how much of a
-candidate's text is no sentence.
-
-What is prose is not guessed from the features: a sample of the distinct texts
-of each language and length goes through the exact check first, and profiles
-and medians are those of the pages that pass it, so that spam does not move
-them whatever its share.
+A page's words are counted and ranked by SQL windows and a line is fitted to log
+frequency over log rank: its slope and residual. The divergence of its word
+pairs from prose is measured window by window, as surprise above what prose of
+the same language and script has at comparable lengths; the median window stands
+for most of the text. A two-class mixture, fitted by expectation maximization on
+a histogram of the three, weighs them into a posterior, and pages more likely
+than not to be no prose are found. No page is decided by anything else.
+
+Prose is learned from the data: word pairs of all pages whose share of function
+words is usual, then again of all pages that did not diverge from these. Pairs
+are counted in tables of fixed size that tasks fill and add up, each distinct
+text once, so that copies have no more weight than one page. Texts are read once
+and never shuffled.
 """
 
 from __future__ import annotations
@@ -18,227 +20,514 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lingloom.llm import language
-from lingloom.llm import sentences as S
 from lingloom.session import materialize
 
 
 @dataclass(frozen=True)
 class SpamConfig:
-    """top_words: words of each language whose shares make up its prose profile, the first
-    common_words of them count as its function words; languages: languages with a
-    profile of their own, by pages (together they bound the broadcast table); pages of others all go through the exact
-    check. audited: distinct texts of each language and length
-    class that are checked to find its prose; core_share: a page is prose if less of it is no sentence. least_pages: pages
-    of prose a length class needs for its own baseline. extreme: distance from the median, in scaled median deviations, from which a page is a
-    candidate. least_words: pages with fewer words have too few ranks for a fit and are candidates anyway (they are
-    short, so that the check costs little). spam_share: share of the text that must be no sentence."""
-
-    top_words: int = 300
-    common_words: int = 30
-    languages: int = 100
-    audited: int = 100
-    core_share: float = 0.25
-    least_pages: int = 30
-    extreme: float = 2.5
-    least_words: int = 48
-    spam_share: float = 0.5
-
-
-TOKEN_GAP = "[^\\p{L}\\p{M}\\p{N}]+"
-
-
-def word_counts(pages: DataFrame) -> DataFrame:
-    """(page, lang hash, w, c, r, n): each page's words, replaced by a hash, with count and rank, and its number of words.
-
-    ``pages`` is (page, lang, text). The texts are spread by page, which is less
-    to move than their word counts; counting and ranking then need no further
-    shuffle. The ranked counts are written once, as the audit, the profiles and
-    the fits all read them.
+    """pair_bits, word_bits, copy_bits: sizes of the counting tables, as powers of two; they do not grow with the data.
+    window: words of a window. chunk_tokens: tokens worked on at once, which bounds memory. dearest: most that one word pair may cost, in nats. known: weight of pairs seen before
+    against words alone. least: windows or pages of prose from which a language, script and length has a baseline of
+    its own; below that it shares one with its script, or none. core: distance from prose, in deviations, up to which
+    a page is used to learn prose. tail: degrees of freedom of the spread of prose. prior_pages: pages that the prior
+    of the mixture counts as. cutoff: posterior from which a page is found."""
+
+    pair_bits: int = 22
+    word_bits: int = 18
+    copy_bits: int = 20
+    window: int = 32
+    chunk_tokens: int = 150_000
+    dearest: float = 7.0
+    known: float = 0.9
+    least: int = 20
+    core: float = 3.0
+    tail: float = 10.0
+    prior_pages: float = 4.0
+    iterations: int = 60
+    cutoff: float = 0.5
+
+
+# A token is an address, a letter of a dense script, a word, a number, a run of line ends, or a mark.
+TOKEN = re.compile(r"https?://\S+|www\.\S+|[぀-ヿ㐀-鿿ก-๛]|[^\W\d_぀-ヿ㐀-鿿ก-๛]+|\d[\w.,-]*|\n+|[^\w\s]|_+")
+# Letters and words of grammar in scripts without spaces.
+DENSE_GRAMMAR = "はがをにでのとたもへらっ的了在是和把地得着过而也就不这那"
+GRAMMAR = {w for listed in language.FUNCTION_WORDS.values() for w in listed.split()} | set(DENSE_GRAMMAR)
+SCRIPT_OF = {name: k + 2 for k, (name, *_) in enumerate(language.SCRIPTS)}
+LATIN = 1
+# Japanese is written in three scripts at once
+SCRIPT_OF["han"] = SCRIPT_OF["kana"]
+SCRIPTS = len(language.SCRIPTS) + 2
+
+_ID, _WEIGHT, _SCRIPT, _GRAMMAR = 32, 8, 8, 1
+
+
+def _describe(token: str) -> int:
+    """A token as a number: 32 bits of identity, 8 of weight (tenths of the root of its length), 8 of script, 1 for grammar."""
+    first = token[0]
+    name = "\n" if first == "\n" else "address" if token.startswith(("http", "www.")) else "0" if first.isdigit() else token
+    script = 0
+    if name == token and (first.isalpha() or "ก" <= first <= "๛"):
+        script = next((SCRIPT_OF[s] for s, low, high, _ in language.SCRIPTS if low <= ord(first) <= high), LATIN)
+    weight = round(10 * min(len(token), 25) ** 0.5)
+    return xxhash.xxh32_intdigest(name) | weight << 32 | script << 40 | (token in GRAMMAR) << 48
+
+
+class _Memo(dict):
+    def __missing__(self, token: str) -> int:
+        found = _describe(token)
+        if len(token) <= 24:  # addresses do not come again
+            self[token] = found
+        return found
+
+
+LINE = _describe("\n") & 0xFFFFFFFF
+
+
+def cuts(n: int, window: int) -> np.ndarray:
+    """Borders of the windows of a text of n tokens, all of about the same size."""
+    k = max(1, round(n / window))
+    return np.arange(k + 1) * n // k
+
+
+def language_hash(lang: Column) -> Column:
+    """A language code in any usual spelling as a number; what names no language is one language."""
+    return F.hash(F.coalesce(language.normal_code(lang), F.lit("und")))
+
+
+def tokenized(docs: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
+    """(page, lang, n, content, grammar, script, ids, weights, scripts) for each page with a token, written once.
+
+    ``docs`` is (page, lang, text). ids and weights hold a number a token, scripts the main script of each window.
     """
-    # gaps are greedy, so that only the first and the last part can be empty
-    parts = pages.repartition("page").select("page", language_hash(F.col("lang")).alias("lang"), F.split(F.lower("text"), TOKEN_GAP, -1).alias("p"))
-    sized = parts.select("page", "lang", "p", (F.size("p") - (F.col("p")[0] == "").cast("int") - (F.element_at("p", -1) == "").cast("int")).alias("n"))
-    # numbers only from here on: such groups are aggregated by hash, without a sort
-    # outer: else a filter on the array's size is inferred, and the text split twice
-    tokens = sized.select("page", "lang", "n", F.explode_outer("p").alias("w")).where("w <> ''").select("page", "lang", "n", F.hash("w").alias("w"))
-    counts = tokens.groupBy("page", "lang", "n", "w").agg(F.count("*").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("c")))
-    ranked = counts.select("page", "lang", "w", F.col("c").cast("int").alias("c"), rank.alias("r"), "n")
-    return materialize(ranked)
+    kind = docs.schema["page"].dataType
+
+    def run(batches):
+        memo = _Memo()
+        for b in batches:
+            cols: list[list] = [[] for _ in range(9)]
+            for page, lang, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                tokens = TOKEN.findall(text.lower())
+                if not tokens:
+                    continue
+                if len(memo) > 400_000:
+                    memo = _Memo()
+                x = np.fromiter(map(memo.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+                ids, weights, scripts = (x & 0xFFFFFFFF).astype(np.uint32), (x >> 32 & 0xFF).astype(np.uint8), x >> 40 & 0xFF
+                at = cuts(len(x), config.window)
+                of_window = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                letters = np.bincount(of_window * SCRIPTS + scripts, minlength=(len(at) - 1) * SCRIPTS).reshape(-1, SCRIPTS)
+                letters[:, 0] = 0
+                row = (page, lang, len(x), xxhash.xxh64_intdigest(ids.tobytes()) - (1 << 63), float((x >> 48 & 1).sum() / max(1, (scripts > 0).sum())), int(letters.sum(axis=0).argmax()),
+                       ids.tobytes(), weights.tobytes(), letters.argmax(axis=1).astype(np.uint8).tobytes())
+                for c, v in zip(cols, row):
+                    c.append(v)
+            types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=TOKENIZED)
+
+    named = docs.select("page", language_hash(F.col("lang")).alias("lang"), "text").where("text is not null")
+    schema = f"page {kind.simpleString()}, lang int, n int, content long, grammar double, script int, ids binary, weights binary, scripts binary"
+    return materialize(named.mapInArrow(run, schema))
+
+
+TOKENIZED = ["page", "lang", "n", "content", "grammar", "script", "ids", "weights", "scripts"]
+
+
+def tally(df: DataFrame, size: int, add) -> np.ndarray:
+    """A table of ``size`` counters: every task adds its rows to one of its own by ``add(table, batch)``, and all are summed.
+
+    What moves are the counters in use, in pieces; what comes to the driver is one table of fixed size.
+    """
+    part = min(size, 1 << 16)
+    schema = pa.schema([("at", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
+
+    def pieces(table):
+        for at in range(0, size, part):
+            piece = table[at : at + part]
+            used = np.flatnonzero(piece)
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([used.astype(np.uint16).tobytes()], type=pa.binary()), pa.array([piece[used].tobytes()], type=pa.binary())], schema=schema)
+
+    def count(batches):
+        table = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            add(table, b)
+        yield from pieces(table)
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, slots, counts in zip(*(b.column(k).to_pylist() for k in range(3))):
+                piece = sums.setdefault(at, np.zeros(part, dtype=np.int64))
+                piece[np.frombuffer(slots, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.int64)
+        for at, piece in sums.items():
+            used = np.flatnonzero(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([used.astype(np.uint16).tobytes()], type=pa.binary()), pa.array([piece[used].tobytes()], type=pa.binary())], schema=schema)
+
+    out = np.zeros(size, dtype=np.int64)
+    shape = "at int, slots binary, counts binary"
+    for r in df.mapInArrow(count, shape).repartition("at").mapInArrow(merge, shape).toLocalIterator():
+        out[r["at"] + np.frombuffer(bytes(r["slots"]), dtype=np.uint16).astype(np.int64)] += np.frombuffer(bytes(r["counts"]), dtype=np.int64)
+    return out
+
+
+_ONE = 64  # the weight of a text that occurs once; copies share it
+
+
+def _hashed(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Profile:
+    """Word pairs and words of prose, in counts of texts; ``copies`` tells how often a text occurs."""
+
+    pairs: np.ndarray
+    words: np.ndarray
+    copies: np.ndarray
+    total: float
+
+
+class Baselines(dict):
+    """Median cost of windows of prose by level and key; nan where there is too little prose."""
+
+    def of(self, lang: int, script: int, size: int) -> float:
+        for key in ((0, lang, script, size), (1, script, size), (2, lang, script), (3, script)):
+            if key in self:
+                return self[key]
+        return float("nan")
+
+
+class Chunk:
+    """Some rows of ``tokenized`` as flat arrays, so that they are worked on at once."""
+
+    def __init__(self, batch: pa.RecordBatch, config: SpamConfig):
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        flat = lambda name, kind: np.frombuffer(b"".join(column(name).to_pylist()), dtype=kind)
+        self.n, self.lang, self.script = (column(c).to_numpy() for c in ("n", "lang", "script"))
+        self.grammar, self.content = column("grammar").to_numpy(), column("content").to_numpy().view(np.uint64)
+        self.ids, self.weights, self.scripts = flat("ids", np.uint32), flat("weights", np.uint8).astype(np.float64), flat("scripts", np.uint8)
+        self.start = np.cumsum(self.n, dtype=np.int64) - self.n
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+        borders = [cuts(n, config.window) for n in self.n.tolist()]
+        self.windows = np.array([len(x) - 1 for x in borders], dtype=np.int64)
+        self.window_at = np.concatenate([x[:-1] + s for x, s in zip(borders, self.start.tolist())]).astype(np.int64)
+        self.window_owner = np.repeat(np.arange(len(self.n)), self.windows)
+        long = np.diff(np.append(self.window_at, len(self.ids)))
+        # half octaves of the tokens of a window; all windows of long pages are in the last
+        self.size = np.minimum(np.floor(2 * np.log2(long)), np.floor(2 * np.log2(config.window * 0.75))).astype(np.int64)
+
+    def slots(self, config: SpamConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of each pair, of its first word and of its second; a text begins after a line end."""
+        after = self.ids.astype(np.uint64)
+        before = np.empty_like(after)
+        before[1:] = after[:-1]
+        before[self.start] = LINE
+        with np.errstate(over="ignore"):
+            pair = (before * np.uint64(0x9E3779B97F4A7C15) + after) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - config.pair_bits)
+            return pair.astype(np.int64), _hashed(before, config.word_bits), _hashed(after, config.word_bits)
+
+    def shares(self, copies: np.ndarray, config: SpamConfig) -> np.ndarray:
+        """What each text adds to a slot: the less, the more copies it has."""
+        return np.maximum(1, _ONE // np.maximum(1, copies[(self.content >> np.uint64(64 - config.copy_bits)).astype(np.int64)]))
+
+    def window_costs(self, core: np.ndarray, profile: Profile, config: SpamConfig) -> np.ndarray:
+        """Mean cost of the tokens of each window after the ones before them, under the pairs of prose.
+
+        What a text added itself, if it is ``core``, is left out. Tokens weigh by
+        the root of their length.
+        """
+        pair, before, after = self.slots(config)
+        own = np.where(core, self.shares(profile.copies, config), 0)[self.owner]
+        n = np.maximum(profile.pairs[pair] - own, 0) / _ONE
+        first, second = np.maximum(profile.words[before] - own, 0) / _ONE, np.maximum(profile.words[after] - own, 0) / _ONE
+        cost = np.minimum(-np.log(config.known * n / (first + 2) + (1 - config.known) * (second + 0.1) / profile.total), config.dearest)
+        return np.add.reduceat(cost * self.weights, self.window_at) / np.add.reduceat(self.weights, self.window_at)
+
+    def divergence(self, cost: np.ndarray, baselines: Baselines) -> np.ndarray:
+        return divergences(self.lang[self.window_owner], self.scripts, self.size, cost, self.windows, baselines)
+
+
+def chunks(batches, config: SpamConfig):
+    """(rows, chunk) of at most ``chunk_tokens`` tokens or one row."""
+    for b in batches:
+        n = b.column(b.schema.get_field_index("n")).to_numpy()
+        at = 0
+        while at < len(n):
+            stop = at + max(1, int(np.searchsorted(np.cumsum(n[at:], dtype=np.int64), config.chunk_tokens, side="right")))
+            rows = b.slice(at, stop - at)
+            yield rows, Chunk(rows, config)
+            at = stop
+
+
+def divergences(lang, script, size, cost, windows, baselines: Baselines) -> np.ndarray:
+    """Median excess over prose of the windows of each page; nan if for most of them there is no prose to compare with."""
+    kinds, which = np.unique(np.stack([lang.astype(np.int64), script.astype(np.int64), size.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+    base = np.array([baselines.of(*k) for k in kinds.tolist()])
+    excess = cost - base[which.reshape(-1)]
+    owner = np.repeat(np.arange(len(windows)), windows)
+    order = np.lexsort((excess, owner))  # nan comes last
+    excess = excess[order]
+    known = np.bincount(owner, weights=~np.isnan(cost - base[which.reshape(-1)]), minlength=len(windows)).astype(np.int64)
+    start = np.cumsum(windows) - windows
+    low, high = start + np.maximum(known - 1, 0) // 2, start + known // 2
+    high = np.minimum(high, start + np.maximum(known - 1, 0))
+    return np.where(2 * known >= windows, (excess[low] + excess[high]) / 2, np.nan)
+
+
+def learn(tokens: DataFrame, copies: np.ndarray, config: SpamConfig, is_core) -> Profile:
+    """The pairs of all pages for which ``is_core(chunk)`` holds, each distinct text once."""
+    size, words = 1 << config.pair_bits, 1 << config.word_bits
+    shipped = tokens.sparkSession.sparkContext.broadcast(copies)
+
+    def add(table, batch):
+        for _, chunk in chunks([batch], config):
+            core = is_core(chunk)
+            pair, before, _ = chunk.slots(config)
+            mine = np.flatnonzero(core[chunk.owner])
+            # a pair counts once in a text
+            _, at = np.unique(chunk.owner[mine] << config.pair_bits | pair[mine], return_index=True)
+            at = mine[at]
+            one = chunk.shares(shipped.value, config)[chunk.owner[at]]
+            np.add.at(table, pair[at], one)
+            np.add.at(table, size + before[at], one)
+
+    table = tally(tokens, size + words, add)
+    pairs, single = table[:size], table[size:]
+    # once the table is full, what any slot holds by chance counts for nothing
+    return Profile(np.maximum(pairs - int(np.median(pairs)), 0).astype(np.int32 if pairs.max(initial=0) < 1 << 31 else np.int64), single, copies, max(float(single.sum()) / _ONE, 1.0))
 
 
 def size_class(n):
-    """Half octaves of a number of words."""
-    return F.floor(F.log2(n.cast("double")) * 2).cast("int")
+    """Octaves of a number of tokens."""
+    return F.floor(F.log2(n.cast("double"))).cast("int")
 
 
-def audit(pages: DataFrame, ranked: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
-    """(page, share) of a sample of the distinct texts of each language and length class, all through the exact check.
+WINDOWS = "array<struct<script:int,size:int,cost:double>>"
+COUNTS = "array<struct<c:bigint,m:bigint>>"
 
-    Pages with the same words equally often are one text. Short pages are left
-    out, as all of them are checked anyway.
-    """
-    known = ranked.where("r = 1").groupBy("lang").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "lang").limit(config.languages)
-    texts = ranked.where(F.col("n") >= config.least_words).groupBy("page", "lang").agg(F.sum("c").alias("n"), F.bit_xor(F.xxhash64("w", "c")).alias("content")).withColumn("size_class", size_class(F.col("n")))
-    distinct = texts.join(F.broadcast(known.select("lang")), "lang").groupBy("lang", "size_class", "content").agg(F.min("page").alias("page"))
-    order = F.row_number().over(Window.partitionBy("lang", "size_class").orderBy(F.xxhash64("content"), "page"))
-    few = distinct.withColumn("k", order).where(F.col("k") <= config.audited).select("page")
-    marked = pages.join(F.broadcast(few), "page").select("page", S.mark_breaks(S.mask(F.col("text"))).alias("_m"))
-    return materialize(with_share(marked, "_m").groupBy("page").agg(F.max("share").alias("share")))
 
+def _lists(count: np.ndarray, **columns) -> pa.Array:
+    """An array of lists of structs from flat columns and the length of each list."""
+    flat = pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), flat)
 
-def rank_frequency(ranked: DataFrame, prose: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
-    """(page, lang hash, n, types, slope, residual, divergence, common) for each page with a word.
 
-    ``ranked`` is of ``word_counts``, ``prose`` the (page) from which the word
-    profile of each language is taken.
-    """
-    core = ranked.join(F.broadcast(prose), "page")
-    share = core.groupBy("lang", "w").agg(F.sum(F.col("c") / F.col("n")).alias("s"))
-    pages_of = core.where("r = 1").groupBy("lang").agg(F.count("*").alias("pages"))
-    top = share.join(F.broadcast(pages_of), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("s"), "w"))).where(F.col("k") <= config.top_words)
-    top = materialize(top.select("lang", "w", (F.col("s") / F.col("pages")).alias("q"), (F.col("k") <= config.common_words).alias("common")))
-    rest = top.groupBy("lang").agg((1 - F.sum("q")).alias("q_rest"))
-    x, y = F.log(F.col("r").cast("double")), F.log(F.col("c").cast("double"))
-    known_word = F.col("q").isNotNull()
-    sums = ranked.join(F.broadcast(top), ["lang", "w"], "left").groupBy("page", "lang").agg(
-        F.count("*").alias("types"),
-        F.sum("c").alias("n"),
-        F.sum(x).alias("_x"),
-        F.sum(y).alias("_y"),
-        F.sum(x * x).alias("_xx"),
-        F.sum(x * y).alias("_xy"),
-        F.sum(y * y).alias("_yy"),
-        F.sum(F.when(known_word, F.col("c")).otherwise(0)).alias("_c"),
-        F.sum(F.when(known_word, F.col("c") * (y - F.log("q"))).otherwise(0.0)).alias("_cq"),
-        F.sum(F.when(F.col("common"), F.col("c")).otherwise(0)).alias("_common"),
-    )
-    # sum of p*log(p/q) over words of the profile, with p = c/n; all other words are one more
-    sums = sums.withColumn("_kl", F.col("_cq") / F.col("n") - F.col("_c") / F.col("n") * F.log(F.col("n").cast("double"))).withColumn("_p_rest", 1 - F.col("_c") / F.col("n")).withColumn("common", F.col("_common") / F.col("n"))
-    m = F.col("types").cast("double")
-    sxx = F.greatest(F.col("_xx") - F.col("_x") ** 2 / m, F.lit(0.0))
-    sxy = F.col("_xy") - F.col("_x") * F.col("_y") / m
-    syy = F.greatest(F.col("_yy") - F.col("_y") ** 2 / m, F.lit(0.0))
-    slope = F.when(sxx > 1e-12, sxy / sxx).otherwise(0.0)
-    residual = F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0)) / m)
-    left = F.greatest(F.coalesce("q_rest", F.lit(1.0)), F.lit(1e-3))
-    kl_rest = F.when(F.col("_p_rest") > 0, F.col("_p_rest") * F.log(F.col("_p_rest") / left)).otherwise(0.0)
-    fitted = sums.join(F.broadcast(rest), "lang", "left").select("page", "lang", "n", "types", slope.alias("slope"), residual.alias("residual"), (F.col("_kl") + kl_rest).alias("divergence"), "common")
-    return materialize(fitted)
+def measured(tokens: DataFrame, profile: Profile, config: SpamConfig, is_core) -> DataFrame:
+    """(page, lang, n, content, script, core, windows, counts): the cost of each window, and how many words occur how often."""
+    shipped = tokens.sparkSession.sparkContext.broadcast(profile)
+    kind = tokens.schema["page"].dataType.simpleString()
 
+    def run(batches):
+        for rows, c in chunks(batches, config):
+            core = is_core(c)
+            cost = c.window_costs(core, shipped.value, config)
+            words, often = np.unique(c.owner << 32 | c.ids, return_counts=True)
+            kinds, many = np.unique((words >> 32) << 32 | often, return_counts=True)
+            kept = [rows.column(rows.schema.get_field_index(x)) for x in ("page", "lang", "n", "content", "script")]
+            windows = _lists(c.windows, script=c.scripts.astype(np.int32), size=c.size.astype(np.int32), cost=cost)
+            counts = _lists(np.bincount(kinds >> 32, minlength=len(c.n)), c=kinds & 0xFFFFFFFF, m=many)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(core), windows, counts], names=["page", "lang", "n", "content", "script", "core", "windows", "counts"])
 
-def language_hash(lang):
-    """A language code in any usual spelling as a number; null and blank are a language of their own."""
-    return F.hash(F.coalesce(language.normal_code(lang), F.nullif(F.lower(F.trim(lang)), F.lit("")), F.lit("und")))
+    return materialize(tokens.mapInArrow(run, f"page {kind}, lang int, n int, content long, script int, core boolean, windows {WINDOWS}, counts {COUNTS}"))
 
 
-FEATURES = ["slope", "residual", "divergence", "richness", "common"]
+LEVELS = [["lang", "script", "size"], ["script", "size"]]
 
 
-def extremes(fitted: DataFrame, prose: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
-    """``fitted`` with the distance of each feature from same-language ``prose`` (page) of comparable length.
+def window_baselines(found: DataFrame, config: SpamConfig) -> Baselines:
+    """Median cost of a window of prose by language, script and size, where there is enough prose, and by less.
 
-    Where there is less than ``least_pages`` of it the distances are null, and
-    ``candidates`` passes the page on to the exact check.
+    There are at most as many as two-letter codes times scripts times sizes.
     """
-    f = fitted.withColumn("size_class", size_class(F.col("n"))).withColumn("richness", F.log("types") - F.log("n"))
-    core = f.join(F.broadcast(prose), "page")
-    middle = [F.percentile_approx(c, [0.16, 0.5, 0.84], 2000).alias(f"{c}_q") for c in FEATURES]
-    own = core.groupBy("lang", "size_class").agg(F.count("*").alias("pages"), *middle).where(F.col("pages") >= config.least_pages)
-    out = f.join(F.broadcast(own), ["lang", "size_class"], "left")
-    for c in FEATURES:
-        q = F.col(f"{c}_q")
-        scale = F.greatest((q[2] - q[0]) / 2, F.lit(0.02))
-        out = out.withColumn(f"{c}_z", (F.col(c) - q[1]) / scale)
-    return out.select("page", "lang", "n", "types", *[x for c in FEATURES for x in (c, f"{c}_z")])
-
-
-def candidates(scored: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
-    e = config.extreme
-    far = (F.abs("slope_z") > e) | (F.col("residual_z") > e) | (F.col("divergence_z") > e) | (F.col("richness_z") < -e) | (F.col("common_z") < -e)
-    # null: there is too little prose to compare with
-    return scored.where((F.col("n") < config.least_words) | F.coalesce(far, F.lit(True)))
-
-
-# How links, words, list marks and ends of sentences look.
-LINK = re.compile(r"(?:https?://|www[.\ue000])[!-&(-;=?-\\^-~\ue000-\ue007]+|</?a\b[^>]*>|\[[^\]\n]*\]\([^)\s]*\)")
-WORD = re.compile(r"(?:[^\W_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])+")
-MARK = re.compile(r"[,;|·•»/、，]| [-–—] |(?:^|\s)#")
-ENDED = re.compile(r"[.!?…。！？\ue000-\ue007][\"'”’»“」』)）]*\s*$")
-THAI = re.compile(r"[\u0e01-\u0e5b]")
-DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
-
-
-def no_sentence(unit: str) -> int:
-    """How many code points of a sentence unit belong to keywords, links or tags."""
-    size = len(unit)
-    plain = LINK.sub("", unit)
-    words = WORD.findall(plain.lower())
-    n, distinct = len(words), len(set(words))
-    marks = len(MARK.findall(plain))
-    thai, dense = THAI.search(plain), DENSE.search(plain)
-    ended = ENDED.search(plain)
-    if thai or dense:
-        letters = sum(map(str.isalpha, plain))
-        if letters < (20 * (marks + 1) if thai else 9):
-            return size
-    else:
-        letters = 0
-        if n <= 4 or (n <= 6 and not ended) or (n > 25 and not ended):
-            return size
-    if (n >= 8 and distinct < n * 0.6) or (n >= 5 and distinct < n * 0.5):
-        return size
-    if not thai and not ended and marks >= 2 and n <= marks * 5:
-        return size
-    if marks >= 3 and n <= marks * 3.5:
-        return size
-    return 0 if n >= 6 or letters >= 12 else size - len(plain)
-
-
-def share_of(marked: str) -> float:
-    """Share of a text, cut into sentences by break characters, that is no sentence."""
-    total = bad = 0
-    for unit in marked.split(S.BREAK):
-        unit = unit.strip()
-        if unit:
-            total += len(unit)
-            bad += no_sentence(unit)
-    return bad / total if total else 0.0
-
-
-def with_share(df: DataFrame, marked: str) -> DataFrame:
-    """Replace the column of marked texts by ``share``."""
-    fields = [T.StructField("share", T.DoubleType()) if f.name == marked else f for f in df.schema.fields]
+    rows = found.where("core").select("lang", F.explode("windows").alias("w")).select("lang", "w.*")
+    out = Baselines()
+    for level, keys in enumerate([*LEVELS, ["lang", "script"], ["script"]]):
+        grouped = rows.groupBy(*keys).agg(F.percentile_approx("cost", 0.5, 2000).alias("q"), F.count("*").alias("k")).where(F.col("k") >= config.least)
+        for r in grouped.collect():
+            out[(level, *[r[k] for k in keys])] = r["q"]
+    return out
+
+
+def with_divergence(found: DataFrame, baselines: Baselines) -> DataFrame:
+    """(page, lang, n, content, script, core, counts, divergence); the divergence is null where there is no prose to compare with."""
+    shipped = found.sparkSession.sparkContext.broadcast(baselines)
+    kind = found.schema["page"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            k = b.schema.get_field_index(marked)
-            yield b.set_column(k, "share", pa.array([share_of(t) for t in b.column(k).to_pylist()], type=pa.float64()))
+            k = b.schema.get_field_index("windows")
+            w, n = b.column(k).flatten(), b.column(k).value_lengths().to_numpy().astype(np.int64)
+            lang = np.repeat(b.column(b.schema.get_field_index("lang")).to_numpy(), n)
+            value = divergences(lang, w.field(0).to_numpy(), w.field(1).to_numpy(), w.field(2).to_numpy(), n, shipped.value) if len(n) else np.zeros(0)
+            yield b.set_column(k, "divergence", pa.array(value, type=pa.float64(), from_pandas=True))
+
+    return found.select("page", "lang", "n", "content", "script", "core", "counts", "windows").mapInArrow(
+        run, f"page {kind}, lang int, n int, content long, script int, core boolean, counts {COUNTS}, divergence double"
+    )
+
+
+def divergence_spread(scored: DataFrame) -> dict[int, float]:
+    """Deviation of the divergence of prose by octave of length, from its lower half, which other pages hardly move."""
+    rows = scored.where("core AND divergence is not null").groupBy(size_class(F.col("n")).alias("size")).agg(F.percentile_approx("divergence", [0.16, 0.5], 2000).alias("q"), F.count("*").alias("k")).collect()
+    everywhere = np.median([r["q"][1] - r["q"][0] for r in rows]) if rows else 0.3
+    return {r["size"]: max(float(r["q"][1] - r["q"][0]) if r["k"] >= 8 else float(everywhere), 0.1) for r in rows}
+
+
+def rank_frequency(scored: DataFrame) -> DataFrame:
+    """(page, lang, n, script, core, divergence, slope, residual): the line of log frequency over log rank of each page.
+
+    Words that occur equally often have neighbouring ranks, so a running sum over
+    the counts of a page, a SQL window, gives the ranks without a row a word.
+    """
+    facts = F.struct("n", "content", "lang", "script", "core", "divergence", "counts")
+    once = scored.groupBy("page").agg(F.max_by(facts, F.struct("n", "content")).alias("x")).select("page", "x.*")
+    rows = once.select("page", "lang", "n", "script", "core", "divergence", F.explode_outer("counts").alias("w")).select("page", "lang", "n", "script", "core", "divergence", "w.c", "w.m")
+    last = F.sum("m").over(Window.partitionBy("page").orderBy(F.desc("c")))
+    ranked = rows.withColumn("_to", last)
+    log = lambda r: F.log(r.cast("double"))
+    sums = F.aggregate(
+        F.sequence(F.col("_to") - F.col("m") + 1, F.col("_to")), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("xx")),
+        lambda a, r: F.struct((a["x"] + log(r)).alias("x"), (a["xx"] + log(r) * log(r)).alias("xx")),
+    )
+    y = F.log(F.col("c").cast("double"))
+    fit = ranked.withColumn("_s", sums).groupBy("page", "lang", "n", "script", "core", "divergence").agg(
+        F.sum("m").cast("double").alias("k"), F.sum("_s.x").alias("sx"), F.sum("_s.xx").alias("sxx"), F.sum(F.col("m") * y).alias("sy"), F.sum(F.col("m") * y * y).alias("syy"), F.sum(y * F.col("_s.x")).alias("sxy")
+    )
+    xx = F.greatest(F.col("sxx") - F.col("sx") ** 2 / F.col("k"), F.lit(0.0))
+    xy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("k")
+    yy = F.greatest(F.col("syy") - F.col("sy") ** 2 / F.col("k"), F.lit(0.0))
+    slope = F.when(xx > 1e-12, xy / xx).otherwise(0.0)
+    return fit.select("page", "lang", "n", "script", "core", "divergence", slope.alias("slope"), F.sqrt(F.greatest(yy - slope * xy, F.lit(0.0)) / F.col("k")).alias("residual"))
+
+
+def extremes(fitted: DataFrame, spread: dict[int, float], config: SpamConfig) -> DataFrame:
+    """(page, divergence, spread, slope_z, residual_z): distances from prose of the same language and script and of comparable length.
+
+    Baselines are bounded broadcasts: one row a two-letter code, script and octave.
+    """
+    f = fitted.withColumn("size", size_class(F.col("n")))
+    core = f.where("core")
+    measures = [F.percentile_approx(c, [0.16, 0.5, 0.84], 2000).alias(f"{c}_q") for c in ("slope", "residual")]
+    for level, keys in enumerate([*LEVELS, ["size"]]):
+        own = core.groupBy(*keys).agg(F.count("*").alias("_k"), *measures).where(F.col("_k") >= config.least)
+        named = own.select(*keys, *[F.col(f"{c}_q").alias(f"{c}_{level}") for c in ("slope", "residual")])
+        f = f.join(F.broadcast(named), keys, "left")
 
-    return df.mapInArrow(run, T.StructType(fields))
+    def z(c: str) -> Column:
+        q = F.coalesce(*[F.col(f"{c}_{level}") for level in range(len(LEVELS) + 1)])
+        return F.coalesce((F.col(c) - q[1]) / F.greatest((q[2] - q[0]) / 2, F.lit(0.1)), F.lit(0.0))
+
+    sigma = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in (spread or {0: 0.3}).items() for x in pair]), F.col("size")), F.lit(0.3))
+    return f.select("page", "divergence", sigma.alias("spread"), z("slope").alias("slope_z"), z("residual").alias("residual_z"))
+
+
+@dataclass(frozen=True)
+class Mixture:
+    """Share of pages that are no prose, and mean and deviation of divergence, slope and residual among them."""
+
+    share: float
+    normals: tuple[tuple[float, float], ...]
+
+    def log_odds(self, divergence, spread, slope, residual, tail: float):
+        """The same for numpy arrays and, by ``_log_odds_column``, for columns. A null divergence is nan and says nothing."""
+        out = np.full(len(slope), np.log(self.share) - np.log(1 - self.share))
+        for k, (x, s) in enumerate(((divergence, spread), (slope, np.full(len(slope), 1.2)), (residual, np.full(len(slope), 1.2)))):
+            m, d = self.normals[k]
+            at = np.minimum(x, m) if k == 0 else x  # beyond its mean a divergence speaks no less against prose
+            ratio = -0.5 * ((at - m) / d) ** 2 - np.log(d) + (tail + 1) / 2 * np.log1p((at / s) ** 2 / tail) + np.log(s)
+            out += np.where(np.isnan(x), 0.0, np.where((k == 0) & (x < 0), np.minimum(ratio, 0.0), ratio))
+        return out
+
+
+def log_odds_column(mixture: Mixture, tail: float) -> Column:
+    out = F.lit(float(np.log(mixture.share) - np.log(1 - mixture.share)))
+    for k, (name, s) in enumerate((("divergence", F.col("spread")), ("slope_z", F.lit(1.2)), ("residual_z", F.lit(1.2)))):
+        m, d = mixture.normals[k]
+        x = F.col(name)
+        at = F.least(x, F.lit(m)) if k == 0 else x
+        ratio = F.lit(-0.5) * F.pow((at - m) / d, F.lit(2.0)) - float(np.log(d)) + F.log1p(F.pow(at / s, F.lit(2.0)) / tail) * ((tail + 1) / 2) + F.log(s)
+        known = F.when(x < 0, F.least(ratio, F.lit(0.0))).otherwise(ratio) if k == 0 else ratio
+        out = out + F.when(x.isNull(), F.lit(0.0)).otherwise(known)
+    return out
+
+
+def fit_mixture(scored: DataFrame, config: SpamConfig) -> Mixture:
+    """Expectation maximization on a histogram of the three measures. Its bins are bounded, however many pages there are."""
+    bins = scored.select(
+        F.when(F.col("divergence").isNotNull(), F.round(F.greatest(F.lit(-3.0), F.least(F.lit(7.0), "divergence")), 1)).alias("d"), "spread",
+        *[F.round(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), c))).alias(c) for c in ("slope_z", "residual_z")],
+    ).groupBy("d", "spread", "slope_z", "residual_z").count().collect()
+    a = config.prior_pages
+    prior = ((2.0, 1.0), (-4.0, 4.0), (3.0, 4.0))
+    mixture = Mixture(0.05, prior)
+    if not bins:
+        return mixture
+    x = [np.array([np.nan if r[c] is None else float(r[c]) for r in bins]) for c in ("d", "spread", "slope_z", "residual_z")]
+    count = np.array([r["count"] for r in bins], dtype=float)
+    p = np.where(x[0] > 4 * x[1], 0.9, 0.02)
+    for _ in range(config.iterations):
+        w = p * count
+        normals = []
+        for v, (m0, s0) in zip((x[0], x[2], x[3]), prior):
+            known = np.where(np.isnan(v), 0.0, w)
+            value = np.nan_to_num(v)
+            m = float(((known * value).sum() + a * m0) / (known.sum() + a))
+            s = float(np.sqrt(((known * (value - m) ** 2).sum() + a * s0**2) / (known.sum() + a)))
+            normals.append((m, max(s, 0.5)))
+        share = float(np.clip((w.sum() + 0.05 * a) / (count.sum() + a), 1e-4, 0.95))
+        mixture = Mixture(share, tuple(normals))
+        p = 1 / (1 + np.exp(-np.clip(mixture.log_odds(*x, config.tail), -50, 50)))
+    return mixture
 
 
 def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", config: SpamConfig = SpamConfig()) -> DataFrame:
-    """(page, share, slope_z, residual_z, divergence_z, richness_z, common_z) of the pages that are mostly no sentences.
+    """(page, posterior, divergence, slope_z, residual_z) of the pages that are mostly no sentences.
 
-    A null text, or one without a word, is no such page. Each key is judged once;
-    repeated rows of a key count as one page. A null language is a language of
-    its own.
+    A null text, or one without a word or mark, is no such page. Each key is
+    judged once; of repeated rows of a key the longest text counts. A null
+    language, or one that is none, is a language of its own. Where the script of
+    a page has too little prose in the data, its divergence is null and only its
+    curve speaks.
     """
     pages = docs.select(F.col(key).alias("page"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    ranked = word_counts(pages.where(F.col("text").isNotNull()))
-    audited = audit(pages.where(F.col("text").isNotNull()), ranked, config)
-    prose = audited.where(F.col("share") < config.core_share).select("page")
-    scored = extremes(rank_frequency(ranked, prose, config), prose, config)
-    zs = ["slope_z", "residual_z", "divergence_z", "richness_z", "common_z"]
-    known = scored.join(F.broadcast(audited.where(F.col("share") >= config.spam_share)), "page").select("page", "share", *zs)
-    few = candidates(scored, config).join(F.broadcast(audited.select("page")), "page", "left_anti").select("page", *zs)
-    kept = pages.join(few, "page").select("page", *zs, S.mark_breaks(S.mask(F.col("text"))).alias("_m"))
-    found = with_share(kept, "_m").where(F.col("share") >= config.spam_share).select("page", "share", *zs)
-    return known.unionByName(found).dropDuplicates(["page"])
+    tokens = tokenized(pages, config)
+    spark = docs.sparkSession
+    bits = config.copy_bits
+
+    def add_copies(table, batch):
+        content = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        np.add.at(table, content.astype(np.int64), 1)
+
+    copies = tally(tokens.select("content"), 1 << bits, add_copies)
+    # pages to begin with: by script, those with at least half the grammar of the pages that have much of it
+    usual = {r["script"]: r["q"] / 2 for r in tokens.groupBy("script").agg(F.percentile_approx("grammar", 0.95, 2000).alias("q")).collect()}
+
+    def usual_grammar(c: Chunk) -> np.ndarray:
+        return c.grammar >= np.array([usual[x] for x in c.script.tolist()])
+
+    first = learn(tokens, copies, config, usual_grammar)
+    found = measured(tokens, first, config, usual_grammar)
+    baselines = window_baselines(found, config)
+    spread = divergence_spread(with_divergence(found, baselines))
+    shipped = spark.sparkContext.broadcast((first, baselines, spread))
+
+    def near_prose(c: Chunk) -> np.ndarray:
+        profile, known, sigma = shipped.value
+        d = c.divergence(c.window_costs(usual_grammar(c), profile, config), known)
+        most = config.core * np.array([sigma.get(int(x), 0.3) for x in np.floor(np.log2(c.n))])
+        return np.isnan(d) | (d <= most)
+
+    found = measured(tokens, learn(tokens, copies, config, near_prose), config, near_prose)
+    scored = with_divergence(found, window_baselines(found, config))
+    fitted = materialize(rank_frequency(scored))
+    far = materialize(extremes(fitted, divergence_spread(fitted), config))
+    odds = log_odds_column(fit_mixture(far, config), config.tail)
+    posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))))
+    return far.withColumn("posterior", posterior).where(F.col("posterior") >= config.cutoff).select("page", "posterior", "divergence", "slope_z", "residual_z")

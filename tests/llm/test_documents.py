@@ -104,23 +104,48 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_share_that_is_no_sentence(spark, name):
-    from lingloom.llm import sentences as S
+# Prose is learned from the data, so there has to be some: sentences in any order, some as lists, some with a refrain.
+SENTENCES = [x.strip() + "." for x in (PROSE + "The night guard moved the heavy piano because the river was too high. In short, the library sold the last lamp to an old teacher. So we go on and on, as we did before. The baker cooked a soup of wild mushrooms while the children were watching. Our neighbour painted the wooden bridge at the edge of the forest. The museum lost the key to the archive after the storm. A young engineer opened the new reading room, although nobody had asked for it. We planted forty apple trees near the harbour. ").split(". ") if x.strip()]
+HAN_SENTENCES = [x + "。" for x in "由于机器的声音太大，村里的学校在北部城区卖掉了最后一盏铜灯。但是暴风雨过后乐团公布了道路名称的清单。图书馆的老师在河边种下了四十棵苹果树。因为价格上涨了，邻居把长墙刷成了蓝色。面包师在孩子们的注视下煮了一锅野生蘑菇汤。博物馆在暴风雨过后弄丢了档案室的钥匙".split("。")]
 
-    text, spam = CASES[name]
-    marked = spark.createDataFrame([(text,)], "t string").select(S.mark_breaks(S.mask(F.col("t")))).first()[0]
-    assert (K.share_of(marked) >= 0.5) == spam
+
+def any_prose(i, sentences):
+    import random
+
+    rng = random.Random(i)
+    chosen = [rng.choice(sentences) for _ in range(3 + i % 9)]
+    return "\n".join(f"- {x}" for x in chosen) if i % 4 == 0 else "\n".join(chosen) if i % 4 == 1 else " ".join(chosen)
 
 
 def test_keyword_pages(spark):
-    rows = [(i, PROSE * (2 + i % 5) + f" Number {i} follows here now.", "en", "a") for i in range(120)] + [(1000 + i, t, None if i % 2 else "en", "a") for i, (t, _) in enumerate(CASES.values())]
+    rows = [(i, any_prose(i, SENTENCES), "en", "a") for i in range(200)] + [(500 + i, any_prose(i, HAN_SENTENCES), "zh", "a") for i in range(60)]
+    rows += [(1000 + i, t, None if i % 2 else "en", "a") for i, (t, _) in enumerate(CASES.values())]
     rows += [(2000, None, "en", "a"), (2001, "", "en", "a"), (1000, CASES["keywords"][0], "en", "a")]
     got = {r["page"] for r in K.keyword_pages(docs(spark, rows).withColumn("n", F.lit("clash"))).collect()}
     assert got == {1000 + i for i, (_, spam) in enumerate(CASES.values()) if spam}
     assert K.keyword_pages(docs(spark, [])).count() == 0
 
 
+def test_copies_do_not_make_keywords_prose(spark):
+    rows = [(i, prose_page(i), "en", "a") for i in range(120)] + [(1000 + i, keyword_page(3), "en", "a") for i in range(60)]
+    assert {r["page"] for r in K.keyword_pages(docs(spark, rows)).collect()} == {1000 + i for i in range(60)}
+
+
+def test_curve_of_a_page_is_its_least_squares_line(spark):
+    import numpy as np
+
+    text = "a a a a b b c d d e f f f g"
+    tokens = K.tokenized(spark.createDataFrame([(1, "en", text)], "page long, lang string, text string"))
+    copies = np.zeros(1 << 20, dtype=np.int64)
+    everything = lambda c: np.ones(len(c.n), dtype=bool)
+    found = K.measured(tokens, K.learn(tokens, copies, K.SpamConfig(), everything), K.SpamConfig(), everything)
+    got = K.rank_frequency(K.with_divergence(found, K.Baselines())).first()
+    x, y = np.log(np.arange(1, 8)), np.log([4, 3, 2, 2, 1, 1, 1])
+    slope, at = np.polyfit(x, y, 1)
+    assert got["slope"] == pytest.approx(slope) and got["residual"] == pytest.approx(np.sqrt(np.mean((y - slope * x - at) ** 2)))
+    assert got["n"] == 14 and got["divergence"] is None
+
+
 WORDS = "school wall plan sailor ticket machine harbour village lamp chair garden road storm market bridge letter window river teacher engine bakery coat winter morning".split()
 SMALL = "the of and a to in was for that with on as".split()
 
@@ -157,4 +182,4 @@ def test_keyword_pages_of_languages_without_a_profile_and_of_other_spellings(spa
     rows = [(i, prose_page(i), ["en", "EN-us", "eng", " en "][i % 4], "a") for i in range(60)] + [(500 + i, prose_page(i), "fr", "a") for i in range(40)] + [(1000 + i, keyword_page(i), "fr", "a") for i in range(10)]
     df = docs(spark, rows)
     assert df.select(K.language_hash(F.col("lang"))).distinct().count() == 2
-    assert {r["page"] for r in K.keyword_pages(df, config=K.SpamConfig(languages=1)).collect()} == {1000 + i for i in range(10)}
+    assert {r["page"] for r in K.keyword_pages(df).collect()} == {1000 + i for i in range(10)}
