@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,25 +112,45 @@ def tokenized(docs: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
     def run(batches):
         memo = _Memo()
         for b in batches:
-            cols: list[list] = [[] for _ in range(9)]
-            for page, lang, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                tokens = TOKEN.findall(text.lower())
-                if not tokens:
-                    continue
-                if len(memo) > 400_000:
-                    memo = _Memo()
-                x = np.fromiter(map(memo.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                ids, weights, scripts = (x & 0xFFFFFFFF).astype(np.uint32), (x >> 32 & 0xFF).astype(np.uint8), x >> 40 & 0xFF
-                at = cuts(len(x), config.window)
-                of_window = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                letters = np.bincount(of_window * SCRIPTS + scripts, minlength=(len(at) - 1) * SCRIPTS).reshape(-1, SCRIPTS)
-                letters[:, 0] = 0
-                row = (page, lang, len(x), xxhash.xxh64_intdigest(ids.tobytes()) - (1 << 63), float((x >> 48 & 1).sum() / max(1, (scripts > 0).sum())), int(letters.sum(axis=0).argmax()),
-                       ids.tobytes(), weights.tobytes(), letters.argmax(axis=1).astype(np.uint8).tobytes())
-                for c, v in zip(cols, row):
-                    c.append(v)
-            types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=TOKENIZED)
+            pages, langs, texts = (b.column(k).to_pylist() for k in range(3))
+            at = 0
+            while at < len(texts):
+                found, kept, size = [], [], 0
+                while at < len(texts) and size < config.chunk_tokens:
+                    tokens = TOKEN.findall(texts[at].lower())
+                    if tokens:
+                        found.append(tokens)
+                        kept.append(at)
+                        size += len(tokens)
+                    at += 1
+                if kept:
+                    if len(memo) > 400_000:
+                        memo = _Memo()
+                    yield described(found, [pages[k] for k in kept], [langs[k] for k in kept], b.schema.field(0).type, memo)
+
+    def described(found, pages, langs, page_type, memo):
+        n = np.array([len(t) for t in found], dtype=np.int64)
+        x = np.fromiter(map(memo.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(n.sum()))
+        ids, weights, scripts = (x & 0xFFFFFFFF).astype(np.uint32), (x >> 32 & 0xFF).astype(np.uint8), x >> 40 & 0xFF
+        start = np.cumsum(n) - n
+        borders = [cuts(k, config.window) for k in n.tolist()]
+        windows = np.array([len(k) - 1 for k in borders])
+        window_at = np.concatenate([k[:-1] + s for k, s in zip(borders, start.tolist())])
+        of_window = np.repeat(np.arange(len(window_at)), np.diff(np.append(window_at, len(x))))
+        letters = np.bincount(of_window * SCRIPTS + scripts, minlength=len(window_at) * SCRIPTS).reshape(-1, SCRIPTS)
+        letters[:, 0] = 0
+        first = np.cumsum(windows) - windows
+        whole = np.add.reduceat(letters, first, axis=0)
+        grammar = np.add.reduceat(x >> 48 & 1, start) / np.maximum(whole.sum(axis=1), 1)
+        main = letters.argmax(axis=1).astype(np.uint8).tobytes()
+        raw, weighed = ids.tobytes(), weights.tobytes()
+        ends = (start + n).tolist()
+        own = [raw[4 * s : 4 * e] for s, e in zip(start.tolist(), ends)]
+        return pa.RecordBatch.from_arrays([
+            pa.array(pages, type=page_type), pa.array(langs, type=pa.int32()), pa.array(n.astype(np.int32)), pa.array([xxhash.xxh64_intdigest(k) - (1 << 63) for k in own], type=pa.int64()),
+            pa.array(grammar), pa.array(whole.argmax(axis=1).astype(np.int32)), pa.array(own, type=pa.binary()), pa.array([weighed[s:e] for s, e in zip(start.tolist(), ends)], type=pa.binary()),
+            pa.array([main[s : s + k] for s, k in zip(first.tolist(), windows.tolist())], type=pa.binary()),
+        ], names=TOKENIZED)
 
     named = docs.select("page", language_hash(F.col("lang")).alias("lang"), "text").where("text is not null")
     schema = f"page {kind.simpleString()}, lang int, n int, content long, grammar double, script int, ids binary, weights binary, scripts binary"
@@ -319,8 +340,8 @@ def _lists(count: np.ndarray, **columns) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), flat)
 
 
-def measured(tokens: DataFrame, profile: Profile, config: SpamConfig, is_core) -> DataFrame:
-    """(page, lang, n, content, script, core, windows, counts): the cost of each window, and how many words occur how often."""
+def measured(tokens: DataFrame, profile: Profile, config: SpamConfig, is_core, curves: bool = True) -> DataFrame:
+    """(page, lang, n, content, script, core, windows, counts): the cost of each window, and, for ``curves``, how many words occur how often."""
     shipped = tokens.sparkSession.sparkContext.broadcast(profile)
     kind = tokens.schema["page"].dataType.simpleString()
 
@@ -328,7 +349,7 @@ def measured(tokens: DataFrame, profile: Profile, config: SpamConfig, is_core) -
         for rows, c in chunks(batches, config):
             core = is_core(c)
             cost = c.window_costs(core, shipped.value, config)
-            words, often = np.unique(c.owner << 32 | c.ids, return_counts=True)
+            words, often = np.unique(c.owner << 32 | c.ids, return_counts=True) if curves else (np.zeros(0, dtype=np.int64),) * 2
             kinds, many = np.unique((words >> 32) << 32 | often, return_counts=True)
             kept = [rows.column(rows.schema.get_field_index(x)) for x in ("page", "lang", "n", "content", "script")]
             windows = _lists(c.windows, script=c.scripts.astype(np.int32), size=c.size.astype(np.int32), cost=cost)
@@ -505,7 +526,7 @@ def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
         content = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
         np.add.at(table, content.astype(np.int64), 1)
 
-    copies = tally(tokens.select("content"), 1 << bits, add_copies)
+    copies = np.minimum(tally(tokens.select("content"), 1 << bits, add_copies), np.iinfo(np.int32).max).astype(np.int32)
     # pages to begin with: by script, those with at least half the grammar of the pages that have much of it
     usual = {r["script"]: r["q"] / 2 for r in tokens.groupBy("script").agg(F.percentile_approx("grammar", 0.95, 2000).alias("q")).collect()}
 
@@ -513,7 +534,7 @@ def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
         return c.grammar >= np.array([usual[x] for x in c.script.tolist()])
 
     first = learn(tokens, copies, config, usual_grammar)
-    found = measured(tokens, first, config, usual_grammar)
+    found = measured(tokens, first, config, usual_grammar, curves=False)
     baselines = window_baselines(found, config)
     spread = divergence_spread(with_divergence(found, baselines))
     shipped = spark.sparkContext.broadcast((first, baselines, spread))
