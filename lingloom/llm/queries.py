@@ -92,7 +92,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixed(spark, sf).report
+    return mixing.drawn_report(_mixed(spark, sf))
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,6 +118,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"WITH {_REPORT} SELECT plan_id, kind, length_from FROM r WHERE available < wanted",
         "p4_report": f"WITH {_REPORT} SELECT plan_id, kind, length_from, wanted, available, least(available, floor(wanted + 0.5)::BIGINT) AS quota, available < wanted AS exhausted FROM r",
+        # no SQL engine counts tokens; sizes in characters give the same sources (the targets are set so)
+        "p9_found": """WITH n AS (SELECT source, sum(n_chars) AS n FROM documents GROUP BY source), a AS (SELECT sum(n_chars) AS n FROM documents)
+SELECT t.mix_id, t.source FROM mix_targets t LEFT JOIN n ON n.source = t.source, a WHERE coalesce(n.n, 0) * t.max_repeats < t.target_share * t.budget_share * a.n""",
         "p5_found": """WITH d AS (SELECT DISTINCT source_id, candidate_index, prefilter.score_sample AS s FROM prefilter_candidates WHERE prefilter.score_sample IS NOT NULL AND NOT isnan(prefilter.score_sample))
 SELECT source_id, candidate_index FROM d QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY s, candidate_index) <= 3""",
     }

@@ -82,6 +82,49 @@ def test_documents_without_source_belong_to_what_they_sound_like(spark):
     assert all(abs(sum(m["share"] for m in v) - 1) < 1e-9 for v in members.values() if v)
 
 
+def test_the_text_may_outvote_a_wrong_label(spark):
+    sea, bakery = "river boat harbour water sail anchor mast ", "oven bread flour yeast dough crust salt "
+    rows = [(i, sea * (3 + i % 3), None, "sea") for i in range(150)] + [(500 + i, bakery * (3 + i % 3), None, "bakery") for i in range(150)]
+    rows += [(1000 + i, bakery * 40, None, "sea") for i in range(6)]  # bakery under the label of the sea
+    t = spark.createDataFrame([("m", "sea", 0.5, 1, 0.95), ("m", "bakery", 0.5, 1, 0.95)], TARGETS)
+    got = M.mix(docs(spark, rows), t)
+    sizes = {r["key"]: r["n"] for r in got.rates.collect()}
+    true_bakery = sum(n for k, n in sizes.items() if k >= 500)
+    labelled_sea = sum(n for k, n in sizes.items() if k < 500 or k >= 1000)
+    report = {r["source"]: r for r in got.report.collect()}
+    assert report["bakery"]["available"] == pytest.approx(true_bakery, rel=0.02)
+    # by the labels the sea could serve its half; by what the texts are it cannot
+    assert labelled_sea > report["sea"]["wanted"] > report["sea"]["reached"] and report["sea"]["exhausted"] and not report["bakery"]["exhausted"]
+
+
+def test_text_that_says_nothing_leaves_the_label(spark):
+    rows = [(i, "any words will do here " * (1 + i % 5), None, ["a", "b", "c"][i % 3]) for i in range(300)]
+    got = {r["key"]: r["members"] for r in M.memberships(docs(spark, rows), "doc_id", "text", "source").collect()}
+    assert all([(m["domain"], m["share"]) for m in got[i]] == [(["a", "b", "c"][i % 3], 1.0)] for i in range(300))
+
+
+def test_drawn_shares_are_those_of_the_draw(spark):
+    rows = [(i, "alpha beta gamma " * 10, None, "big") for i in range(200)] + [(500 + i, "delta epsilon " * 10, None, "mid") for i in range(60)]
+    t = spark.createDataFrame([("m", "big", 0.5, 1, 0.3), ("m", "mid", 0.5, 3, 0.3)], TARGETS)
+    got = M.mix(docs(spark, rows), t)
+    drawn = M.draw_copies(got).collect()
+    report = {r["source"]: r for r in M.drawn_report(got).collect()}
+    for source, mine in (("big", lambda k: k < 500), ("mid", lambda k: k >= 500)):
+        assert report[source]["drawn"] == sum(r["n"] * r["copies"] for r in drawn if mine(r["key"]))
+        assert report[source]["drawn"] == pytest.approx(report[source]["reached"], rel=0.25)
+    assert sum(r["drawn_share"] for r in report.values()) == pytest.approx(1.0)
+
+
+def test_rates_are_those_of_least_squares_when_domains_overlap():
+    import numpy as np
+
+    shares = np.array([[1.0, 0.0, 0.0], [0.5, 0.5, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]])
+    plan = M.Plan(["m"], ["a", "b"], np.array([[30.0, 40.0]]), np.array([[3.0, 2.0]]))
+    assert M.caps_of(shares, plan)[:, 0].tolist() == [3.0, 2.0, 2.0, 0.0]
+    assert M.rates_of(shares, plan, [np.array([[9.0, -1.0]])])[:, 0].tolist() == [3.0, 2.0, 0.0, 0.0]
+    assert M.members_of(np.array([0.5, 0.3, 0.2]), 16) == [(0, 8), (1, 5), (2, 3)]
+
+
 def test_mixing_nothing(spark):
     t = spark.createDataFrame([("m", "big", 1.0, 1, 0.2)], TARGETS)
     report = M.mix(docs(spark, []), t).report.first()
