@@ -233,9 +233,15 @@ class Chunk:
         flat = lambda name, kind: np.frombuffer(b"".join(column(name).to_pylist()), dtype=kind)
         self.n, self.lang, self.script = (column(c).to_numpy() for c in ("n", "lang", "script"))
         self.grammar, self.content = column("grammar").to_numpy(), column("content").to_numpy().view(np.uint64)
-        self.ids, self.weights, self.scripts = flat("ids", np.uint32), flat("weights", np.uint8).astype(np.float64), flat("scripts", np.uint8)
+        self.ids = flat("ids", np.uint32)
+        if "weights" in batch.schema.names:
+            self.weights, self.scripts = flat("weights", np.uint8).astype(np.float64), flat("scripts", np.uint8)
         self.start = np.cumsum(self.n, dtype=np.int64) - self.n
         self.owner = np.repeat(np.arange(len(self.n)), self.n)
+        if "weights" in batch.schema.names:
+            self.cut(config)
+
+    def cut(self, config: SpamConfig) -> None:
         borders = [cuts(n, config.window) for n in self.n.tolist()]
         self.windows = np.array([len(x) - 1 for x in borders], dtype=np.int64)
         self.window_at = np.concatenate([x[:-1] + s for x, s in zip(borders, self.start.tolist())]).astype(np.int64)
@@ -256,16 +262,16 @@ class Chunk:
 
     def shares(self, copies: np.ndarray, config: SpamConfig) -> np.ndarray:
         """What each text adds to a slot: the less, the more copies it has."""
-        return np.maximum(1, _ONE // np.maximum(1, copies[(self.content >> np.uint64(64 - config.copy_bits)).astype(np.int64)]))
+        return np.maximum(1, _ONE // np.maximum(1, copies[(self.content >> np.uint64(64 - config.copy_bits)).astype(np.int64)])).astype(np.int64)
 
-    def window_costs(self, core: np.ndarray, profile: Profile, config: SpamConfig) -> np.ndarray:
+    def window_costs(self, profile: Profile, config: SpamConfig) -> np.ndarray:
         """Mean cost of the tokens of each window after the ones before them, under the pairs of prose.
 
-        What a text added itself, if it is ``core``, is left out. Tokens weigh by
-        the root of their length.
+        What a text adds itself is left out. Tokens weigh by the root of their
+        length.
         """
         pair, before, after = self.slots(config)
-        own = np.where(core, self.shares(profile.copies, config), 0)[self.owner]
+        own = self.shares(profile.copies, config)[self.owner]
         n = np.maximum(profile.pairs[pair] - own, 0) / _ONE
         first, second = np.maximum(profile.words[before] - own, 0) / _ONE, np.maximum(profile.words[after] - own, 0) / _ONE
         cost = np.minimum(-np.log(config.known * n / (first + 2) + (1 - config.known) * (second + 0.1) / profile.total), config.dearest)
@@ -302,7 +308,7 @@ def divergences(lang, script, size, cost, windows, baselines: Baselines) -> np.n
     return np.where(2 * known >= windows, (excess[low] + excess[high]) / 2, np.nan)
 
 
-def learn(tokens: DataFrame, copies: np.ndarray, config: SpamConfig, is_core) -> Profile:
+def learn(tokens: DataFrame, copies: np.ndarray, config: SpamConfig, is_core, columns: list[str] | None = None) -> Profile:
     """The pairs of all pages for which ``is_core(chunk)`` holds, each distinct text once."""
     size, words = 1 << config.pair_bits, 1 << config.word_bits
     shipped = tokens.sparkSession.sparkContext.broadcast(copies)
@@ -311,15 +317,15 @@ def learn(tokens: DataFrame, copies: np.ndarray, config: SpamConfig, is_core) ->
         for _, chunk in chunks([batch], config):
             core = is_core(chunk)
             pair, before, _ = chunk.slots(config)
-            mine = np.flatnonzero(core[chunk.owner])
-            # a pair counts once in a text
-            _, at = np.unique(chunk.owner[mine] << config.pair_bits | pair[mine], return_index=True)
-            at = mine[at]
-            one = chunk.shares(shipped.value, config)[chunk.owner[at]]
-            np.add.at(table, pair[at], one)
-            np.add.at(table, size + before[at], one)
-
-    table = tally(tokens, size + words, add)
+            mine = core[chunk.owner]
+            # a pair counts once in a text: text, pair and first word in one sorted number
+            packed = np.sort((chunk.owner[mine] << config.pair_bits | pair[mine]) << config.word_bits | before[mine])
+            packed = packed[np.flatnonzero(np.diff(packed, prepend=-1))]
+            one = chunk.shares(shipped.value, config)[packed >> config.pair_bits + config.word_bits]
+            np.add.at(table, packed >> config.word_bits & size - 1, one)
+            np.add.at(table, size + (packed & words - 1), one)
+
+    table = tally(tokens.select(*(columns or TOKENIZED[1:])), size + words, add)
     pairs, single = table[:size], table[size:]
     # once the table is full, what any slot holds by chance counts for nothing
     return Profile(np.maximum(pairs - int(np.median(pairs)), 0).astype(np.int32 if pairs.max(initial=0) < 1 << 31 else np.int64), single, copies, max(float(single.sum()) / _ONE, 1.0))
@@ -348,7 +354,7 @@ def measured(tokens: DataFrame, profile: Profile, config: SpamConfig, is_core, c
     def run(batches):
         for rows, c in chunks(batches, config):
             core = is_core(c)
-            cost = c.window_costs(core, shipped.value, config)
+            cost = c.window_costs(shipped.value, config)
             words, often = np.unique(c.owner << 32 | c.ids, return_counts=True) if curves else (np.zeros(0, dtype=np.int64),) * 2
             kinds, many = np.unique((words >> 32) << 32 | often, return_counts=True)
             kept = [rows.column(rows.schema.get_field_index(x)) for x in ("page", "lang", "n", "content", "script")]
@@ -359,7 +365,24 @@ def measured(tokens: DataFrame, profile: Profile, config: SpamConfig, is_core, c
     return materialize(tokens.mapInArrow(run, f"page {kind}, lang int, n int, content long, script int, core boolean, windows {WINDOWS}, counts {COUNTS}"))
 
 
-LEVELS = [["lang", "script", "size"], ["script", "size"]]
+LEVELS = [["lang", "script", "size"], ["script", "size"], ["lang", "script"], ["script"]]
+
+
+def quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """Of a histogram with ascending values."""
+    upto = np.cumsum(counts)
+    return float(values[min(int(np.searchsorted(upto, q * upto[-1])), len(values) - 1)])
+
+
+def histograms(rows: DataFrame, keys: list[str], value: str, step: float, levels: list[list[str]]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """(values, counts) by level and key, from one aggregation in steps of ``step``; at most one row a key and step reaches the driver."""
+    binned = rows.groupBy(*keys, F.round(F.col(value) / step).cast("int").alias("_bin")).count().collect()
+    out: dict[tuple, dict[int, int]] = {}
+    for r in binned:
+        for level, names in enumerate(levels):
+            bins = out.setdefault((level, *[r[k] for k in names]), {})
+            bins[r["_bin"]] = bins.get(r["_bin"], 0) + r["count"]
+    return {k: (np.array(sorted(v)) * step, np.array([v[x] for x in sorted(v)])) for k, v in out.items()}
 
 
 def window_baselines(found: DataFrame, config: SpamConfig) -> Baselines:
@@ -368,12 +391,7 @@ def window_baselines(found: DataFrame, config: SpamConfig) -> Baselines:
     There are at most as many as two-letter codes times scripts times sizes.
     """
     rows = found.where("core").select("lang", F.explode("windows").alias("w")).select("lang", "w.*")
-    out = Baselines()
-    for level, keys in enumerate([*LEVELS, ["lang", "script"], ["script"]]):
-        grouped = rows.groupBy(*keys).agg(F.percentile_approx("cost", 0.5, 2000).alias("q"), F.count("*").alias("k")).where(F.col("k") >= config.least)
-        for r in grouped.collect():
-            out[(level, *[r[k] for k in keys])] = r["q"]
-    return out
+    return Baselines({k: quantile(*h, 0.5) for k, h in histograms(rows, LEVELS[0], "cost", 0.01, LEVELS).items() if h[1].sum() >= config.least})
 
 
 def with_divergence(found: DataFrame, baselines: Baselines) -> DataFrame:
@@ -396,9 +414,11 @@ def with_divergence(found: DataFrame, baselines: Baselines) -> DataFrame:
 
 def divergence_spread(scored: DataFrame) -> dict[int, float]:
     """Deviation of the divergence of prose by octave of length, from its lower half, which other pages hardly move."""
-    rows = scored.where("core AND divergence is not null").groupBy(size_class(F.col("n")).alias("size")).agg(F.percentile_approx("divergence", [0.16, 0.5], 2000).alias("q"), F.count("*").alias("k")).collect()
-    everywhere = np.median([r["q"][1] - r["q"][0] for r in rows]) if rows else 0.3
-    return {r["size"]: max(float(r["q"][1] - r["q"][0]) if r["k"] >= 8 else float(everywhere), 0.1) for r in rows}
+    rows = scored.where("core AND divergence is not null").select(size_class(F.col("n")).alias("size"), "divergence")
+    found = histograms(rows, ["size"], "divergence", 0.005, [["size"]])
+    own = {k[1]: quantile(*h, 0.5) - quantile(*h, 0.16) for k, h in found.items()}
+    everywhere = float(np.median(list(own.values()))) if own else 0.3
+    return {k[1]: max(own[k[1]] if h[1].sum() >= 8 else everywhere, 0.1) for k, h in found.items()}
 
 
 def rank_frequency(scored: DataFrame) -> DataFrame:
@@ -434,16 +454,17 @@ def extremes(fitted: DataFrame, spread: dict[int, float], config: SpamConfig) ->
     Baselines are bounded broadcasts: one row a two-letter code, script and octave.
     """
     f = fitted.withColumn("size", size_class(F.col("n")))
-    core = f.where("core")
-    measures = [F.percentile_approx(c, [0.16, 0.5, 0.84], 2000).alias(f"{c}_q") for c in ("slope", "residual")]
-    for level, keys in enumerate([*LEVELS, ["size"]]):
-        own = core.groupBy(*keys).agg(F.count("*").alias("_k"), *measures).where(F.col("_k") >= config.least)
-        named = own.select(*keys, *[F.col(f"{c}_q").alias(f"{c}_{level}") for c in ("slope", "residual")])
-        f = f.join(F.broadcast(named), keys, "left")
+    levels = [["lang", "script", "size"], ["script", "size"], ["size"]]
+    for c in ("slope", "residual"):
+        found = {k: h for k, h in histograms(f.where("core"), levels[0], c, 0.01, levels).items() if h[1].sum() >= config.least}
+        for level, keys in enumerate(levels):
+            rows = [(*k[1:], quantile(*h, 0.5), max((quantile(*h, 0.84) - quantile(*h, 0.16)) / 2, 0.1)) for k, h in found.items() if k[0] == level]
+            known = fitted.sparkSession.createDataFrame(rows, ", ".join(f"{k} int" for k in keys) + f", {c}_m{level} double, {c}_s{level} double")
+            f = f.join(F.broadcast(known), keys, "left")
 
     def z(c: str) -> Column:
-        q = F.coalesce(*[F.col(f"{c}_{level}") for level in range(len(LEVELS) + 1)])
-        return F.coalesce((F.col(c) - q[1]) / F.greatest((q[2] - q[0]) / 2, F.lit(0.1)), F.lit(0.0))
+        middle, scale = (F.coalesce(*[F.col(f"{c}_{x}{level}") for level in range(len(levels))]) for x in "ms")
+        return F.coalesce((F.col(c) - middle) / scale, F.lit(0.0))
 
     sigma = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in (spread or {0: 0.3}).items() for x in pair]), F.col("size")), F.lit(0.3))
     return f.select("page", "divergence", sigma.alias("spread"), z("slope").alias("slope_z"), z("residual").alias("residual_z"))
@@ -533,7 +554,7 @@ def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     def usual_grammar(c: Chunk) -> np.ndarray:
         return c.grammar >= np.array([usual[x] for x in c.script.tolist()])
 
-    first = learn(tokens, copies, config, usual_grammar)
+    first = learn(tokens, copies, config, usual_grammar, ["lang", "n", "content", "grammar", "script", "ids"])
     found = measured(tokens, first, config, usual_grammar, curves=False)
     baselines = window_baselines(found, config)
     spread = divergence_spread(with_divergence(found, baselines))
@@ -541,11 +562,11 @@ def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
 
     def near_prose(c: Chunk) -> np.ndarray:
         profile, known, sigma = shipped.value
-        d = c.divergence(c.window_costs(usual_grammar(c), profile, config), known)
+        d = c.divergence(c.window_costs(profile, config), known)
         most = config.core * np.array([sigma.get(int(x), 0.3) for x in np.floor(np.log2(c.n))])
         return np.isnan(d) | (d <= most)
 
-    found = measured(tokens, learn(tokens, copies, config, near_prose), config, near_prose)
+    found = measured(tokens, learn(tokens, copies, config, near_prose), config, usual_grammar)
     scored = with_divergence(found, window_baselines(found, config))
     fitted = materialize(rank_frequency(scored))
     far = materialize(extremes(fitted, divergence_spread(fitted), config))
