@@ -1,13 +1,16 @@
 """Uniform samples of fixed size from data that arrives in pieces, without a count beforehand.
 
-The records are numbered 0..N-1 through partition offsets, the numbers are
-permuted by a seeded Feistel network with cycle walking, and a record is drawn
-if its permuted number is below k. Each draw has exactly min(k, N) records, each
-equally likely, and does not depend on the order or number of partitions.
+The records are numbered 0..N-1 through partition offsets. A seeded Feistel
+network with cycle walking permutes the numbers, and a record is drawn if its
+permuted number is below k. The records of a draw are therefore the images of
+0..k-1 under the inverse permutation, which is computed for those k only and
+joined. Each draw has exactly min(k, N) records, each equally likely, and does
+not depend on the order or number of partitions.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +23,12 @@ from lingloom.session import materialize
 
 @dataclass(frozen=True)
 class FixedSampleConfig:
-    """rounds: of the Feistel network. buckets: numbering buckets of a piece, so that a piece with a third of
-    all rows is split. most_draws: bound of the draws sent to the workers, more are an error."""
+    """rounds: of the Feistel network. bucket_rows: records numbered in one group, about; a piece with more is split.
+    part: positions of a draw that are computed at once."""
 
     rounds: int = 6
-    buckets: int = 256
-    most_draws: int = 100_000
+    bucket_rows: int = 50_000
+    part: int = 10_000
 
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -38,8 +41,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def permute(position: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarray:
-    """The image of each of 0..n-1 under a permutation of 0..n-1 chosen by ``seed``."""
+def permute(position: np.ndarray, n: int, seed: int, rounds: int = 6, inverse: bool = False) -> np.ndarray:
+    """The image of each of 0..n-1 under a permutation of 0..n-1 chosen by ``seed``, or under its inverse."""
     if n <= 1:
         return position.astype(np.uint64)
     half = max(1, ((n - 1).bit_length() + 1) // 2)
@@ -54,10 +57,17 @@ def permute(position: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndar
                 left, right = right, left ^ (_mix(right + k) & low)
             return (left << shift) | right
 
-        out = once(position.astype(np.uint64))
+        def back(x: np.ndarray) -> np.ndarray:
+            left, right = x >> shift, x & low
+            for k in keys[::-1]:
+                left, right = right ^ (_mix(left + k) & low), left
+            return (left << shift) | right
+
+        step = back if inverse else once
+        out = step(position.astype(np.uint64))
         outside = np.flatnonzero(out >= n)  # the network permutes a power of four; walk until back inside
         while len(outside):
-            out[outside] = once(out[outside])
+            out[outside] = step(out[outside])
             outside = outside[out[outside] >= n]
     return out
 
@@ -67,20 +77,41 @@ def number_densely(df: DataFrame, key: str, piece: str, config: FixedSampleConfi
 
     A key that arrives in several pieces belongs to the first. The bucket of a
     key is a function of piece and key, so a lost partition gets the same
-    numbers again.
+    numbers again. A piece has as many buckets as its size asks for.
     """
-    first = df.groupBy(F.col(key).alias("key")).agg(F.min(F.coalesce(F.col(piece).cast("long"), F.lit(-1))).alias("piece"))
-    placed = materialize(first.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(config.buckets))))
-    counts = placed.groupBy("piece", "bucket").count()
-    # one row for each piece and bucket, added up piece by piece: pieces first, then buckets inside a piece
-    per_piece = counts.groupBy("piece").agg(F.sum("count").alias("_n"))
-    before_piece = F.coalesce(F.sum("_n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per_piece.withColumn("_start", before_piece).select("piece", "_start")
-    inside = F.coalesce(F.sum("count").over(Window.partitionBy("piece").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_inside", inside).join(starts, "piece").select("piece", "bucket", (F.col("_start") + F.col("_inside")).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("piece", "bucket").orderBy("key")) - 1
-    numbered = placed.withColumn("_rank", rank).join(offsets, ["piece", "bucket"]).select("key", (F.col("_offset") + F.col("_rank")).cast("long").alias("position"))
-    return numbered, placed.count()
+    first = materialize(df.groupBy(F.col(key).alias("key")).agg(F.min(F.coalesce(F.col(piece).cast("long"), F.lit(-1))).alias("piece")))
+    n = first.count()
+    # hash buckets over all pieces, and by piece inside: each group has bucket_rows records or fewer
+    buckets = max(1, math.ceil(n / config.bucket_rows))
+    placed = first.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    counts = placed.groupBy("bucket", "piece").count()
+    # offsets in two levels, so that no single task adds up all groups
+    per_bucket = counts.groupBy("bucket").agg(F.sum("count").alias("_n")).withColumn("_level", F.floor(F.col("bucket") / max(1, math.isqrt(buckets))))
+    per_level = per_bucket.groupBy("_level").agg(F.sum("_n").alias("_m"))
+    before = lambda value, w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = per_level.select("_level", before("_m", Window.orderBy("_level")).alias("_from"))  # the square root of the buckets
+    starts = per_bucket.withColumn("_in_level", before("_n", Window.partitionBy("_level").orderBy("bucket"))).join(levels, "_level").select("bucket", (F.col("_from") + F.col("_in_level")).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("piece", "key")) - 1
+    numbered = placed.withColumn("_rank", rank).join(starts, "bucket")
+    return numbered.select("key", (F.col("_start") + F.col("_rank")).cast("long").alias("position")), n
+
+
+def drawn_positions(draws: DataFrame, n: int, config: FixedSampleConfig = FixedSampleConfig()) -> DataFrame:
+    """(draw_id, position): for each draw the min(k, n) positions that its permutation sends below k.
+
+    A draw is cut into parts, so that neither a long one nor many stay in one task.
+    """
+    rows = draws.select("draw_id", F.coalesce(F.col("draw_seed").cast("long"), F.lit(0)).alias("seed"), F.least(F.coalesce(F.col("sample_size").cast("long"), F.lit(0)), F.lit(n)).alias("k")).where("k > 0")
+    parts = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1, F.lit(config.part).cast("long")))).repartition("draw_id", "at")
+    rounds, part = config.rounds, config.part
+
+    def run(batches):
+        for pdf in batches:
+            for draw_id, seed, k, at in zip(pdf["draw_id"], pdf["seed"], pdf["k"], pdf["at"]):
+                image = np.arange(at, min(k, at + part), dtype=np.uint64)
+                yield pd.DataFrame({"draw_id": draw_id, "position": permute(image, n, int(seed), rounds, inverse=True).astype(np.int64)})
+
+    return parts.mapInPandas(run, f"draw_id {draws.schema['draw_id'].dataType.simpleString()}, position long")
 
 
 def fixed_size_samples(df: DataFrame, draws: DataFrame, key: str, piece: str, config: FixedSampleConfig = FixedSampleConfig()) -> DataFrame:
@@ -90,26 +121,5 @@ def fixed_size_samples(df: DataFrame, draws: DataFrame, key: str, piece: str, co
     size over N takes all, a null, zero or negative size takes none, an empty
     table gives no rows.
     """
-    rows = draws.select("draw_id", "draw_seed", "sample_size").limit(config.most_draws + 1).collect()
-    if len(rows) > config.most_draws:
-        raise ValueError(f"more than {config.most_draws} draws")
-    listed = [(r[0], int(r[1] or 0), int(r[2] or 0)) for r in rows]
     numbered, n = number_densely(df, key, piece, config)
-    id_type = draws.schema["draw_id"].dataType.simpleString()
-    key_type = df.schema[key].dataType.simpleString()
-    rounds = config.rounds
-
-    def take(batches):
-        for pdf in batches:
-            position = pdf["position"].to_numpy()
-            for draw_id, seed, size in listed:
-                if size >= n:
-                    kept = np.ones(len(pdf), dtype=bool)
-                elif size <= 0:
-                    continue
-                else:
-                    kept = permute(position, n, seed, rounds) < np.uint64(size)
-                if kept.any():
-                    yield pd.DataFrame({"draw_id": draw_id, "key": pdf["key"][kept].to_numpy()})
-
-    return numbered.mapInPandas(take, f"draw_id {id_type}, key {key_type}")
+    return drawn_positions(draws, n, config).join(numbered, "position").select("draw_id", "key")

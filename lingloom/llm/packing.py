@@ -24,13 +24,13 @@ from lingloom.session import materialize
 @dataclass(frozen=True)
 class PackingConfig:
     """quadratic: tokens at which the attention term equals the linear one. shard_tokens: tokens of a shard
-    (and at least shard_containers containers), the bound of what one task holds.
-    most_kinds: kinds of container, more are an error."""
+    (and at least shard_containers containers), and shard_items its items, so that neither large nor many empty
+    documents gather in one task."""
 
     quadratic: float = 4096.0
     shard_tokens: int = 4_000_000
     shard_containers: int = 500
-    most_kinds: int = 1000
+    shard_items: int = 200_000
     tokenizer: TokenizerConfig = TokenizerConfig()
 
 
@@ -99,9 +99,8 @@ def fill_containers(docs: DataFrame, containers: DataFrame, key: str = "doc_id",
     """
     sized = with_tokens(docs.select(F.col(key).alias("key"), F.col(text).alias("n_tokens")), "n_tokens", config=config.tokenizer)
     sized = materialize(sized.groupBy("key").agg(F.max("n_tokens").alias("n")))
-    listed = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("cap")).where("cap > 0").distinct().limit(config.most_kinds + 1).collect()
-    if len(listed) > config.most_kinds:
-        raise ValueError(f"more than {config.most_kinds} kinds of container")
+    # the kinds are a plan, which does not grow with the documents
+    listed = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("cap")).where("cap > 0").distinct().collect()
     kinds = F.array(*[F.struct(F.lit(r["container_kind"]).alias("container_kind"), F.lit(r["cap"]).cast("long").alias("cap")) for r in listed])
     if not listed:
         kinds = F.array().cast("array<struct<container_kind:string,cap:long>>")
@@ -115,9 +114,9 @@ def fill_containers(docs: DataFrame, containers: DataFrame, key: str = "doc_id",
         "key", F.col("piece_no").cast("int").alias("piece_no"), (F.col("piece_no") * F.col("cap")).alias("start_token"), F.col("cap").alias("n_tokens"),
     )
     rest = cut.where("rest > 0 OR full = 0")
-    per_kind = rest.groupBy("container_kind", "cap").agg(F.sum("rest").alias("tokens"))
+    per_kind = rest.groupBy("container_kind", "cap").agg(F.sum("rest").alias("tokens"), F.count("*").alias("items"))
     bound = F.greatest(F.lit(config.shard_tokens), F.col("cap") * config.shard_containers)
-    shards = F.broadcast(per_kind.select("container_kind", F.greatest(F.lit(1), F.ceil(F.col("tokens") / bound)).alias("shards")))
+    shards = F.broadcast(per_kind.select("container_kind", F.greatest(F.lit(1), F.ceil(F.col("tokens") / bound), F.ceil(F.col("items") / config.shard_items)).alias("shards")))
     items = rest.join(shards, "container_kind").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")))
     quadratic = config.quadratic
 
@@ -135,3 +134,14 @@ def fill_containers(docs: DataFrame, containers: DataFrame, key: str = "doc_id",
         run, f"container_kind string, container_id string, key {key_type}, piece_no int, start_token long, n_tokens long"
     )
     return alone.unionByName(packed).withColumnRenamed("key", key)
+
+
+def fill_report(pieces: DataFrame, kinds: DataFrame, config: PackingConfig = PackingConfig()) -> DataFrame:
+    """container_kind, containers, tokens, fill, cost_spread: share of the room that is used, and the deviation of the cost of containers over its mean.
+
+    ``kinds`` is (container_kind, cap). Containers without tokens, those of empty documents only, count as well.
+    """
+    n = F.col("n_tokens").cast("double")
+    boxes = pieces.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.sum(n + n * n / config.quadratic).alias("cost"))
+    by = boxes.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.stddev_pop("cost") / F.avg("cost")).alias("cost_spread"))
+    return by.join(F.broadcast(kinds), "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("cap"))).alias("fill"), "cost_spread")

@@ -79,10 +79,33 @@ def p7_samples(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("draw_id", "source_id").agg(F.min("source_text").alias("source_text"))
 
 
+def p7_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of any draw of the right size: rows, different ids, and rows whose text is that of their id."""
+    segments = _t(spark, sf, "sampled_sources").groupBy("source_id").agg(F.min("source_text").alias("text"))
+    drawn = p7_samples(spark, sf).join(segments, "source_id", "left")
+    return drawn.groupBy("draw_id").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("ids"), F.count_if(F.col("source_text") == F.col("text")).alias("texts"))
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_containers(_t(spark, sf, "documents"), _t(spark, sf, "containers"))
 
 
+def p8_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of any packing: documents that are there, containers over their capacity, documents cut without need or with a gap."""
+    kinds = _t(spark, sf, "containers").select("container_kind", F.col("capacity_tokens").cast("long").alias("cap"))
+    pieces = p8_containers(spark, sf).join(F.broadcast(kinds), "container_kind")
+    boxes = pieces.groupBy("container_kind", "cap", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("cap")).alias("overfull"))
+    per = pieces.groupBy("container_kind", "cap", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.max("piece_no").alias("last"))
+    docs = per.groupBy("container_kind").agg(F.count("*").alias("docs"), F.count_if((F.col("k") > 1) & (F.col("n") <= F.col("cap"))).alias("cut_in_vain"), F.count_if((F.col("n") != F.col("end")) | (F.col("k") != F.col("last") + 1)).alias("gaps"))
+    return docs.join(boxes, "container_kind").select("container_kind", "docs", "overfull", "cut_in_vain", "gaps")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of each kind are, and how even their cost."""
+    kinds = _t(spark, sf, "containers").select("container_kind", F.col("capacity_tokens").cast("long").alias("cap"))
+    return packing.fill_report(p8_containers(spark, sf), kinds)
+
+
 def _mixed(spark: SparkSession, sf: str) -> mixing.Mixed:
     return mixing.mix(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
 
@@ -99,12 +122,20 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.draw_copies(_mixed(spark, sf)).select("mix_id", F.col("key").alias("doc_id"), F.col("n").alias("n_tokens"), "copies")
 
 
+def p9_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of any mix: documents taken more often than the target of any source in the mix allows."""
+    most = _t(spark, sf, "mix_targets").groupBy("mix_id").agg(F.max("max_repeats").alias("most"))
+    used = p9_mix(spark, sf).groupBy("mix_id", "doc_id").agg(F.sum("copies").alias("copies"))
+    over = used.join(F.broadcast(most), "mix_id").where(F.col("copies") > F.col("most")).groupBy("mix_id").agg(F.count("*").alias("over"))
+    return most.select("mix_id").join(over, "mix_id", "left").select("mix_id", F.coalesce("over", F.lit(0)).alias("over"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return keyword_spam.keyword_pages(_t(spark, sf, "documents")).select(F.col("page").alias("doc_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p3_labels, p4_found, p4_report, p4_sample, p5_found, p6_found, p6_classes, p7_samples, p8_containers, p9_found, p9_report, p9_mix, p10_found]
+    found = [p1_found, p2_found, p3_found, p3_labels, p4_found, p4_report, p4_sample, p5_found, p6_found, p6_classes, p7_samples, p7_sizes, p8_containers, p8_check, p8_fill, p9_found, p9_report, p9_mix, p9_check, p10_found]
     return {f.__name__: f for f in found}
 
 
@@ -118,6 +149,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"WITH {_REPORT} SELECT plan_id, kind, length_from FROM r WHERE available < wanted",
         "p4_report": f"WITH {_REPORT} SELECT plan_id, kind, length_from, wanted, available, least(available, floor(wanted + 0.5)::BIGINT) AS quota, available < wanted AS exhausted FROM r",
+        "p4_sample": f"""WITH {_REPORT}, q AS (SELECT *, least(available, floor(wanted + 0.5)::BIGINT) AS quota FROM r),
+k AS (SELECT t.plan_id, t.kind, t.length_from, it.source_id, q.quota,
+  row_number() OVER (PARTITION BY t.plan_id, t.kind, t.length_from ORDER BY xor(('0x' || substr(sha256('17:' || it.source_id), 1, 15))::BIGINT, ('0x' || substr(sha256('17:' || t.plan_id), 1, 15))::BIGINT), it.source_id) AS k
+  FROM sample_targets t JOIN it ON it.kind = lower(trim(t.kind)) AND it.len >= t.length_from AND it.len < t.length_to JOIN q ON q.plan_id = t.plan_id AND q.kind = t.kind AND q.length_from = t.length_from)
+SELECT plan_id, kind, length_from, source_id FROM k WHERE k <= quota""",
+        "p7_sizes": "WITH n AS (SELECT count(DISTINCT source_id) AS n FROM sampled_sources) SELECT draw_id, least(sample_size, n)::BIGINT AS n, least(sample_size, n)::BIGINT AS ids, least(sample_size, n)::BIGINT AS texts FROM sample_draws, n WHERE sample_size > 0 AND n > 0",
+        "p8_check": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS docs, 0::BIGINT AS overfull, 0::BIGINT AS cut_in_vain, 0::BIGINT AS gaps FROM containers WHERE capacity_tokens > 0",
+        "p9_check": "SELECT DISTINCT mix_id, 0::BIGINT AS over FROM mix_targets",
         # no SQL engine counts tokens; sizes in characters give the same sources (the targets are set so)
         "p9_found": """WITH n AS (SELECT source, sum(n_chars) AS n FROM documents GROUP BY source), a AS (SELECT sum(n_chars) AS n FROM documents)
 SELECT t.mix_id, t.source FROM mix_targets t LEFT JOIN n ON n.source = t.source, a WHERE coalesce(n.n, 0) * t.max_repeats < t.target_share * t.budget_share * a.n""",

@@ -42,6 +42,29 @@ def test_sample_is_uniform_and_repeatable(spark):
     assert drawn.exceptAll(S.draw(it.repartition(3), plan).sample).count() == 0
 
 
+def test_small_reservoirs_are_filled_again_until_complete(spark):
+    plan = spark.createDataFrame([("p", "a", 0, 10, 1.0, 1, 0.5), ("p", "b", 0, 10, 0.9, 40, 0.5)], PLAN)
+    it = items(spark, [(f"x{i}", "a" if i % 3 else "b", 5) for i in range(9000)]).repartition(5)
+    full = S.draw(it, plan).sample
+    assert full.exceptAll(S.draw(it, plan, S.StratifiedConfig(room=0.001, edge=10)).sample).count() == 0 and full.count() == 4500 + 3000
+
+
+def test_reservoirs_merge_to_the_lowest_of_all():
+    rng = np.random.default_rng(1)
+    values = rng.permutation(10**6)[:60_000]
+    parts = []
+    for part in np.array_split(values, 3):
+        r = S.Reservoir(0.1, 5, 6.0)
+        for k, batch in enumerate(np.array_split(part, 10)):
+            r.add(batch, batch.astype(object), (k + 1) * len(batch))
+        r.trim(len(part))
+        parts.append(r)
+    gone = min(r.gone for r in parts)
+    kept = np.sort(np.concatenate([r.priorities[r.priorities < gone] for r in parts]))
+    assert sum(r.seen for r in parts) == len(values) and len(kept) >= 6000
+    assert (kept == np.sort(values)[: len(kept)]).all()
+
+
 def test_no_items(spark):
     got = S.draw(items(spark, []), spark.createDataFrame([("p", "a", 0, 10, 1.0, 1, 0.1)], PLAN))
     assert got.sample.count() == 0 and got.report.first()["exhausted"]
@@ -53,6 +76,22 @@ def test_permutation(n):
     assert sorted(p.tolist()) == list(range(n))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000])
+def test_permutation_and_its_inverse(n):
+    x = np.arange(n, dtype=np.uint64)
+    assert (X.permute(X.permute(x, n, 4), n, 4, inverse=True) == x).all()
+
+
+def test_draws_are_uniform(spark):
+    df = spark.createDataFrame([(f"k{i}", i % 4) for i in range(40)], "source_id string, shard_id int")
+    draws = spark.createDataFrame([(i, 1000 + i, 8) for i in range(1500)], "draw_id int, draw_seed int, sample_size int")
+    got = X.fixed_size_samples(df, draws, "source_id", "shard_id", X.FixedSampleConfig(bucket_rows=7, part=3))
+    assert {r["count"] for r in got.distinct().groupBy("draw_id").count().collect()} == {8}
+    hits = [r["count"] for r in got.groupBy("key").count().collect()]
+    # 300 expected; the chi-square of 39 degrees of freedom is under 80 but once in ten thousand
+    assert len(hits) == 40 and sum((h - 300) ** 2 / 300 for h in hits) / 0.8 < 80
+
+
 def test_every_position_is_as_likely():
     hits = np.zeros(50)
     for seed in range(2000):
