@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lingloom.functions import text as X
+
 # Names by code.
 NAMES = {
     "ar": "Arabic", "bg": "Bulgarian", "bn": "Bengali", "cs": "Czech", "da": "Danish", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "et": "Estonian",
@@ -23,19 +25,19 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def normalize_code(code: Column) -> Column:
     """Stripped, lower case, underscores as hyphens, aliases resolved."""
-    plain = F.lower(F.translate(F.trim(code), "_", "-"))
+    plain = F.lower(F.translate(X.strip(code), "_", "-"))
     return F.coalesce(_lookup(ALIASES, plain), plain)
 
 
 def language_name(code: Column) -> Column:
     """Name of the full code, else of its base, else the code itself."""
-    plain = F.lower(F.translate(F.trim(code), "_", "-"))
+    plain = F.lower(F.translate(X.strip(code), "_", "-"))
     return F.coalesce(_lookup(NAMES, plain), _lookup(NAMES, F.substring_index(plain, "-", 1)), plain)
 
 
 def resolve_code(field: Column, fixed: str | None) -> Column:
     """A row's own code wins over the configured one; neither is an error."""
-    own = F.nullif(F.trim(field), F.lit(""))
+    own = F.nullif(X.strip(field), F.lit(""))
     return F.coalesce(normalize_code(F.coalesce(own, F.lit(fixed))), F.raise_error(F.lit("no language code")).cast("string"))
 
 

@@ -56,7 +56,17 @@ def json_string(text: Column) -> Column:
     escaped = text
     for raw, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(code))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+    def rare(t: Column) -> Column:
+        out = t
+        for c in range(32):
+            if chr(c) not in "\n\r\t\b\f":
+                out = F.replace(out, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+        return out
+
+    # the other control characters are looked for before they are replaced: most keys have none
+    whole = let(escaped, lambda t: F.when(t.rlike("[\\x00-\\x1f]"), rare(t)).otherwise(t))
+    return F.concat(F.lit('"'), whole, F.lit('"'))
 
 
 def stable_hash(key: Column) -> Column:
@@ -113,6 +123,29 @@ def first_text(*values: Column) -> Column:
     return F.coalesce(*[F.when(strip(v) != "", v) for v in values])
 
 
+# Where a response keeps its text, and the keys of a part that hold text.
+RESPONSE_PATHS = ["$.choices[0].message.content", "$.choices[0].message.output_text", "$.choices[0].message.text", "$.choices[0].text", "$.choices[0].output_text"]
+PART_KEYS = ["text", "output_text", "content", "reasoning_content", "value"]
+
+
+def content_text(part: Column, depth: int = 4) -> Column:
+    """Text of a part (a variant): a string or number itself, the parts of a list joined, the first known key of an object."""
+    plain = F.coalesce(F.try_variant_get(part, "$", "string"), F.lit(""))
+    kind = F.coalesce(F.schema_of_variant(part), F.lit("VOID"))
+    if depth == 0:
+        return F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "VOID"), F.lit("")).otherwise(plain)
+    listed = F.array_join(F.transform(F.try_variant_get(part, "$", "array<variant>"), lambda x: F.coalesce(content_text(x, depth - 1), F.lit(""))), "")
+    keyed = F.coalesce(*[F.when(F.try_variant_get(part, f"$.{k}", "variant").isNotNull(), content_text(F.try_variant_get(part, f"$.{k}", "variant"), depth - 1)) for k in PART_KEYS], F.lit(""))
+    return F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), keyed).when(kind == "VOID", F.lit("")).otherwise(plain)
+
+
+def response_text(raw: Column, depth: int = 2) -> Column:
+    """Text of a generator's JSON response in any of its layouts, nested up to ``depth``; empty if it has none or is no JSON."""
+    found = F.try_parse_json(raw)
+    texts = [strip(content_text(F.try_variant_get(found, path, "variant"), depth)) for path in RESPONSE_PATHS]
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit(""))
+
+
 def scorer_input(source: Column, candidate: Column, reference: Column | None = None) -> Column:
     head = F.concat(F.lit("source: "), source, F.lit(" candidate: "), candidate)
     return head if reference is None else F.concat(head, F.when(reference.isNull(), "").otherwise(F.concat(F.lit(" reference: "), reference)))

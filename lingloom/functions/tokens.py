@@ -102,10 +102,17 @@ def span_token_rewards(
     return F.transform(F.array(sifted), lambda live: F.transform(offsets, lambda o: of_token(o, live)))[0]
 
 
-def policy_token_loss(new: Column, old: Column, advantage: Column, ref: Column | None, clip: float, kl: float, algorithm: str = "grpo") -> Column:
-    """Per token: loss, clipped, approx_kl, ref_kl, from logged log-probabilities cut to the shortest array."""
+def policy_token_loss(new: Column, old: Column, advantage: Column, ref: Column | None, clip: float, kl: float, algorithm: str = "grpo", entropy: Column | None = None, entropy_coef: float = 0.0) -> Column:
+    """Per token: loss, clipped, approx_kl, ref_kl, entropy, from logged log-probabilities cut to the shortest array.
+
+    With a positive ``entropy_coef`` the logged entropy of each token lowers its loss.
+    """
+    use_entropy = entropy is not None and entropy_coef > 0
     arrays = align(new, old, advantage, *([ref] if ref is not None else []))
-    zipped = F.arrays_zip(*[a.alias(n) for a, n in zip(arrays, ("n", "o", "a", "r"))])
+    named = [a.alias(n) for a, n in zip(arrays, ("n", "o", "a", "r"))]
+    if use_entropy:
+        named.append(F.slice(entropy, F.lit(1), F.size(arrays[0])).alias("e"))
+    zipped = F.arrays_zip(*named)
 
     def token(x: Column) -> Column:
         ratio = F.exp(x["n"] - x["o"])
@@ -114,7 +121,8 @@ def policy_token_loss(new: Column, old: Column, advantage: Column, ref: Column |
         out = ((ratio > 1 + clip) | (ratio < 1 - clip)).cast("double") if algorithm == "grpo" else F.lit(0.0)
         ref_kl = x["n"] - x["r"] if ref is not None else F.lit(0.0)
         total = loss + ref_kl * kl if ref is not None and kl > 0 else loss
-        return F.struct(total.alias("loss"), out.alias("clipped"), (F.pow(x["n"] - x["o"], F.lit(2.0)) * 0.5).alias("approx_kl"), ref_kl.alias("ref_kl"))
+        e = F.coalesce(x["e"], F.lit(0.0)) if use_entropy else F.lit(0.0)
+        return F.struct((total - e * entropy_coef if use_entropy else total).alias("loss"), out.alias("clipped"), (F.pow(x["n"] - x["o"], F.lit(2.0)) * 0.5).alias("approx_kl"), ref_kl.alias("ref_kl"), e.alias("entropy"))
 
     if algorithm not in ("grpo", "reinforce"):
         raise ValueError(f"unknown algorithm: {algorithm}")

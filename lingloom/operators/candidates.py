@@ -32,6 +32,29 @@ def scorer_udf(make):
     return run
 
 
+class SpanScorer(Protocol):
+    """An external scorer that also marks error spans: for each pair a score and a list of (start, end, severity, confidence)."""
+
+    def score(self, sources: list[str], candidates: list[str], references: list[str]) -> list[tuple[float, list[tuple[int, int, str, float]]]]: ...
+
+
+SPAN_SCORE = "struct<score:double,spans:array<struct<start:int,end:int,severity:string,confidence:double>>>"
+
+
+def span_scorer_udf(make):
+    """An Arrow-batched column function of (source, candidate, reference) around a span scorer; missing texts are empty."""
+
+    @F.pandas_udf(SPAN_SCORE)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        scorer = make()
+        for s, c, r in batches:
+            found = scorer.score(s.fillna("").tolist(), c.fillna("").tolist(), r.fillna("").tolist())
+            names = ("start", "end", "severity", "confidence")
+            yield pd.DataFrame({"score": [float(x) for x, _ in found], "spans": [[dict(zip(names, span)) for span in spans] for _, spans in found]})
+
+    return run
+
+
 def stub_candidate(source: Column, source_id: Column, index: Column) -> Column:
     """A deterministic stand-in for a generator: the source with its words turned round from a hashed position."""
     words = F.split(source, " ")
@@ -53,9 +76,10 @@ def expand_candidates(sources: DataFrame, n: int, done: DataFrame | None = None)
 def prefilter_rows(sources: DataFrame, completions: DataFrame) -> DataFrame:
     """Greedy and sampled completion of each source side by side; missing texts are empty, missing scores worst.
 
-    ``completions`` is (source_id, mode, text, score) with modes greedy and sample.
+    ``completions`` is (source_id, mode, text, score) with modes greedy and sample;
+    of repeated rows the best score counts, ties by text.
     """
-    wide = completions.groupBy("source_id").pivot("mode", ["greedy", "sample"]).agg(F.max_by("text", "score").alias("text"), F.max("score").alias("score"))
+    wide = completions.groupBy("source_id").pivot("mode", ["greedy", "sample"]).agg(F.min_by("text", F.struct("score", "text")).alias("text"), F.min("score").alias("score"))
     j = sources.join(wide, "source_id", "left")
     g, s = (F.coalesce(f"{m}_score", F.lit(WORST)) for m in ("greedy", "sample"))
     both = F.struct(

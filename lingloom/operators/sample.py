@@ -94,17 +94,49 @@ def balanced_sample(df: DataFrame, key: str, bucket: Column, config: BalancedCon
     return out.drop("_h", "_h2", "_r", "_extra", "_b")
 
 
+DIGITS = 3  # hexadecimal digits looked at in one step: 4096 groups
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Where the ``k`` lowest of a column of hexadecimal hashes end: all below ``digits``, and ``rest`` of those that begin with it."""
+
+    digits: str
+    rest: int
+
+
+def find_cut(hashes: DataFrame, column: str, k: int, edge: int = 50_000) -> Cut | None:
+    """The cut below the ``k`` lowest hashes; None for all of them.
+
+    Digits are added until the group that the cut falls into has ``edge`` rows
+    or fewer, so what has to be ranked does not grow with the table. Each step is
+    one count of 4096 groups.
+    """
+    prefix, rest = "", k
+    while True:
+        n = len(prefix)
+        rows = hashes.where(F.col(column).startswith(prefix)) if prefix else hashes
+        groups = sorted((r["_d"], r["count"]) for r in rows.groupBy(F.substring(column, 1, n + DIGITS).alias("_d")).count().collect())
+        below = 0
+        for d, count in groups:
+            if below + count >= rest:
+                break
+            below += count
+        else:
+            return None
+        prefix, rest = d, rest - below
+        if count <= edge or len(prefix) + DIGITS > 64:
+            return Cut(prefix, rest)
+
+
 def lowest_extras(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """The rows that are no ``_extra``, and the ``k`` of the extras with the lowest ``_h2``; only one digit group of them is ranked."""
-    d = F.substring("_h2", 1, 3)
-    below, cut, rest = 0, "", 0
-    for r in sorted(rows.where("_extra").groupBy(d.alias("_d")).count().collect(), key=lambda r: r["_d"]):  # 4096 groups
-        cut, rest = r["_d"], k - below
-        if below + r["count"] >= k:
-            break
-        below += r["count"]
-    edge = rows.where(F.col("_extra") & (d == cut)).withColumn("_n", F.row_number().over(Window.orderBy("_h2", key)))
-    return rows.where(~F.col("_extra") | (d < cut)).unionByName(edge.where(F.col("_n") <= rest).drop("_n"))
+    """The rows that are no ``_extra``, and the ``k`` of the extras with the lowest ``_h2``; only the group at the cut is ranked."""
+    cut = find_cut(rows.where("_extra").select("_h2"), "_h2", k) if k > 0 else Cut("", 0)
+    if cut is None:
+        return rows
+    d = F.substring("_h2", 1, len(cut.digits))
+    edge = rows.where(F.col("_extra") & (d == cut.digits)).withColumn("_n", F.row_number().over(Window.orderBy("_h2", key)))
+    return rows.where(~F.col("_extra") | (d < cut.digits)).unionByName(edge.where(F.col("_n") <= cut.rest).drop("_n"))
 
 
 def bucket_stats(df: DataFrame, bucket: Column, config: BalancedConfig = BalancedConfig()) -> DataFrame:
@@ -130,38 +162,65 @@ def eval_size(n: int, ratio: float) -> int:
 
 
 def split_train_eval(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
-    """``part`` of each row: exactly eval_size rows go to eval, those of lowest hash.
-
-    The cut is found in a histogram of the hash's first digits, so that only the
-    digit group it falls into is ranked, not the table.
-    """
+    """``part`` of each row: exactly eval_size rows go to eval, those of lowest hash; only the group at the cut is ranked, not the table."""
     rows = df.withColumn("_h", order_key(seed, "split", F.col(key)))
-    digits = rows.groupBy(F.substring("_h", 1, 3).alias("_d")).count().collect()  # 4096 groups
-    k = eval_size(sum(r["count"] for r in digits), ratio)
-    below, cut, rest = 0, None, 0
-    for r in sorted(digits, key=lambda r: r["_d"]):
-        if below + r["count"] >= k:
-            cut, rest = r["_d"], k - below
-            break
-        below += r["count"]
-    if cut is None or k == 0:
+    k = eval_size(df.count(), ratio)
+    if k == 0:
         return rows.withColumn("part", F.lit("train")).drop("_h")
-    d = F.substring("_h", 1, 3)
-    sure = rows.where(d != cut).withColumn("part", F.when(d < cut, "eval").otherwise("train"))
-    edge = rows.where(d == cut).withColumn("_r", F.row_number().over(Window.orderBy("_h", key)))
-    return sure.unionByName(edge.withColumn("part", F.when(F.col("_r") <= rest, "eval").otherwise("train")).drop("_r")).drop("_h")
+    cut = find_cut(rows.select("_h"), "_h", k)
+    d = F.substring("_h", 1, len(cut.digits))
+    sure = rows.where(d != cut.digits).withColumn("part", F.when(d < cut.digits, "eval").otherwise("train"))
+    edge = rows.where(d == cut.digits).withColumn("_r", F.row_number().over(Window.orderBy("_h", key)))
+    return sure.unionByName(edge.withColumn("part", F.when(F.col("_r") <= cut.rest, "eval").otherwise("train")).drop("_r")).drop("_h")
 
 
-def epoch_batches(df: DataFrame, key: str, batch: int, seed: int, epoch: int = 0) -> DataFrame:
+def epoch_batches(df: DataFrame, key: str, batch: int, seed: int, epoch: int = 0, group: int = 50_000) -> DataFrame:
     """``batch_id`` and ``slot`` of each row in a seeded order that changes with the epoch; the last batch may be short.
 
-    Ranks are added up over the 256 leading digit pairs of the hash, so that no
-    single task sorts all rows.
+    Ranks are taken within groups of about ``group`` rows by the leading digits
+    of the hash, as many digits as the number of rows asks for, and added up
+    over the groups in two levels.
     """
-    rows = df.withColumn("_h", order_key(seed, f"epoch{epoch}", F.col(key))).withColumn("_d", F.substring("_h", 1, 2))
+    n = df.count()
+    digits = 2
+    while n > group * 16**digits:
+        digits += 1
+    rows = df.withColumn("_h", order_key(seed, f"epoch{epoch}", F.col(key))).withColumn("_d", F.substring("_h", 1, digits))
     sizes = rows.groupBy("_d").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 256 rows
-    starts = F.broadcast(sizes.select("_d", before.alias("_start")))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head = F.substring("_d", 1, (digits + 1) // 2)
+    heads = sizes.groupBy(head.alias("_g")).agg(F.sum("count").alias("_n"))
+    heads = heads.select("_g", before("_n", Window.orderBy("_g")).alias("_from"))  # the root of the number of groups
+    starts = sizes.withColumn("_g", head).withColumn("_in", before("count", Window.partitionBy("_g").orderBy("_d"))).join(heads, "_g").select("_d", (F.col("_from") + F.col("_in")).alias("_start"))
     rank = F.row_number().over(Window.partitionBy("_d").orderBy("_h", key)) - 1
-    placed = rows.join(starts, "_d").withColumn("_p", F.col("_start") + rank)
+    placed = rows.join(F.broadcast(starts) if 16**digits <= 65_536 else starts, "_d").withColumn("_p", F.col("_start") + rank)
     return placed.withColumn("batch_id", F.floor(F.col("_p") / batch)).withColumn("slot", F.col("_p") % batch).drop("_h", "_d", "_start", "_p")
+
+
+def sample_batch(df: DataFrame, key: str, batch: int, seed: int, step: int) -> DataFrame:
+    """A random batch for ``step``: ``batch`` rows drawn with replacement, ``draw`` numbers them; the whole table if it has no more.
+
+    Rows are numbered by key; a draw is a hashed position, so only the rows drawn
+    are joined.
+    """
+    placed = numbered(df, key)
+    n = placed.count()
+    if batch >= n:
+        return placed.withColumn("draw", F.col("_p")).drop("_p")
+    at = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(f"step{step}"), F.col("draw").cast("string")), 256), 1, 12), 16, 10).cast("long") % n
+    draws = df.sparkSession.range(batch).withColumnRenamed("id", "draw").withColumn("_p", at)
+    return placed.join(F.broadcast(draws) if batch <= 100_000 else draws, "_p").drop("_p")
+
+
+def chunked(df: DataFrame, order: str, size: int) -> DataFrame:
+    """``chunk``: rows in consecutive chunks of ``size`` by ``order``, the last with what remains."""
+    return numbered(df, order).withColumn("chunk", F.floor(F.col("_p") / size)).drop("_p")
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """``_p``: position of each row by ``order``, from range partitions and their sizes, not from one task."""
+    placed = materialize(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").count()
+    start = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return placed.join(F.broadcast(sizes.select("_part", start.alias("_start"))), "_part").withColumn("_p", F.col("_start") + rank).drop("_part", "_start")

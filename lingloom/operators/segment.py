@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,74 +41,125 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", config: S
     return docs.select(F.col(key).alias("doc"), F.posexplode_outer(raw_lines(F.col(text), config, is_list)).alias("pos", "line")).where("line is not null")
 
 
-def merge_short(lines: DataFrame, threshold: int) -> DataFrame:
-    """Short lines go to the front of the next long line; trailing ones to the end of the last; all short make one.
+def merged(lines: Column, threshold: int) -> Column:
+    """Array of (pos, line): short lines go to the front of the next long line; trailing ones to the end of the last; all short make one.
 
-    The group of a line is the first long line at or after it, else the last long
-    line of the document, so that no fold over lines is needed.
+    ``lines`` is an array of texts. Each part is a slice of it that ends with a
+    long line, so no fold over lines is needed. pos is that of the long line,
+    -1 if there is none.
     """
-    long_at = F.when(F.length("line") >= threshold, F.col("pos"))
-    ahead = Window.partitionBy("doc").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy("doc")
-    group = F.coalesce(F.min(long_at).over(ahead), F.max(long_at).over(whole), F.lit(-1))
-    parts = lines.withColumn("g", group).groupBy("doc", "g").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("p"))
-    return parts.select("doc", F.col("g").alias("pos"), F.array_join(F.transform("p", lambda x: x["line"]), " ").alias("line"))
 
+    def of(x: Column) -> Column:
+        at = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
+        return X.let(F.filter(at, lambda i: F.length(F.get(x, i)) >= threshold), lambda long: F.when(F.size(x) == 0, nothing).when(F.size(long) == 0, F.array(part(x, F.lit(-1), F.lit(0), F.size(x)))).otherwise(parts(x, long)))
+
+    def parts(x: Column, long: Column) -> Column:
+        start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(long, k - 1) + 1)
+        stop = lambda i, k: F.when(k == F.size(long) - 1, F.size(x)).otherwise(i + 1)
+        return F.transform(long, lambda i, k: part(x, i, start(k), stop(i, k)))
+
+    def part(x: Column, pos: Column, start: Column, stop: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), F.array_join(F.slice(x, start + 1, stop - start), " ").alias("line"))
+
+    nothing = F.array().cast("array<struct<pos:int,line:string>>")
+    return X.let(lines, of)
+
+
+def merge_short(lines: DataFrame, threshold: int) -> DataFrame:
+    """``merged`` for a table (doc, pos, line) of lines: rows of a document are gathered first."""
+    whole = lines.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("x"))
+    return whole.select("doc", F.explode_outer(merged(F.col("x"), threshold)).alias("m")).where("m is not null").select("doc", "m.pos", "m.line")
 
-def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SegmentConfig = SegmentConfig()) -> DataFrame:
-    """Sentence segments: source_id, source_text, kind, length_approx, doc, segment_index, char_len.
+
+SEGMENT = "array<struct<segment_index:int,source_text:string,length_approx:int>>"
+
+
+def segment_array(text: Column, config: SegmentConfig = SegmentConfig(), is_list: bool = False) -> Column:
+    """Segments of a document in order: array of (segment_index, source_text, length_approx).
 
     Indices count merged lines before the filters, so that ids keep their gaps.
     """
-    # spread by document before the lines are made: the windows then need no shuffle of their own, and a
-    # corpus in few files is still cut in parallel
-    lines = lines_of(docs.select(key, text).repartition(key), key, text, config)
+    lines = raw_lines(text, config, is_list)
     if config.merge_short_lines:
-        lines = merge_short(lines, config.min_chars)
-    numbered = lines.withColumn("segment_index", F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1)
-    kept = numbered.where(F.length("line").between(config.min_chars, config.max_chars))
+        lines = F.transform(merged(lines, config.min_chars), lambda m: m["line"])
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("segment_index"), x.alias("source_text")))
+    fits = lambda x: F.length(x["source_text"]).between(config.min_chars, config.max_chars)
+    kept = F.filter(numbered, fits)
     if config.noise_filter:
-        kept = kept.where(~X.is_noise(F.col("line")))
-    return kept.select(
-        F.concat_ws(":", F.col("doc").cast("string"), F.lit("s"), F.col("segment_index").cast("string")).alias("source_id"),
-        F.col("line").alias("source_text"), F.lit("sentence").alias("kind"), X.approx_token_length(F.col("line")).alias("length_approx"),
-        F.col("doc").cast("string").alias("doc"), "segment_index", F.length("line").alias("char_len"),
+        kept = F.filter(kept, lambda x: ~X.is_noise(x["source_text"]))
+    return F.transform(kept, lambda x: F.struct(x["segment_index"].alias("segment_index"), x["source_text"].alias("source_text"), X.approx_token_length(x["source_text"]).alias("length_approx")))
+
+
+def segmented(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SegmentConfig = SegmentConfig()) -> DataFrame:
+    """(doc, segs): each document with the array of its segments. A document is one row, so nothing is shuffled. A null text has none."""
+    is_list = docs.schema[text].dataType.typeName() == "array"
+    return docs.select(F.col(key).cast("string").alias("doc"), F.coalesce(segment_array(F.col(text), config, is_list), F.array().cast(SEGMENT)).alias("segs"))
+
+
+def segment_rows(whole: DataFrame) -> DataFrame:
+    """One row a segment from ``segmented``: source_id, source_text, kind, length_approx, doc, segment_index, char_len."""
+    # outer: else a filter on the array's size is inferred, and the array computed twice
+    rows = whole.select("doc", F.explode_outer("segs").alias("s")).where("s is not null").select("doc", "s.*")
+    return rows.select(
+        F.concat_ws(":", "doc", F.lit("s"), F.col("segment_index").cast("string")).alias("source_id"), "source_text", F.lit("sentence").alias("kind"), "length_approx",
+        "doc", "segment_index", F.length("source_text").alias("char_len"),
     )
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SegmentConfig = SegmentConfig()) -> DataFrame:
+    """Sentence segments: source_id, source_text, kind, length_approx, doc, segment_index, char_len."""
+    return segment_rows(segmented(docs, key, text, config))
+
+
+_RANGES = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())]))
+
+
+@F.pandas_udf(_RANGES)
 def _pack(lengths: pd.Series, most: pd.Series) -> pd.Series:
+    """Where each blob begins and how many segments it takes."""
+
     def one(ns, limit):
-        out, total, blob = [], 0, 0
+        out, total = [], 0
         for k, n in enumerate(ns):
-            if k and total + n > limit:
-                blob, total = blob + 1, 0
+            if k == 0 or total + n > limit:
+                out.append({"at": k, "n": 0})
+                total = 0
             total += n
-            out.append(blob)
+            out[-1]["n"] += 1
         return out
 
     return pd.Series([one(ns, m) for ns, m in zip(lengths, most)])
 
 
-def blobs(segs: DataFrame, config: SegmentConfig = SegmentConfig()) -> DataFrame:
-    """Greedy blobs of consecutive segments: closed before a segment that would exceed ``blob_max_tokens``.
+def blob_rows(whole: DataFrame, config: SegmentConfig = SegmentConfig()) -> DataFrame:
+    """Greedy blobs of consecutive segments, from ``segmented``: closed before a segment that would exceed ``blob_max_tokens``.
 
     A running sum with resets: only the lengths of a document pass through an
-    Arrow batch. One oversize segment is a blob of its own.
+    Arrow batch; its blobs are slices of its array, and nothing is shuffled. One
+    oversize segment is a blob of its own.
     """
-    parts = segs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("segment_index", "length_approx", "source_text"))).alias("p"))
-    packed = parts.select("doc", "p", _pack(F.transform("p", lambda x: x["length_approx"]), F.lit(config.blob_max_tokens)).alias("b"))
-    rows = packed.select("doc", F.explode(F.arrays_zip("p", "b")).alias("x")).select("doc", "x.p.*", F.col("x.b").alias("blob"))
-    joined = rows.groupBy("doc", "blob").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("segment_index", "source_text"))), lambda x: x["source_text"]), "\n").alias("source_text"),
-        F.min("segment_index").alias("span_from"), F.max("segment_index").alias("span_to"), F.count("*").alias("num_segments"),
-    )
-    return joined.select(
+    packed = whole.select("doc", "segs", _pack(F.transform("segs", lambda x: x["length_approx"]), F.lit(config.blob_max_tokens)).alias("b"))
+
+    def blob(r: Column) -> Column:
+        inside = F.slice("segs", r["at"] + 1, r["n"])
+        return F.struct(
+            F.array_join(F.transform(inside, lambda x: x["source_text"]), "\n").alias("source_text"),
+            F.get(F.col("segs"), r["at"])["segment_index"].alias("span_from"), F.get(F.col("segs"), r["at"] + r["n"] - 1)["segment_index"].alias("span_to"), r["n"].alias("num_segments"),
+        )
+
+    rows = packed.select("doc", F.posexplode_outer(F.transform("b", blob)).alias("blob", "x")).where("x is not null").select("doc", "blob", "x.*")
+    return rows.select(
         F.concat_ws(":", "doc", F.lit("b"), F.col("blob").cast("string")).alias("source_id"), "source_text", F.lit("blob").alias("kind"),
-        X.approx_token_length(F.col("source_text")).alias("length_approx"), "doc", "span_from", "span_to", F.col("num_segments").cast("int").alias("num_segments"),
+        X.approx_token_length(F.col("source_text")).alias("length_approx"), "doc", "span_from", "span_to", "num_segments",
     )
 
 
+def blobs(segs: DataFrame, config: SegmentConfig = SegmentConfig()) -> DataFrame:
+    """``blob_rows`` for a table of segments: those of a document are gathered first."""
+    whole = segs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("segment_index", "source_text", "length_approx"))).alias("segs"))
+    return blob_rows(whole, config)
+
+
 def source_rows(segs: DataFrame, source: str, target: str, boundaries: list[int], lang: str, split: str) -> DataFrame:
     """Segments with pair, languages, length bucket and provenance."""
     from lingloom.operators.sample import bucket_of

@@ -26,6 +26,12 @@ JUDGE_USER = (
     "Criteria: target-language correctness, no extra commentary, no severe meaning loss.\n\n"
     "Source language: {source_lang}\nTarget language: {target_lang}\nSource text:\n{source_text}\n\nCandidate translation:\n{candidate}"
 )
+ROLLOUT_USER = (
+    "You are a professional {source_lang} ({src_lang_code}) to {target_lang} ({tgt_lang_code}) translator. "
+    "Your goal is to accurately convey the meaning and nuances of the original {source_lang} text while adhering to {target_lang} grammar, vocabulary, and cultural sensitivities. "
+    "Produce only the {target_lang} translation, without any additional explanations or commentary. "
+    "Please translate the following {source_lang} text into {target_lang}:\\n\\n{text}"
+)
 PLACEHOLDERS = ("source_lang", "src_lang_code", "target_lang", "tgt_lang_code", "text")
 # Fixed value: pieces that stand for tokens where no tokenizer is plugged in.
 TOKEN = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"
@@ -51,6 +57,23 @@ def check_template(pattern: str) -> None:
         raise ValueError(f"template lacks {', '.join(sorted(missing))}")
 
 
+def chat_codes(lang: Column, code: Column) -> Column:
+    """The language code of a prompt, or the name where there is no code."""
+    return X.pick_text(code, X.pick_text(lang, F.lit("")))
+
+
+def rollout_prompt(source_lang: Column, src_code: Column, target_lang: Column, tgt_code: Column, text: Column, pattern: str = ROLLOUT_USER) -> Column:
+    """The prompt of a rollout. Its default holds backslash and n where it means a line end, as models were trained on it so."""
+    return template(pattern, source_lang=source_lang, src_lang_code=chat_codes(source_lang, src_code), target_lang=target_lang, tgt_lang_code=chat_codes(target_lang, tgt_code), text=text)
+
+
+def preview(df: DataFrame, rows: int, most_chars: int, **columns: Column) -> list[dict[str, str]]:
+    """The first rows as they would be logged: each column a safe string, cut to ``most_chars`` (0: uncut). A value that cannot be rendered is left empty."""
+    shown = {n: F.coalesce(c.try_cast("string"), F.lit("")) for n, c in columns.items()}
+    cut = [(X.truncate_for_log(c, most_chars) if most_chars else c).alias(n) for n, c in shown.items()]
+    return [r.asDict() for r in df.limit(max(0, rows)).select(*cut).collect()]
+
+
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
@@ -82,7 +105,6 @@ def pieces(text: Column) -> Column:
 @dataclass(frozen=True)
 class BudgetConfig:
     max_tokens: int = 1024
-    shrink_steps: int = 6
 
 
 def tokenize_pairs(df: DataFrame, prompt: Column, target: Column, config: BudgetConfig = BudgetConfig()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from lingloom.operators import sample as B
 from lingloom.sources import io
@@ -45,8 +45,8 @@ class RunStats:
         times = {k: {"count": len(v), "total": sum(v), "avg": sum(v) / len(v), "max": max(v)} for k, v in self.timings.items()}
         return {"counters": found, "timings": times}
 
-    def write(self, path: str) -> None:
-        io.write_json_atomic(path, self.report())
+    def write(self, path: str, spark: SparkSession | None = None) -> None:
+        io.write_json_atomic(path, self.report(), spark)
 
 
 def scan_until_filled(chunks: Iterable[DataFrame], bucket: Column, config: B.BalancedConfig = B.BalancedConfig()) -> tuple[DataFrame | None, int]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def latest(table: DataFrame, keys: list[str], at: str, tie: list[str] | None = None) -> DataFrame:
-    """The newest row of each key. Rows of a key are merged before the shuffle by the window's group limit."""
-    order = [F.desc(at), *[F.asc(t) for t in tie or []]]
+    """The newest row of each key; ties by ``tie``, else by a hash of the whole row. Rows of a key are merged before the shuffle by the window's group limit."""
+    order = [F.desc(at), *([F.asc(t) for t in tie] if tie else [F.xxhash64(*table.columns)])]
     return table.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 

@@ -10,6 +10,7 @@ from typing import Any
 from lingloom.functions.lang import ordered_distinct
 from lingloom.operators.filters import BLOCKED
 from lingloom.operators.sample import BOUNDARIES
+from lingloom.operators.sft import TRANSLATE_USER, check_template
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,7 @@ class PipelineConfig:
     select: SelectSection = SelectSection()
     filters: FilterSection = FilterSection()
     output: str = "out"
+    call_parts: int = 4  # parts in which external calls are made and kept
 
 
 def from_dict(kind: type, values: dict[str, Any]) -> Any:
@@ -121,7 +123,161 @@ def load(path: str) -> PipelineConfig:
         values = yaml.safe_load(raw) or {}
     else:
         values = json.loads(raw)
-    return validate(from_dict(PipelineConfig, values))
+    return validate(resolve_paths(from_dict(PipelineConfig, values), path))
+
+
+def resolve_paths(c: Any, config_file: str, names: tuple[str, ...] = ("output", "train_file", "eval_file", "output_dir", "cache_dir")) -> Any:
+    """``c`` with its path fields, in sections as well, counted from the configuration file."""
+    out = {}
+    for f in dataclasses.fields(c):
+        value = getattr(c, f.name)
+        if dataclasses.is_dataclass(value):
+            out[f.name] = resolve_paths(value, config_file, names)
+        elif f.name in names and isinstance(value, str) and value:
+            out[f.name] = resolve_path(value, config_file)
+    return dataclasses.replace(c, **out)
+
+
+def dump(c: Any) -> str:
+    """The resolved configuration as JSON text."""
+    import json
+
+    return json.dumps(dataclasses.asdict(c), ensure_ascii=False, indent=2, sort_keys=True)
+
+
+@dataclass(frozen=True)
+class TrainingData:
+    train_file: str = ""
+    eval_file: str | None = None
+    source_field: str = "source_text"
+    target_field: str = "target_text"
+    source_lang_code: str | None = None
+    source_lang_code_field: str | None = None
+    target_lang_code: str | None = None
+    target_lang_code_field: str | None = None
+    prompt_template: str = TRANSLATE_USER
+    max_train_samples: int | None = None
+    max_eval_samples: int | None = None
+    workers: int = 0
+    log_text_samples: int = 0
+    log_text_max_chars: int = 0
+
+
+@dataclass(frozen=True)
+class TrainingRun:
+    output_dir: str = "out"
+    learning_rate: float = 1e-4
+    global_batch_size: int = 16
+    per_device_batch_size: int = 1
+    expected_world_size: int | None = None
+    max_seq_length: int = 1024
+
+
+@dataclass(frozen=True)
+class TrainingSetup:
+    data: TrainingData = TrainingData()
+    train: TrainingRun = TrainingRun()
+
+
+# Fixed value: the only learning rate that training accepts.
+LEARNING_RATE = 1e-4
+
+
+def _complain(problems: list[tuple[str, bool]]) -> None:
+    if found := [text for text, bad in problems if bad]:
+        raise ValueError("; ".join(found))
+
+
+def validate_training(c: TrainingSetup, exists=os.path.exists) -> TrainingSetup:
+    """``exists`` tells whether a file is there."""
+    d, t = c.data, c.train
+    blank = lambda x: not (x or "").strip()
+    _complain([
+        (f"data.train_file not found: {d.train_file}", blank(d.train_file) or not exists(d.train_file)),
+        (f"data.eval_file not found: {d.eval_file}", not blank(d.eval_file) and not exists(d.eval_file or "")),
+        (f"train.learning_rate must be {LEARNING_RATE}", t.learning_rate != LEARNING_RATE),
+        ("train.global_batch_size, per_device_batch_size and max_seq_length must be positive", min(t.global_batch_size, t.per_device_batch_size, t.max_seq_length) <= 0),
+        ("train.expected_world_size must be positive", t.expected_world_size is not None and t.expected_world_size <= 0),
+        ("data.workers, log_text_samples and log_text_max_chars must not be negative", min(d.workers, d.log_text_samples, d.log_text_max_chars) < 0),
+        ("data.max_train_samples and max_eval_samples must be positive", any(x is not None and x <= 0 for x in (d.max_train_samples, d.max_eval_samples))),
+        ("data names no source language code", blank(d.source_lang_code_field) and blank(d.source_lang_code)),
+        ("data names no target language code", blank(d.target_lang_code_field) and blank(d.target_lang_code)),
+        ("data.prompt_template is empty", blank(d.prompt_template)),
+    ])
+    check_template(d.prompt_template)
+    accumulation_steps(t.global_batch_size, t.per_device_batch_size, t.expected_world_size or 1)
+    return c
+
+
+@dataclass(frozen=True)
+class RewardModel:
+    enabled: bool = True
+    device: str | None = None
+
+
+@dataclass(frozen=True)
+class RewardSection:
+    first: RewardModel = RewardModel()
+    second: RewardModel = RewardModel()
+    overlap_policy: str = "any_overlap"
+    span_combine_policy: str = "sum"
+
+
+@dataclass(frozen=True)
+class PolicyData:
+    dataset: str | None = None
+    train_split: str = "train"
+    train_file: str | None = None
+    eval_file: str | None = None
+
+
+@dataclass(frozen=True)
+class PolicySection:
+    algorithm: str = "grpo"
+    batch_size: int = 8
+    grad_accum: int = 1
+    updates: int = 1
+    samples_per_prompt: int = 4
+    policy_gpus: list[int] = field(default_factory=list)
+    reference_gpus: list[int] = field(default_factory=list)
+
+
+@dataclass(frozen=True)
+class PolicySetup:
+    data: PolicyData = PolicyData()
+    policy: PolicySection = PolicySection()
+    reward: RewardSection = RewardSection()
+
+
+def gpu_of(device: str | None) -> int | None:
+    """Number of a device named ``cuda:n``; ``cuda`` is 0, others are none."""
+    name = (device or "").strip().lower()
+    if name == "cuda":
+        return 0
+    head, _, number = name.partition(":")
+    return int(number) if head == "cuda" and number.isdigit() else None
+
+
+def validate_policy(c: PolicySetup, exists=os.path.exists) -> PolicySetup:
+    d, p, r = c.data, c.policy, c.reward
+    hosted = bool((d.dataset or "").strip())
+    taken = set(p.policy_gpus) | set(p.reference_gpus)
+    first, second = (gpu_of(m.device) if m.enabled else None for m in (r.first, r.second))
+    _complain([
+        ("data.train_split is empty", hosted and not d.train_split.strip()),
+        (f"data.train_file not found: {d.train_file}", not hosted and (not d.train_file or not exists(d.train_file))),
+        (f"data.eval_file not found: {d.eval_file}", not hosted and bool(d.eval_file) and not exists(d.eval_file or "")),
+        ("policy.samples_per_prompt, batch_size, grad_accum and updates must be positive", min(p.samples_per_prompt, p.batch_size, p.grad_accum, p.updates) <= 0),
+        ("policy.algorithm must be grpo or reinforce", p.algorithm not in ("grpo", "reinforce")),
+        ("reward.overlap_policy must be any_overlap or majority_overlap", r.overlap_policy not in ("any_overlap", "majority_overlap")),
+        ("reward.span_combine_policy must be sum, min or max", r.span_combine_policy not in ("sum", "min", "max")),
+        ("no reward model is enabled", not (r.first.enabled or r.second.enabled)),
+        ("GPUs are named twice or negative", any(len(set(g)) != len(g) or any(x < 0 for x in g) for g in (p.policy_gpus, p.reference_gpus))),
+        (f"policy and reference share GPUs {sorted(set(p.policy_gpus) & set(p.reference_gpus))}", bool(set(p.policy_gpus) & set(p.reference_gpus))),
+        ("a reward model sits on a GPU of policy or reference", first in taken or second in taken),
+        ("both reward models sit on one GPU", first is not None and first == second),
+    ])
+    return c
 
 
 def accumulation_steps(global_batch: int, per_device: int, devices: int) -> int:

@@ -149,7 +149,8 @@ def long_line_split(spark, sf):
 
 @query("WITH " + O.lines(40) + " SELECT doc, pos, line FROM merged")
 def lines_merged(spark, sf):
-    return G.merge_short(G.lines_of(docs(spark, sf)), 40).select("doc", F.col("pos").cast("long").alias("pos"), "line")
+    lines = docs(spark, sf).select(F.col("doc_id").alias("doc"), F.explode_outer(G.merged(G.raw_lines(F.col("text")), 40)).alias("m")).where("m is not null")
+    return lines.select("doc", F.col("m.pos").cast("long").alias("pos"), "m.line")
 
 
 @query("WITH " + O.segments() + " SELECT source_id, source_text, length_approx::BIGINT AS length_approx, k::BIGINT AS segment_index, char_len::BIGINT AS char_len FROM segs")
@@ -166,7 +167,7 @@ def segment_counts(spark, sf):
 @query("WITH RECURSIVE " + O.segments() + O.blobs(128) + " SELECT source_id, md5(source_text) AS text_md5, length_approx::BIGINT AS length_approx, span_from::BIGINT AS span_from, span_to::BIGINT AS span_to, num_segments FROM blobs")
 def blobs(spark, sf):
     config = G.SegmentConfig(blob_max_tokens=128)
-    b = G.blobs(G.segments(docs(spark, sf), config=config), config)
+    b = G.blob_rows(G.segmented(docs(spark, sf), config=config), config)
     longs = [F.col(c).cast("long").alias(c) for c in ("length_approx", "span_from", "span_to", "num_segments")]
     return b.select("source_id", F.md5(F.encode("source_text", "UTF-8")).alias("text_md5"), *longs)
 
@@ -196,8 +197,8 @@ def bucket_sample(spark, sf):
 @query("WITH RECURSIVE " + O.segments() + O.blobs() + "," + O.balanced("(SELECT source_id, length_approx FROM segs)", 150, 7, "sa") + "," + O.balanced("(SELECT source_id, length_approx FROM blobs)", 150, 8, "bl")
        + " SELECT source_id, 'sentence' AS kind FROM sa UNION ALL SELECT source_id, 'blob' FROM bl")
 def pool_mix(spark, sf):
-    s = materialize(G.segments(docs(spark, sf)))
-    return B.pool_mix(s, G.blobs(s), 300, 0.5, B.BalancedConfig()).select("source_id", "kind")
+    whole = materialize(G.segmented(docs(spark, sf)))
+    return B.pool_mix(G.segment_rows(whole), G.blob_rows(whole), 300, 0.5, B.BalancedConfig()).select("source_id", "kind")
 
 
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('3:split:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents)
