@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingloom.llm import language
+from lingloom.llm.tally import tally
 from lingloom.session import materialize
 
 
@@ -160,44 +161,6 @@ def tokenized(docs: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:
 TOKENIZED = ["page", "lang", "n", "content", "grammar", "script", "ids", "weights", "scripts"]
 
 
-def tally(df: DataFrame, size: int, add) -> np.ndarray:
-    """A table of ``size`` counters: every task adds its rows to one of its own by ``add(table, batch)``, and all are summed.
-
-    What moves are the counters in use, in pieces; what comes to the driver is one table of fixed size.
-    """
-    part = min(size, 1 << 16)
-    schema = pa.schema([("at", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
-
-    def pieces(table):
-        for at in range(0, size, part):
-            piece = table[at : at + part]
-            used = np.flatnonzero(piece)
-            if len(used):
-                yield pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([used.astype(np.uint16).tobytes()], type=pa.binary()), pa.array([piece[used].tobytes()], type=pa.binary())], schema=schema)
-
-    def count(batches):
-        table = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            add(table, b)
-        yield from pieces(table)
-
-    def merge(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for at, slots, counts in zip(*(b.column(k).to_pylist() for k in range(3))):
-                piece = sums.setdefault(at, np.zeros(part, dtype=np.int64))
-                piece[np.frombuffer(slots, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.int64)
-        for at, piece in sums.items():
-            used = np.flatnonzero(piece)
-            yield pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([used.astype(np.uint16).tobytes()], type=pa.binary()), pa.array([piece[used].tobytes()], type=pa.binary())], schema=schema)
-
-    out = np.zeros(size, dtype=np.int64)
-    shape = "at int, slots binary, counts binary"
-    for r in df.mapInArrow(count, shape).repartition("at").mapInArrow(merge, shape).toLocalIterator():
-        out[r["at"] + np.frombuffer(bytes(r["slots"]), dtype=np.uint16).astype(np.int64)] += np.frombuffer(bytes(r["counts"]), dtype=np.int64)
-    return out
-
-
 _ONE = 64  # the weight of a text that occurs once; copies share it
 
 

@@ -24,23 +24,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lingloom.llm.tally import tally
 from lingloom.session import materialize
 
 
 @dataclass(frozen=True)
 class NearDuplicateConfig:
     """gram: code points of an element. threshold: least Jaccard similarity. least_length: code points a text must
-    have. slots: counters of the frequency sketch that orders elements (its size, and so what is broadcast, does not
-    grow with the data). block: records of one element that are compared in one task; larger groups are cut into
-    pairs of blocks. chunk: pairs looked at in one array. texts_at_once: texts whose branches are built together (both bound memory)."""
+    have. slots: counters of the frequencies that order elements (their number, and so what is broadcast, does not
+    grow with the data; any order gives exact results). block: records of one element that are compared in one task;
+    elements that more texts hold, by exact count, are cut into pairs of blocks. chunk: pairs looked at in one array.
+    texts_at_once: texts whose branches are built together (both bound memory). walk: candidates of one record that
+    are walked in one task. few: rows up to which a list is broadcast."""
 
     gram: int = 5
     threshold: float = 0.7
     least_length: int = 150
-    slots: int = 1 << 20
+    slots: int = 1 << 22
     block: int = 20_000
     chunk: int = 200_000
     texts_at_once: int = 256
+    walk: int = 2_000
+    few: int = 1_000_000
 
 
 BLANKS = re.compile(r"\s+")
@@ -74,37 +79,41 @@ def _slot(h: np.ndarray, slots: int) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.int64) & (slots - 1)
 
 
-def frequency_sketch(texts: DataFrame, config: NearDuplicateConfig) -> np.ndarray:
-    """How many texts hold an element of each slot. ``texts`` is (text) of normalised distinct texts."""
-    k, slots, part = config.gram, config.slots, 1 << 14
+def frequencies(texts: DataFrame, config: NearDuplicateConfig) -> np.ndarray:
+    """How many texts hold an element of each slot, over all texts. ``texts`` is (text) of normalised distinct texts.
 
-    def count(batches):
-        seen = np.zeros(slots, dtype=np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, config.texts_at_once):
-                hs = [_slot(gram_hashes(t, k), slots) for t in b.slice(at, config.texts_at_once).column(0).to_pylist()]
-                np.add.at(seen, np.concatenate(hs), 1)
-        for at in range(0, slots, part):
-            piece = seen[at : at + part]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([piece.tobytes()], type=pa.binary())], names=["at", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
+    The count of a slot is never less than that of any of its elements.
+    """
+
+    def add(table, batch):
+        for at in range(0, batch.num_rows, config.texts_at_once):
+            for t in batch.slice(at, config.texts_at_once).column(0).to_pylist():
+                np.add.at(table, _slot(gram_hashes(t, config.gram), config.slots), 1)
+
+    return np.minimum(tally(texts.select("text"), config.slots, add), np.iinfo(np.int32).max).astype(np.int32)
+
+
+def hot_elements(texts: DataFrame, counts, config: NearDuplicateConfig) -> dict[int, int]:
+    """Elements that more than ``block`` texts hold, with exact counts.
+
+    Only those of slots over ``block`` can be, so only they are counted, by a
+    grouped aggregation. There are at most as many as all elements by ``block``;
+    their list is broadcast up to ``few`` and an error beyond.
+    """
+    if not (counts.value > config.block).any():
+        return {}
+
+    def run(batches):
         for b in batches:
-            for at, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                piece = np.frombuffer(counts, dtype=np.int64)
-                sums[at] = sums[at] + piece if at in sums else piece.copy()
-        for at, piece in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([piece.tobytes()], type=pa.binary())], names=["at", "counts"])
+            found = [h[counts.value[_slot(h, config.slots)] > config.block] for h in (gram_hashes(t, config.gram) for t in b.column(0).to_pylist())]
+            element, n = np.unique(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(n)], names=["element", "n"])
 
-    schema = "at long, counts binary"
-    rows = texts.select("text").mapInArrow(count, schema).repartition("at").mapInArrow(add, schema).collect()  # slots counters in all
-    out = np.zeros(slots, dtype=np.int64)
-    for r in rows:
-        piece = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
-        out[r["at"] : r["at"] + len(piece)] += piece
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    exact = texts.select("text").mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") > config.block)
+    rows = exact.limit(config.few + 1).collect()
+    if len(rows) > config.few:
+        raise ValueError("more hot elements than a broadcast holds: raise block")
+    return {r["element"]: r["n"] for r in rows}
 
 
 def bits_for(n: int) -> int:
@@ -126,16 +135,23 @@ def fold(words: np.ndarray, bits: int) -> np.ndarray:
     return words
 
 
-def tree_prefixes(texts: DataFrame, counts, config: NearDuplicateConfig) -> DataFrame:
-    """(element, block, depth, n, id, bitmap): each set cut at the depth at which a partner must have met it."""
+def tree_prefixes(texts: DataFrame, counts, hot: dict[int, int], config: NearDuplicateConfig) -> DataFrame:
+    """(element, block, depth, n, id, bitmap): each set cut at the depth at which a partner must have met it.
+
+    ``block`` is 0 but for hot elements: their records fall into blocks, and every
+    pair of blocks is a group of its own.
+    """
     k, slots, t, most = config.gram, config.slots, config.threshold, config.block
-    schema = pa.schema([("element", pa.int64()), ("block", pa.int32()), ("depth", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("bitmap", pa.binary())])
+    schema = pa.schema([("element", pa.int64()), ("block", pa.int64()), ("depth", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("bitmap", pa.binary())])
+    shipped = texts.sparkSession.sparkContext.broadcast((np.array(sorted(hot), dtype=np.int64), np.array([hot[x] for x in sorted(hot)], dtype=np.int64)))
 
     def run(batches):
         seen = counts.value
+        hot_element, hot_count = shipped.value
         small = (b.slice(at, config.texts_at_once) for b in batches for at in range(0, b.num_rows, config.texts_at_once))
         for b in small:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
+            maps, size = [], []
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = gram_hashes(text, k)
                 n = len(h)
@@ -143,30 +159,58 @@ def tree_prefixes(texts: DataFrame, counts, config: NearDuplicateConfig) -> Data
                     continue
                 often = seen[_slot(h, slots)]
                 order = np.lexsort((h, often))[: n - math.ceil(t * n) + 1]
-                element, blocks = h[order].view(np.int64), -(-often[order].astype(np.int64) // most)
+                element = h[order].view(np.int64)
                 depth = np.arange(len(order), dtype=np.int32)
-                mine = np.zeros(len(order), dtype=np.int32)
-                if (blocks > 1).any():
-                    # a hot element: its records fall into blocks, and every pair of blocks is a group of its own
+                mine = np.zeros(len(order), dtype=np.int64)
+                if len(hot_element):
+                    at = np.minimum(np.searchsorted(hot_element, element), len(hot_element) - 1)
+                    blocks = np.where(hot_element[at] == element, -(-hot_count[at] // most), 1)
                     rep = np.repeat(np.arange(len(order)), blocks)
                     other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    own = (abs(ident) % np.maximum(blocks, 1))[rep]
-                    mine = (np.minimum(own, other) * 40_000 + np.maximum(own, other)).astype(np.int32)
+                    own = (abs(ident) % blocks)[rep]
+                    mine = np.where(blocks[rep] > 1, (np.minimum(own, other) << 31) + np.maximum(own, other), 0)
                     element, depth = element[rep], depth[rep]
                 m = len(element)
-                bitmap = parity(h, bits_for(n)).tobytes()
                 for c, v in zip(cols, (element, mine, depth, np.full(m, n, dtype=np.int32), np.full(m, ident, dtype=np.int64))):
                     c.append(v)
-                cols[5].append((bitmap, m))
-            if cols[0]:
-                flat = [np.concatenate(c) for c in cols[:5]]
-                maps = pa.array([x for bitmap, m in cols[5] for x in [bitmap] * m], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in flat), maps], schema=schema)
+                maps.append(parity(h, bits_for(n)).tobytes())
+                size.append(m)
+            if maps:
+                bitmap = pa.array(maps, type=pa.binary()).take(pa.array(np.repeat(np.arange(len(maps)), size)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), bitmap], schema=schema)
 
-    return texts.select("id", "text").mapInArrow(run, "element long, block int, depth int, n int, id long, bitmap binary")
+    return texts.select("id", "text").mapInArrow(run, "element long, block long, depth int, n int, id long, bitmap binary")
 
 
-def pairs_in_groups(group: np.ndarray, depth: np.ndarray, n: np.ndarray, ident: np.ndarray, bitmaps: list[bytes], t: float, chunk: int):
+class Bitmaps:
+    """Bitmaps of rows, of one or more widths, folded on demand. Made from an Arrow column without an object a row."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, words: np.ndarray):
+        self.words = words
+        self.table = {}
+        self.place = np.zeros(len(words), dtype=np.int64)
+        for w in np.unique(words).tolist():
+            rows = np.flatnonzero(words == w)
+            self.table[w] = data[start[rows][:, None] + np.arange(w)]
+            self.place[rows] = np.arange(len(rows))
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    @classmethod
+    def of_column(cls, column: pa.Array) -> Bitmaps:
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        return cls(np.frombuffer(column.buffers()[2], dtype=np.uint8, count=offsets[-1])[offsets[0] :].view(np.uint64), (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8)
+
+    @classmethod
+    def of_bytes(cls, maps: list[bytes]) -> Bitmaps:
+        return cls.of_column(pa.array(maps, type=pa.binary()))
+
+    def get(self, rows: np.ndarray, own: int, at: int) -> np.ndarray:
+        if (own, at) not in self.folded:
+            self.folded[own, at] = fold(self.table[own], at * 64)
+        return self.folded[own, at][self.place[rows]]
+
+
+def pairs_in_groups(group: np.ndarray, depth: np.ndarray, n: np.ndarray, ident: np.ndarray, bitmaps: list[bytes] | Bitmaps, t: float, chunk: int):
     """Pairs (id, id) of one or more whole groups that may reach the threshold.
 
     With c = (1-t)/(1+t) a pair may differ in at most c*(n1+n2) elements, and its
@@ -183,18 +227,8 @@ def pairs_in_groups(group: np.ndarray, depth: np.ndarray, n: np.ndarray, ident:
     end = np.searchsorted(keys, label * wide - slack + 1e-9, side="right")
     begin = np.arange(len(keys)) + 1
     much = np.maximum(end - begin, 0)
-    words = np.fromiter((len(bitmaps[i]) // 8 for i in order), dtype=np.int64, count=len(order))
-    table = {w: np.frombuffer(b"".join(bitmaps[i] for i in order[words == w]), dtype=np.uint64).reshape(-1, w) for w in np.unique(words)}
-    place = np.zeros(len(order), dtype=np.int64)
-    for w in table:
-        place[words == w] = np.arange(int((words == w).sum()))
-    folded: dict[tuple[int, int], np.ndarray] = {}
-
-    def maps(rows: np.ndarray, own: int, at: int) -> np.ndarray:
-        if (own, at) not in folded:
-            folded[own, at] = fold(table[own], at * 64)
-        return folded[own, at][place[rows]]
-
+    held = bitmaps if isinstance(bitmaps, Bitmaps) else Bitmaps.of_bytes(bitmaps)
+    words = held.words[order]
     at = 0
     total = np.cumsum(much)
     while at < len(keys):
@@ -206,13 +240,13 @@ def pairs_in_groups(group: np.ndarray, depth: np.ndarray, n: np.ndarray, ident:
             near = (np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9) & (ident[a] != ident[b])
             a, b = a[near], b[near]
             bound = c * (n[a] + n[b]) + 1e-9
-            for wa in table:
-                for wb in table:
+            for wa in held.table:
+                for wb in held.table:
                     pick = np.flatnonzero((words[a] == wa) & (words[b] == wb))
                     if len(pick):
                         w = min(wa, wb)
                         x, y = a[pick], b[pick]
-                        differ = np.bitwise_count(maps(x, wa, w) ^ maps(y, wb, w)).sum(axis=1)
+                        differ = np.bitwise_count(held.get(order[x], wa, w) ^ held.get(order[y], wb, w)).sum(axis=1)
                         ok = differ <= bound[pick]
                         if ok.any():
                             p, q = ident[x[ok]], ident[y[ok]]
@@ -235,7 +269,7 @@ def candidate_pairs(prefixes: DataFrame, config: NearDuplicateConfig) -> DataFra
             often = np.bincount(group)
             more = often[group] > 1
             if more.any():
-                kept = tab.column("bitmap").filter(pa.array(more)).to_pylist()
+                kept = Bitmaps.of_column(tab.column("bitmap").combine_chunks().filter(pa.array(more)) if not isinstance(tab.column("bitmap"), pa.ChunkedArray) else pa.concat_arrays(tab.column("bitmap").filter(pa.array(more)).chunks))
                 found = list(pairs_in_groups(group[more], d[more], n[more].astype(np.int64), i[more], kept, t, chunk))
                 if found:
                     a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -305,12 +339,25 @@ def walk_tree(of: list, sets: list[list], t: float) -> list[float | None]:
     return out
 
 
+def spread_by_record(candidates: DataFrame, config: NearDuplicateConfig) -> DataFrame:
+    """(a, b, part): the candidates of a record stay together, in parts of about ``walk`` where it has more."""
+    often = candidates.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > config.walk)
+    few = often.limit(config.few + 1).count() <= config.few
+    joined = candidates.join(F.broadcast(often) if few else often, "a", "left")
+    return joined.select("a", "b", F.when(F.col("k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / config.walk)).cast("int")).alias("part"))
+
+
 def verify(candidates: DataFrame, reps: DataFrame, counts, config: NearDuplicateConfig) -> DataFrame:
-    """(rep_a, rep_b, similarity) of the candidates that reach the threshold, by their texts."""
+    """(rep_a, rep_b, similarity) of the candidates that reach the threshold, by their texts.
+
+    All candidates of a record, or a part of them, are in one task and are walked
+    as one tree.
+    """
     k, slots, t = config.gram, config.slots, config.threshold
     x = reps.select(F.col("id").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     y = reps.select(F.col("id").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
-    joined = candidates.join(x, "a").join(y, "b").where("rep_a <> rep_b").repartition("a", "b").sortWithinPartitions("rep_a")
+    # b's text first; that of a comes last, by the key that the candidates are then spread by
+    joined = spread_by_record(candidates, config).join(y, "b").join(x, "a").repartition("a", "part").sortWithinPartitions("a", "part")
 
     def run(batches):
         seen = counts.value
@@ -330,7 +377,7 @@ def verify(candidates: DataFrame, reps: DataFrame, counts, config: NearDuplicate
             at = 0
             while at < len(rows):
                 stop = at
-                while stop < len(rows) and rows[stop]["rep_a"] == rows[at]["rep_a"]:
+                while stop < len(rows) and rows[stop]["a"] == rows[at]["a"]:
                     stop += 1
                 found = walk_tree(ordered(rows[at]["text_a"]), [ordered(r["text_b"]) for r in rows[at:stop]], t)
                 out += [{"rep_a": r["rep_a"], "rep_b": r["rep_b"], "similarity": s} for r, s in zip(rows[at:stop], found) if s is not None]
@@ -365,9 +412,15 @@ def near_duplicates(df: DataFrame, key: str = "source_id", text: str = "source_t
     normed = usable.mapInArrow(normal, "key string, text string")
     hashed = normed.withColumn("h", F.md5(F.encode("text", "UTF-8")))
     classes = hashed.groupBy("h").agg(F.min("key").alias("rep"), F.min("text").alias("text"))
-    reps = materialize(classes.select("h", "rep", "text", F.xxhash64("rep").alias("id")))
-    counts = spark.sparkContext.broadcast(frequency_sketch(reps, config))
-    candidates = materialize(candidate_pairs(tree_prefixes(reps, counts, config), config))
+    seed = 0
+    while True:
+        reps = materialize(classes.select("h", "rep", "text", F.xxhash64("rep", F.lit(seed)).alias("id")))
+        # two classes with one number would lose their pair: then all get other numbers
+        if reps.groupBy("id").count().where("count > 1").isEmpty():
+            break
+        seed += 1
+    counts = spark.sparkContext.broadcast(frequencies(reps, config))
+    candidates = materialize(candidate_pairs(tree_prefixes(reps, counts, hot_elements(reps, counts, config), config), config))
     links = verify(candidates, reps, counts, config)
     # keys by the hash of their text; a key lost with its text cannot occur, as both come from one row
     members = hashed.select("key", "h").distinct().join(reps.select("h", "rep"), "h").select("key", "rep")
