@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lingloom.llm.sentences import let
+from lingloom.functions.text import let
 from lingloom.session import materialize
 
 # Languages, each with its commonest function words (none where the script decides).
@@ -75,7 +75,8 @@ END = "\ue011"
 class LanguageConfig:
     """fit_rows: labelled records a language, at most, from which word counts are learned (a bounded sample).
     fit_words: words kept of each language. switch: price of a change of language, in nats.
-    declared_trust: chance that a declared label is right. host_weight: records that the parent's prior counts as."""
+    declared_trust: chance that a declared label is right. host_weight: records that the parent's prior counts as.
+    heavy_rows: records from which a host is split; few: heavy hosts up to which their list is broadcast."""
 
     fit_rows: int = 500
     fit_words: int = 20_000
@@ -84,7 +85,8 @@ class LanguageConfig:
     declared_trust: float = 0.9
     host_weight: float = 20.0
     prior_weight: float = 0.5
-    salts: int = 16
+    heavy_rows: int = 20_000
+    few: int = 100_000
 
 
 def normal_code(code: Column) -> Column:
@@ -103,11 +105,11 @@ def address_suffix(url: Column) -> Column:
 class WordScorer:
     """Log-likelihoods of sentences. Words are looked up, never searched for."""
 
-    # Addresses, short quotations and codes are passed over; what is captured is a word, or an end of a
-    # unit. Units need not be whole sentences: to cut at an abbreviation makes two units of one language.
+    # Addresses, quoted terms (quotations without a mark before a blank or the closing quote: not speech) and
+    # codes are passed over; what is captured is a word, or an end of a unit. Units need not be whole sentences: to cut at an abbreviation makes two units of one language.
     WORD = re.compile(
         r"(?:https?://|www\.)[!-~]*"
-        r"|[“„«「『‹\"][^“”„«»「」『』‹›\"\n" + END + r"]{1,40}[”“»」』›\"]"
+        r"|[“„«「『‹\"](?:(?![.,!?;:…]+[\s”“»」』›\"])[^“”„«»「」『』‹›\"\n。！？，、" + END + r"])+[”“»」』›\"]"
         r"|[^\W\d_]*[0-9][0-9A-Za-z-]*"
         r"|([^\W\d_]+"
         r"|[\n\r\u0085\u2028\u2029" + END + r"]|[。！？｡।؟۔]+"
@@ -297,30 +299,36 @@ def fit_words(records: DataFrame, config: LanguageConfig = LanguageConfig()) ->
 
 
 def host_priors(records: DataFrame, config: LanguageConfig = LanguageConfig()) -> tuple[DataFrame, dict[str, float]]:
-    """(host, prior) with prior an array of log-odds by language, and the same of all records.
+    """(host, suffix, rows, prior) with prior an array of smoothed counts by language and their sum, and the log shares of all records.
 
     Counts of declared labels by host are smoothed towards those by address
-    suffix, and these towards all: (n_host + w * parent) / (total + w). Two
-    grouped aggregations over narrow columns; texts are not read.
+    suffix, and these towards all: n_host + w * parent, whose sum is total + w;
+    so a record can take its own label out again. Two grouped aggregations over
+    narrow columns; texts are not read.
     """
     code = normal_code(F.col("declared"))
     known = F.when(code.isin(LANGUAGES), code)
-    by = records.select("host", F.coalesce("suffix", F.lit("")).alias("suffix"), known.alias("code")).where("code is not null").groupBy("host", "suffix", "code").count()
-    overall = by.groupBy("suffix", "code").agg(F.sum("count").alias("n")).collect()  # suffixes of addresses times languages
+    by = records.select("host", F.coalesce("suffix", F.lit("")).alias("suffix"), known.alias("code")).groupBy("host", "suffix", "code").count()
+    overall = by.where("code is not null").groupBy("suffix", "code").agg(F.sum("count").alias("n"))
+    w = config.host_weight
     total = np.full(len(LANGUAGES), 0.5)
-    suffixes: dict[str, np.ndarray] = {}
-    for r in overall:
+    for r in overall.groupBy("code").agg(F.sum("n").alias("n")).collect():
         total[INDEX[r["code"]]] += r["n"]
-        suffixes.setdefault(r["suffix"], np.zeros(len(LANGUAGES)))[INDEX[r["code"]]] += r["n"]
     base = total / total.sum()
-    w = config.host_weight
-    parent = {s: ((n + w * base) / (n.sum() + w)).tolist() for s, n in suffixes.items()}
-    parents = records.sparkSession.createDataFrame([(s, p) for s, p in parent.items()] or [("", base.tolist())], "suffix string, parent array<double>")
-    own = by.groupBy("host", "suffix").agg(F.map_from_entries(F.collect_list(F.struct("code", "count"))).alias("n"), F.sum("count").alias("total"))
-    share = F.array(*[(F.coalesce(F.element_at("n", F.lit(c)), F.lit(0)) + w * F.element_at("parent", i + 1)) / (F.col("total") + w) for i, c in enumerate(LANGUAGES)])
-    priors = own.join(F.broadcast(parents), "suffix").select("host", "suffix", share.alias("share"))
-    logged = priors.select("host", "suffix", F.transform("share", lambda x: F.log(x)).alias("prior"))
-    return logged, {c: float(np.log(base[i])) for i, c in enumerate(LANGUAGES)}
+    count = lambda counts, c: F.coalesce(F.element_at(counts, F.lit(c)), F.lit(0))
+    of_suffix = overall.groupBy("suffix").agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("m"), F.sum("n").alias("k"))
+    # a country suffix speaks for its language before any page has been seen
+    spoken = F.try_element_at(F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair]), F.col("suffix"))
+    bonus = lambda c: F.when(spoken == c, w).otherwise(0.0)
+    parents = of_suffix.select("suffix", F.array(*[(count("m", c) + w * float(base[i]) + bonus(c)) / (F.col("k") + w + F.when(spoken.isNotNull(), w).otherwise(0.0)) for i, c in enumerate(LANGUAGES)]).alias("parent"))
+    own = by.groupBy("host", "suffix").agg(
+        F.map_from_entries(F.filter(F.collect_list(F.struct("code", "count")), lambda x: x["code"].isNotNull())).alias("m"), F.sum(F.when(F.col("code").isNotNull(), F.col("count")).otherwise(0)).alias("k"), F.sum("count").alias("rows")
+    )
+    few = parents.limit(config.few + 1).count() <= config.few
+    joined = own.join(F.broadcast(parents) if few else parents, "suffix", "left")
+    parent = lambda i: F.coalesce(F.get("parent", F.lit(i)), F.lit(float(base[i])))
+    smoothed = F.array(*[(count("m", c) + w * parent(i)).cast("float") for i, c in enumerate(LANGUAGES)], (F.col("k") + w).cast("float"))
+    return joined.select("host", "suffix", "rows", smoothed.alias("prior")), {c: float(np.log(base[i])) for i, c in enumerate(LANGUAGES)}
 
 
 def _viterbi(x: np.ndarray, switch: float) -> np.ndarray:
@@ -353,9 +361,15 @@ def decode_batch(packed: list[bytes], priors: list, declared: list, base: np.nda
     width = len(LANGUAGES)
     miss = np.log((1 - config.declared_trust) / (width - 1))
     hit = np.log(config.declared_trust)
-    about = np.array([base if q is None else q for q in priors], dtype=np.float32).reshape(-1, width) * config.prior_weight
+    alone = np.append(np.exp(base) * config.host_weight, config.host_weight)
+    smoothed = np.array([alone if q is None else q for q in priors], dtype=np.float64).reshape(-1, width + 1)
     code = np.array([INDEX.get(d, -1) for d in declared], dtype=np.int32)
     named = np.flatnonzero(code >= 0)
+    counted = named[np.array([priors[k] is not None for k in named.tolist()], dtype=bool)]
+    # a record's own label speaks for itself below, not in the prior of its host as well
+    smoothed[counted, code[counted]] = np.maximum(smoothed[counted, code[counted]] - 1, 1e-3)
+    smoothed[counted, -1] -= 1
+    about = (np.log(smoothed[:, :-1]) - np.log(np.maximum(smoothed[:, -1:], 1e-3))).astype(np.float32) * config.prior_weight
     about[named] += miss
     about[named, code[named]] += hit - miss
     about -= about.max(axis=1, keepdims=True)
@@ -427,9 +441,16 @@ def identify(records: DataFrame, config: LanguageConfig = LanguageConfig(), word
     priors, base = host_priors(records, config)
     prepared = records.select("origin", "rec_key", "host", F.coalesce("suffix", F.lit("")).alias("suffix"), normal_code(F.col("declared")).alias("declared"), F.col("text").alias("_m"))
     scored = score_sentences(prepared, shipped, "_m")
-    # a host may hold a third of all rows: its records go to several partitions, its prior to each of them
-    salted = scored.withColumn("_salt", F.pmod(F.xxhash64("origin", "rec_key"), F.lit(config.salts)))
-    spread = priors.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.salts - 1).cast("long"))))
+    # a host may hold a third of all rows: the records of such a host, by exact count, go to several partitions, its prior to each of them
+    parts = F.ceil(F.col("rows") / config.heavy_rows).cast("long")
+    heavy = priors.where(F.col("rows") > config.heavy_rows).groupBy("host").agg(F.max(parts).alias("_parts"))
+    listed = heavy.limit(config.few + 1).collect()
+    if len(listed) > config.few:
+        raise ValueError("more heavy hosts than a broadcast holds: raise heavy_rows")
+    split = spark.createDataFrame([(r["host"], r["_parts"]) for r in listed], "host string, _parts long")
+    on_host = lambda df: df.join(F.broadcast(split), "host", "left") if listed else df.withColumn("_parts", F.lit(None).cast("long"))
+    salted = on_host(scored).withColumn("_salt", F.pmod(F.xxhash64("origin", "rec_key"), F.coalesce("_parts", F.lit(1).cast("long"))))
+    spread = on_host(priors).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1)) if listed else F.lit(0).cast("long"))
     on = [salted["host"] == spread["host"], salted["suffix"] == spread["suffix"], salted["_salt"] == spread["_salt"]]
     fused = salted.join(spread, on, "left").select(salted["host"], salted["_salt"], "origin", "rec_key", "declared", "packed", "prior")
     once = fused.groupBy("origin", "rec_key").agg(F.max_by(F.struct("declared", "packed", "prior"), F.coalesce("declared", F.lit(""))).alias("x")).select("origin", "rec_key", "x.*")
@@ -446,6 +467,12 @@ def mislabelled(identified: DataFrame) -> DataFrame:
     )
 
 
+def page_records(docs: DataFrame) -> DataFrame:
+    """Web pages as records: the markup language is what is declared, the site is the host, and the address has a suffix."""
+    none = F.lit(None).cast("string")
+    return docs.select(F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("rec_key"), "text", F.col("lang").cast("string").alias("declared"), F.coalesce(F.col("source").cast("string"), none).alias("host"), address_suffix(F.col("url")).alias("suffix"))
+
+
 def corpus_records(spark, sf: str) -> DataFrame:
     """The two tables with labels, as records; the document is the host of a segment, the pair that of an answer."""
     s = spark.read.parquet(f"{sf}/sampled_sources.parquet")

@@ -19,6 +19,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("origin", "rec_key", "run_no", "lang")
 
 
+def p1_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The languages of web pages, with site and address suffix as evidence: one row a run, for all pages."""
+    runs = language.identify(language.page_records(_t(spark, sf, "documents"))).select(F.col("rec_key").cast("long").alias("doc_id"), F.posexplode("runs").alias("run_no", "run"))
+    return runs.select("doc_id", "run_no", F.col("run.lang").alias("lang"), F.col("run.confidence").alias("confidence"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_spans(_t(spark, sf, "sampled_sources"), "source_id", "source_text")
 
@@ -135,7 +141,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p3_labels, p4_found, p4_report, p4_sample, p5_found, p6_found, p6_classes, p7_samples, p7_sizes, p8_containers, p8_check, p8_fill, p9_found, p9_report, p9_mix, p9_check, p10_found]
+    found = [p1_found, p1_documents, p2_found, p3_found, p3_labels, p4_found, p4_report, p4_sample, p5_found, p6_found, p6_classes, p7_samples, p7_sizes, p8_containers, p8_check, p8_fill, p9_found, p9_report, p9_mix, p9_check, p10_found]
     return {f.__name__: f for f in found}
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingloom.functions.text import let
+
 # Marks, their placeholders, and the break character.
 MARKS = ".!?…。！？｡"
 MASKED = "\ue000\ue001\ue002\ue003\ue004\ue005\ue006\ue007"
@@ -47,11 +49,6 @@ THAI_OPEN = ["โดย", "ร่วมกับ", "กับ", "เพื่อ
 # Pairs of quotation marks, opener and closer.
 QUOTES = [("“", "”"), ("«", "»"), ("„", "“"), ("「", "」"), ("『", "』"), ("‹", "›")]
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once: a lambda variable, not a copied expression."""
-    return F.transform(F.array(value), body)[0]
-
-
 _CLOSERS = "[\"'”’»“›\\)\\]」』）】〉》]*"
 _CJK = "\\u2e80-\\u9fff\\uf900-\\ufaff\\uac00-\\ud7a3\\u0e00-\\u0e7f\\uff00-\\uffef"
 
@@ -137,10 +134,20 @@ def mask(text: Column) -> Column:
     return let(t, lambda x: F.when(x.rlike("[\\u0e01-\\u0e5b]"), _mask_thai(x)).otherwise(x))
 
 
+def _mask_bracketed(text: Column) -> Column:
+    """Mask the blanks between a bracket and the next one that closes it on the same line."""
+
+    def one(piece: Column, i: Column) -> Column:
+        masked = lambda inner: F.when(F.contains(piece, F.lit(")")) & ~F.contains(inner, F.lit("\n")), F.concat(F.translate(inner, " ", SPACE_MASK), _rest(piece, inner))).otherwise(piece)
+        return F.when(i > 0, let(F.substring_index(piece, ")", 1), masked)).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(text, "\\Q(\\E", -1), one), "(")
+
+
 def _mask_thai(t: Column) -> Column:
     """Thai writes no marks: a blank before Thai ends a sentence unless the clause goes on."""
     t = F.regexp_replace(t, "\\.(?<=[\\u0e01-\\u0e5b]\\.)", DOT)
-    t = F.regexp_replace(t, "[ ](?=[^()\\n]{0,200}\\))(?<=\\([^()\\n]{0,200}[ ])", SPACE_MASK)
+    t = let(t, lambda x: F.when(F.contains(x, F.lit("(")), _mask_bracketed(x)).otherwise(x))
     goes_on = "|".join(THAI_CONTINUES)
     opened = "|".join(w.replace(".", DOT) for w in THAI_OPEN)
     return F.regexp_replace(
@@ -188,32 +195,44 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c
 
 
 def sentences(text: Column) -> Column:
-    """Array of the sentences of ``text`` in order; null for null, empty for a blank text."""
-    trimmed = F.transform(pieces(text), lambda p: unmask(F.btrim(p, F.lit(BLANKS))))
-    return F.filter(trimmed, lambda p: F.length(p) > 0)
+    """Array of the sentences of ``text`` in order; null for null, empty for a blank text.
+
+    A text that holds placeholders of its own gets its sentences by position
+    from the text itself, as they cannot be told from those that were put in.
+    """
+
+    def cut(whole: Column) -> Column:
+        at = lambda ps, k: F.aggregate(F.slice(ps, F.lit(1), k), F.lit(1), lambda a, p: a + F.length(p))
+        return let(pieces(whole), lambda ps: F.transform(ps, lambda p, k: F.substring(whole, at(ps, k), F.length(p))))
+
+    restored = let(text, lambda t: F.when(t.rlike(f"[{PRIVATE_USE}]"), cut(t)).otherwise(F.transform(pieces(t), unmask)))
+    return F.filter(F.transform(restored, lambda p: F.btrim(p, F.lit(BLANKS))), lambda p: F.length(p) > 0)
 
 
 def sentence_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row (key, start_pos, end_pos) for each sentence of each distinct key.
 
-    Positions are code points from 0, end excluded. Replayed keys count once;
+    Positions are code points from 0, end excluded. Replayed keys count once, with
+    one of their texts if these differ;
     a null or blank text gives no row; a null key is a key like any other. Only
     lengths are shuffled, never texts, and rows of one key are merged before the
     shuffle.
     """
     # outer: else a filter on the array's size is inferred, and the pieces computed twice
-    found = df.select(F.col(key), F.posexplode_outer(pieces(F.col(text))).alias("_i", "_p")).where("_p is not null").select(
+    found = df.select(F.col(key), F.xxhash64(F.col(text)).alias("_h"), F.posexplode_outer(pieces(F.col(text))).alias("_i", "_p")).where("_p is not null").select(
         key,
+        "_h",
         "_i",
         F.length("_p").alias("_n"),
         (F.length("_p") - F.length(F.ltrim("_p", F.lit(BLANKS)))).alias("_lead"),
         F.length(F.rtrim("_p", F.lit(BLANKS))).alias("_stop"),
     )
     # by key and number first: replays are merged before the shuffle, and a much replayed key is spread
-    once = found.groupBy(key, "_i").agg(F.first("_n").alias("_n"), F.first("_lead").alias("_lead"), F.first("_stop").alias("_stop"))
-    before = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    once = found.groupBy(key, "_h", "_i").agg(F.first("_n").alias("_n"), F.first("_lead").alias("_lead"), F.first("_stop").alias("_stop"))
+    before = Window.partitionBy(key).orderBy("_h", "_i").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = F.first("_h").over(Window.partitionBy(key).orderBy("_h", "_i"))
     return (
-        once.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .where(F.col("_stop") > F.col("_lead"))
+        once.withColumn("_first", chosen).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .where((F.col("_stop") > F.col("_lead")) & (F.col("_h") == F.col("_first")))
         .select(key, (F.col("_at") + F.col("_lead")).cast("int").alias("start_pos"), (F.col("_at") + F.col("_stop")).cast("int").alias("end_pos"))
     )

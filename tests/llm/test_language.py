@@ -56,6 +56,38 @@ def test_priors_are_smoothed_towards_parents(spark):
     assert by["big"][L.INDEX["de"]] > by["small"][L.INDEX["de"]] > by["small"][L.INDEX["pl"]]
 
 
+def test_own_label_is_no_evidence_of_its_host(spark):
+    lone = [("o", "a", "Tasivewa is here", "fr", "only", None)] + [("o", str(i), EN, "en", f"h{i}", None) for i in range(50)]
+    priors, base = L.host_priors(spark.createDataFrame(lone, SCHEMA))
+    prior = {r["host"]: r["prior"] for r in priors.collect()}["only"]
+    import numpy as np
+
+    known = np.array([base[c] for c in L.LANGUAGES])
+    plain = L.decode_batch([b""], [prior], ["fr"], known, L.LanguageConfig())
+    assert plain.to_pylist() == [[]] and abs(prior[-1] - 21) < 1e-6
+
+
+def test_host_and_suffix_decide_where_the_text_does_not(spark):
+    # words of Danish-like spelling that several languages share: the site and the suffix speak
+    rows = [("o", str(i), DE, "de", "site", "de") for i in range(60)] + [("o", f"e{i}", EN, "en", "other", "uk") for i in range(60)]
+    rows += [("o", "x", "Die Panorama. Die.", None, "site", "de"), ("o", "y", "in an in an", None, "new", "de"), ("o", "z", "in an in an", None, "new2", "uk")]
+    got = {r["rec_key"]: [x["lang"] for x in r["runs"]] for r in L.identify(spark.createDataFrame(rows, SCHEMA), words=L.seed_words()).collect()}
+    assert got["x"] == ["de"] and got["y"] == ["de"] and got["z"] == ["en"]
+
+
+def test_heavy_hosts_are_split(spark):
+    rows = [("o", str(i), EN if i % 2 else DE, None if i % 5 else "en", "hot", None) for i in range(300)] + [("o", "n", EN, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = {r["rec_key"]: r["runs"] for r in L.identify(df, words=L.seed_words()).collect()}
+    assert plain == {r["rec_key"]: r["runs"] for r in L.identify(df, L.LanguageConfig(heavy_rows=20), L.seed_words()).collect()} and len(plain) == 301
+
+
+@pytest.mark.parametrize("n", [1, 60])
+def test_quoted_terms_of_any_length(spark, n):
+    got, _ = run(spark, [("a", EN + "The sign “" + "nicht auf der Straße " * n + "ist” is on the wall. " + EN, "en", "h")])
+    assert [x["lang"] for x in got["a"]["runs"]] == ["en"]
+
+
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([], SCHEMA).withColumn("prior", F.lit(1)).withColumn("runs", F.lit("x"))
     assert L.mislabelled(L.identify(df, words=L.seed_words())).count() == 0

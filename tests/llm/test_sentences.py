@@ -24,7 +24,7 @@ CASES = {
     "korean": ("김 씨는 “하나. 둘.”라고 말했습니다. 셋입니다.", ["김 씨는 “하나. 둘.”라고 말했습니다.", "셋입니다."]),
     "thai": ("ห้องสมุดได้เปิด(ดูข้อ 4 ในรายการ) เพราะราคาขึ้น ยามได้พบจดหมาย", ["ห้องสมุดได้เปิด(ดูข้อ 4 ในรายการ) เพราะราคาขึ้น", "ยามได้พบจดหมาย"]),
     "straight quotes": ('"One. Two," he said. Three.', ['"One. Two," he said.', "Three."]),
-    "private use": ("ab. Cd.", ["a�b.", "C�d."]),
+    "private use": ("ab. Cd.", ["a\ue000b.", "C\ue010d."]),
 }
 
 
@@ -76,3 +76,21 @@ def test_long_quotation_is_one_sentence(spark):
     text = "“" + "We walked on. " * 200 + "Then we slept,” she said. It rained."
     df = spark.createDataFrame([("k", text)], "source_id string, source_text string")
     assert S.sentence_spans(df, "source_id", "source_text").count() == 2
+
+
+def test_sentences_restore_placeholders_of_the_text_itself(spark):
+    text = "One \ue003 here. \ue010Two! “A. B,” she said\ue00a."
+    assert split(spark, [text]) == [["One \ue003 here.", "\ue010Two!", "“A. B,” she said\ue00a."]]
+
+
+@pytest.mark.parametrize("size", [20, 5000])
+def test_quotations_and_brackets_of_any_length(spark, size):
+    quoted = "“" + "Yes. " * (size // 5) + "No,” she said. It rained."
+    bracket = "ห้องสมุดได้เปิด(" + "ดูข้อ 4 " * (size // 8) + ") เพราะราคาขึ้น"
+    assert [len(x) for x in split(spark, [quoted, bracket])] == [2, 1]
+
+
+def test_replays_with_another_text_are_not_mixed(spark):
+    rows = [("k", "One. Two. Three."), ("k", "A much longer one here. Short."), ("k", "One. Two. Three.")]
+    got = S.sentence_spans(spark.createDataFrame(rows, "source_id string, source_text string"), "source_id", "source_text").orderBy("start_pos").collect()
+    assert [(r["start_pos"], r["end_pos"]) for r in got] in ([(0, 4), (5, 9), (10, 16)], [(0, 23), (24, 30)])
