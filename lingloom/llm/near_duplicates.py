@@ -34,7 +34,8 @@ class NearDuplicateConfig:
     have. slots: counters of the frequencies that order elements (their number, and so what is broadcast, does not
     grow with the data; any order gives exact results). block: records of one element that are compared in one task;
     elements that more texts hold, by exact count, are cut into pairs of blocks. chunk: pairs looked at in one array.
-    texts_at_once: texts whose branches are built together (both bound memory). walk: candidates of one record that
+    texts_at_once: texts whose branches are packed together; part_entries: entries of a part of the index, about, that
+    one task holds at a time (all three bound memory). walk: candidates of one record that
     are walked in one task. few: rows up to which a list is broadcast."""
 
     gram: int = 5
@@ -43,7 +44,8 @@ class NearDuplicateConfig:
     slots: int = 1 << 22
     block: int = 20_000
     chunk: int = 200_000
-    texts_at_once: int = 256
+    texts_at_once: int = 4096
+    part_entries: int = 500_000
     walk: int = 2_000
     few: int = 1_000_000
 
@@ -135,30 +137,53 @@ def fold(words: np.ndarray, bits: int) -> np.ndarray:
     return words
 
 
-def tree_prefixes(texts: DataFrame, counts, hot: dict[int, int], config: NearDuplicateConfig) -> DataFrame:
-    """(element, block, depth, n, id, bitmap): each set cut at the depth at which a partner must have met it.
+PACKED = ["element", "block", "depth", "text", "id", "n", "words", "bitmap"]
 
-    ``block`` is 0 but for hot elements: their records fall into blocks, and every
-    pair of blocks is a group of its own.
+
+def tree_prefixes(texts: DataFrame, counts, hot: dict[int, int], parts: int, config: NearDuplicateConfig) -> DataFrame:
+    """(part, element, block, depth, text, id, n, words, bitmap): each set cut at the depth at which a partner must have met it.
+
+    The index is spread by element over ``parts``. A row packs what some texts
+    put into one part: element, block and depth of each entry and the text it
+    belongs to, then number, size and bitmap of each of these texts once.
+    ``block`` is 0 but for hot elements: their records fall into blocks, and
+    every pair of blocks is a group of its own.
     """
     k, slots, t, most = config.gram, config.slots, config.threshold, config.block
-    schema = pa.schema([("element", pa.int64()), ("block", pa.int64()), ("depth", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("bitmap", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in PACKED]])
     shipped = texts.sparkSession.sparkContext.broadcast((np.array(sorted(hot), dtype=np.int64), np.array([hot[x] for x in sorted(hot)], dtype=np.int64)))
 
+    def packed(entries, numbers, sizes, maps):
+        element, block, depth, text = (np.concatenate(c) for c in zip(*entries))
+        ident, n = np.array(numbers, dtype=np.int64), np.array(sizes, dtype=np.int32)
+        words = np.array([len(m) // 8 for m in maps], dtype=np.int64)
+        part = ((_mixed(element.view(np.uint64)) ^ _mixed(block.view(np.uint64))) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((text, part))
+        element, block, depth, text, part = element[order], block[order], depth[order], text[order], part[order]
+        cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        rows: list[list] = [[] for _ in schema.names]
+        for a, b in zip(cut[:-1], cut[1:]):
+            there, local = np.unique(text[a:b], return_inverse=True)
+            row = (element[a:b], block[a:b] if block[a:b].any() else block[:0], depth[a:b], local.astype(np.int32), ident[there], n[there], words[there])
+            for c, v in zip(rows, (int(part[a]), *[x.tobytes() for x in row], b"".join([maps[x] for x in there.tolist()]))):
+                c.append(v)
+            if len(rows[0]) == 256:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema)], schema=schema)
+                rows = [[] for _ in schema.names]
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema)], schema=schema)
+
     def run(batches):
         seen = counts.value
         hot_element, hot_count = shipped.value
-        small = (b.slice(at, config.texts_at_once) for b in batches for at in range(0, b.num_rows, config.texts_at_once))
-        for b in small:
-            cols: list[list] = [[], [], [], [], []]
-            maps, size = [], []
+        entries, numbers, sizes, maps, held = [], [], [], [], 0
+        for b in batches:
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = gram_hashes(text, k)
                 n = len(h)
                 if not n:
                     continue
-                often = seen[_slot(h, slots)]
-                order = np.lexsort((h, often))[: n - math.ceil(t * n) + 1]
+                order = np.lexsort((h, seen[_slot(h, slots)]))[: n - math.ceil(t * n) + 1]
                 element = h[order].view(np.int64)
                 depth = np.arange(len(order), dtype=np.int32)
                 mine = np.zeros(len(order), dtype=np.int64)
@@ -170,16 +195,48 @@ def tree_prefixes(texts: DataFrame, counts, hot: dict[int, int], config: NearDup
                     own = (abs(ident) % blocks)[rep]
                     mine = np.where(blocks[rep] > 1, (np.minimum(own, other) << 31) + np.maximum(own, other), 0)
                     element, depth = element[rep], depth[rep]
-                m = len(element)
-                for c, v in zip(cols, (element, mine, depth, np.full(m, n, dtype=np.int32), np.full(m, ident, dtype=np.int64))):
-                    c.append(v)
+                entries.append((element, mine, depth, np.full(len(element), len(numbers), dtype=np.int32)))
+                numbers.append(ident)
+                sizes.append(n)
                 maps.append(parity(h, bits_for(n)).tobytes())
-                size.append(m)
-            if maps:
-                bitmap = pa.array(maps, type=pa.binary()).take(pa.array(np.repeat(np.arange(len(maps)), size)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), bitmap], schema=schema)
+                held += len(element)
+                if len(numbers) >= config.texts_at_once or held >= 4 * config.part_entries:
+                    yield from packed(entries, numbers, sizes, maps)
+                    entries, numbers, sizes, maps, held = [], [], [], [], 0
+        if entries:
+            yield from packed(entries, numbers, sizes, maps)
+
+    return texts.select("id", "text").mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in PACKED))
 
-    return texts.select("id", "text").mapInArrow(run, "element long, block long, depth int, n int, id long, bitmap binary")
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+@dataclass
+class Part:
+    """One part of the index, its entries sorted by element and block; ``text`` points into number, size and bitmap of the texts."""
+
+    element: np.ndarray
+    block: np.ndarray
+    depth: np.ndarray
+    text: np.ndarray
+    id: np.ndarray
+    n: np.ndarray
+    bitmaps: Bitmaps
+
+    @classmethod
+    def of_rows(cls, rows: list[tuple]) -> Part:
+        cols = [[np.frombuffer(r[k], dtype=d) for r in rows] for k, d in enumerate((np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int64, np.uint64))]
+        element, block, depth, text, ident, n, words, data = cols
+        block = [b if len(b) else np.zeros(len(e), dtype=np.int64) for b, e in zip(block, element)]
+        first = np.cumsum([0, *map(len, ident)])[:-1]
+        text = np.concatenate([x.astype(np.int64) + f for x, f in zip(text, first.tolist())])
+        element, block, depth, ident, n, words, data = (np.concatenate(c) for c in (element, block, depth, ident, n, words, data))
+        order = np.lexsort((block, element)) if block.any() else np.argsort(element, kind="stable")
+        return cls(element[order], block[order], depth[order], text[order], ident, n.astype(np.int64), Bitmaps(data, np.cumsum(words) - words, words))
 
 
 class Bitmaps:
@@ -217,86 +274,87 @@ def pairs_in_groups(group: np.ndarray, depth: np.ndarray, n: np.ndarray, ident:
     depths d1, d2 are elements it differs in: d1 - c*n1 + d2 - c*n2 <= 0. Sorted by
     this slack inside each group, the partners of a record are one range.
     """
+    held = bitmaps if isinstance(bitmaps, Bitmaps) else Bitmaps.of_bytes(bitmaps)
+    yield from pairs_of(group, depth, np.arange(len(group)), n, ident, held, t, chunk)
+
+
+STEPS = 2  # bands of size in which a set may be t times another
+
+
+def pairs_of(group: np.ndarray, depth: np.ndarray, text: np.ndarray, sizes: np.ndarray, idents: np.ndarray, held: Bitmaps, t: float, chunk: int):
+    """The same for entries that point into arrays of their texts. Sizes fall into bands, so that a partner is at most STEPS bands away."""
     c = (1 - t) / (1 + t)
+    n = sizes[text]
     slack = depth - c * n
-    order = np.lexsort((slack, group))
-    group, slack, n, ident, depth = group[order], slack[order], n[order], ident[order], depth[order]
+    band = np.floor(STEPS * np.log(n) / -math.log(t) + 1e-9).astype(np.int64)
+    many = int(band.max()) + STEPS + 2 if len(band) else 1
     label = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
-    wide = 4.0 * (np.abs(slack).max() + 1.0)
-    keys = label * wide + slack
-    end = np.searchsorted(keys, label * wide - slack + 1e-9, side="right")
-    begin = np.arange(len(keys)) + 1
-    much = np.maximum(end - begin, 0)
-    held = bitmaps if isinstance(bitmaps, Bitmaps) else Bitmaps.of_bytes(bitmaps)
-    words = held.words[order]
-    at = 0
-    total = np.cumsum(much)
-    while at < len(keys):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")))
-        m = much[at:stop]
-        if m.sum():
-            a = np.repeat(np.arange(at, stop), m)
-            b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[at:stop], m)
-            near = (np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9) & (ident[a] != ident[b])
-            a, b = a[near], b[near]
-            bound = c * (n[a] + n[b]) + 1e-9
-            for wa in held.table:
-                for wb in held.table:
-                    pick = np.flatnonzero((words[a] == wa) & (words[b] == wb))
-                    if len(pick):
-                        w = min(wa, wb)
-                        x, y = a[pick], b[pick]
-                        differ = np.bitwise_count(held.get(order[x], wa, w) ^ held.get(order[y], wb, w)).sum(axis=1)
-                        ok = differ <= bound[pick]
-                        if ok.any():
-                            p, q = ident[x[ok]], ident[y[ok]]
-                            yield np.minimum(p, q), np.maximum(p, q)
-        at = stop
+    order = np.lexsort((slack, label * many + band))
+    slack, n, text = slack[order], n[order], text[order]
+    place = (label * many + band)[order]
+    wide = 4.0 * (np.abs(slack).max(initial=0.0) + 1.0)
+    keys = place * wide + slack
+    words = held.words[text]
+    for away in range(STEPS + 1):
+        # rounding of the keys is far below this, and a pair too much is not harmful
+        end = np.searchsorted(keys, (place + away) * wide - slack + 1e-4, side="right")
+        begin = np.arange(len(keys)) + 1 if away == 0 else np.searchsorted(keys, (place + away) * wide - wide / 2, side="left")
+        much = np.maximum(end - begin, 0)
+        total = np.cumsum(much)
+        at = 0
+        while at < len(keys):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")))
+            m = much[at:stop]
+            if m.any():
+                a = np.repeat(np.arange(at, stop), m)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[at:stop], m)
+                near = (np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9) & (idents[text[a]] != idents[text[b]])
+                a, b = a[near], b[near]
+                bound = c * (n[a] + n[b]) + 1e-9
+                for wa in held.table:
+                    for wb in held.table:
+                        pick = np.arange(len(a)) if len(held.table) == 1 else np.flatnonzero((words[a] == wa) & (words[b] == wb))
+                        if len(pick):
+                            w = min(wa, wb)
+                            x, y = text[a[pick]], text[b[pick]]
+                            differ = np.bitwise_count(held.get(x, wa, w) ^ held.get(y, wb, w)).sum(axis=1, dtype=np.int32)
+                            ok = differ <= bound[pick]
+                            if ok.any():
+                                p, q = idents[x[ok]], idents[y[ok]]
+                                yield np.minimum(p, q), np.maximum(p, q)
+            at = stop
 
 
 def candidate_pairs(prefixes: DataFrame, config: NearDuplicateConfig) -> DataFrame:
     """Distinct (a, b), a < b, of record ids whose sets may reach the threshold."""
     t, chunk = config.threshold, config.chunk
-    columns = ["element", "block", "depth", "n", "id"]
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush(tab: pa.Table):
-            e, blk, d, n, i = (tab.column(c).to_numpy() for c in columns)
-            group = np.cumsum(np.concatenate(([0], (e[1:] != e[:-1]) | (blk[1:] != blk[:-1]))))
-            often = np.bincount(group)
-            more = often[group] > 1
-            if more.any():
-                kept = Bitmaps.of_column(tab.column("bitmap").combine_chunks().filter(pa.array(more)) if not isinstance(tab.column("bitmap"), pa.ChunkedArray) else pa.concat_arrays(tab.column("bitmap").filter(pa.array(more)).chunks))
-                found = list(pairs_in_groups(group[more], d[more], n[more].astype(np.int64), i[more], kept, t, chunk))
-                if found:
-                    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-                    both = np.unique(np.stack([a, b], axis=1), axis=0)
-                    for at in range(0, len(both), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 50_000, 0]), pa.array(both[at : at + 50_000, 1])], names=["a", "b"])
+    def pairs(rows: list[tuple]):
+        x = Part.of_rows(rows)
+        new = np.flatnonzero(np.concatenate(([True], (x.element[1:] != x.element[:-1]) | (x.block[1:] != x.block[:-1]))))
+        size = np.diff(np.append(new, len(x.element)))
+        kept = np.repeat(size > 1, size)
+        group = np.repeat(np.arange(len(size)), size)[kept]
+        found = list(pairs_of(group, x.depth[kept], x.text[kept], x.n, x.id, x.bitmaps, t, chunk))
+        if found:
+            a, b = np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
+            both = np.unique(np.stack([a, b], axis=1), axis=0)
+            for at in range(0, len(both), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 50_000, 0]), pa.array(both[at : at + 50_000, 1])], names=["a", "b"])
 
+    def run(batches):
+        part, rows = None, []
         for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size < 60_000:
-                continue
-            tab = pa.Table.from_batches(held).combine_chunks()
-            e, blk = tab.column("element").to_numpy(), tab.column("block").to_numpy()
-            last = np.flatnonzero((e != e[-1]) | (blk != blk[-1]))  # all but the group that may go on
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from flush(tab.slice(0, cut))
-            rest = tab.slice(cut)
-            held, size = rest.to_batches(), 0 if cut else rest.num_rows // 2
-        if held:
-            tab = pa.Table.from_batches(held).combine_chunks()
-            if tab.num_rows:
-                yield from flush(tab)
-
-    spread = prefixes.repartition("element", "block").sortWithinPartitions("element", "block")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+            for at, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if at != part and rows:
+                    yield from pairs(rows)
+                    rows = []
+                part = at
+                rows.append(tuple(row))
+        if rows:
+            yield from pairs(rows)
+
+    return prefixes.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long").distinct()
 
 
 def walk_tree(of: list, sets: list[list], t: float) -> list[float | None]:
@@ -420,7 +478,10 @@ def near_duplicates(df: DataFrame, key: str = "source_id", text: str = "source_t
             break
         seed += 1
     counts = spark.sparkContext.broadcast(frequencies(reps, config))
-    candidates = materialize(candidate_pairs(tree_prefixes(reps, counts, hot_elements(reps, counts, config), config), config))
+    # an upper bound of the entries, from lengths alone
+    entries = reps.agg(F.sum(F.length("text") * (1 - config.threshold) + 2)).first()[0] or 0
+    parts = max(1, math.ceil(entries / config.part_entries))
+    candidates = materialize(candidate_pairs(tree_prefixes(reps, counts, hot_elements(reps, counts, config), parts, config), config))
     links = verify(candidates, reps, counts, config)
     # keys by the hash of their text; a key lost with its text cannot occur, as both come from one row
     members = hashed.select("key", "h").distinct().join(reps.select("h", "rep"), "h").select("key", "rep")
