@@ -45,7 +45,7 @@ class NearDuplicateConfig:
     block: int = 20_000
     chunk: int = 200_000
     texts_at_once: int = 4096
-    part_entries: int = 500_000
+    part_entries: int = 2_000_000
     walk: int = 2_000
     few: int = 1_000_000
 
@@ -164,7 +164,7 @@ def tree_prefixes(texts: DataFrame, counts, hot: dict[int, int], parts: int, con
         rows: list[list] = [[] for _ in schema.names]
         for a, b in zip(cut[:-1], cut[1:]):
             there, local = np.unique(text[a:b], return_inverse=True)
-            row = (element[a:b], block[a:b] if block[a:b].any() else block[:0], depth[a:b], local.astype(np.int32), ident[there], n[there], words[there])
+            row = (element[a:b], block[a:b] if block[a:b].any() else block[:0], narrow(depth[a:b]), narrow(local.astype(np.int32)), ident[there], n[there], words[there])
             for c, v in zip(rows, (int(part[a]), *[x.tobytes() for x in row], b"".join([maps[x] for x in there.tolist()]))):
                 c.append(v)
             if len(rows[0]) == 256:
@@ -200,7 +200,7 @@ def tree_prefixes(texts: DataFrame, counts, hot: dict[int, int], parts: int, con
                 sizes.append(n)
                 maps.append(parity(h, bits_for(n)).tobytes())
                 held += len(element)
-                if len(numbers) >= config.texts_at_once or held >= 4 * config.part_entries:
+                if len(numbers) >= config.texts_at_once or held >= config.part_entries:
                     yield from packed(entries, numbers, sizes, maps)
                     entries, numbers, sizes, maps, held = [], [], [], [], 0
         if entries:
@@ -209,6 +209,15 @@ def tree_prefixes(texts: DataFrame, counts, hot: dict[int, int], parts: int, con
     return texts.select("id", "text").mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in PACKED))
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers in 16 bits where they fit; ``widened`` tells by the length."""
+    return x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x
+
+
+def widened(raw: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * count else np.int32).astype(np.int32)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -229,8 +238,8 @@ class Part:
 
     @classmethod
     def of_rows(cls, rows: list[tuple]) -> Part:
-        cols = [[np.frombuffer(r[k], dtype=d) for r in rows] for k, d in enumerate((np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int64, np.uint64))]
-        element, block, depth, text, ident, n, words, data = cols
+        element, block, ident, n, words, data = ([np.frombuffer(r[k], dtype=d) for r in rows] for k, d in ((0, np.int64), (1, np.int64), (4, np.int64), (5, np.int32), (6, np.int64), (7, np.uint64)))
+        depth, text = ([widened(r[k], len(e)) for r, e in zip(rows, element)] for k in (2, 3))
         block = [b if len(b) else np.zeros(len(e), dtype=np.int64) for b, e in zip(block, element)]
         first = np.cumsum([0, *map(len, ident)])[:-1]
         text = np.concatenate([x.astype(np.int64) + f for x, f in zip(text, first.tolist())])
