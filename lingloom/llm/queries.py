@@ -30,12 +30,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    final = _t(spark, sf, "final_dataset")
-    side = lambda origin, text, code: final.select(F.lit(origin).alias("origin"), F.col("row_id").cast("string").alias("rec_key"), F.col(text).alias("text"), F.col(code).alias("declared"), F.col("pair_id").alias("host"), F.lit(None).cast("string").alias("suffix"))
-    answers = side("final_dataset", "target_text", "target_lang_code")
-    words = language.fit_words(answers.unionByName(side("source", "source_text", "source_lang_code")))
-    spoken = language.identify(answers.withColumn("declared", F.lit(None).cast("string")), words=words)
-    return defects.label(defects.votes_of_pairs(final, spoken))
+    return defects.label(defects.votes_of_pairs(_t(spark, sf, "final_dataset")))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
