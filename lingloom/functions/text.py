@@ -128,15 +128,21 @@ RESPONSE_PATHS = ["$.choices[0].message.content", "$.choices[0].message.output_t
 PART_KEYS = ["text", "output_text", "content", "reasoning_content", "value"]
 
 
-def content_text(part: Column, depth: int = 4) -> Column:
+def content_text(part: Column, depth: int = 2) -> Column:
     """Text of a part (a variant): a string or number itself, the parts of a list joined, the first known key of an object."""
-    plain = F.coalesce(F.try_variant_get(part, "$", "string"), F.lit(""))
-    kind = F.coalesce(F.schema_of_variant(part), F.lit("VOID"))
-    if depth == 0:
-        return F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "VOID"), F.lit("")).otherwise(plain)
-    listed = F.array_join(F.transform(F.try_variant_get(part, "$", "array<variant>"), lambda x: F.coalesce(content_text(x, depth - 1), F.lit(""))), "")
-    keyed = F.coalesce(*[F.when(F.try_variant_get(part, f"$.{k}", "variant").isNotNull(), content_text(F.try_variant_get(part, f"$.{k}", "variant"), depth - 1)) for k in PART_KEYS], F.lit(""))
-    return F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), keyed).when(kind == "VOID", F.lit("")).otherwise(plain)
+
+    def of(v: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+        plain = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+        nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+        if depth == 0:
+            return F.when(nested | (kind == "VOID"), F.lit("")).otherwise(plain)
+        listed = F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(content_text(x, depth - 1), F.lit(""))), "")
+        # one branch for whatever key there is, so that the expression does not grow with their number
+        keyed = content_text(F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in PART_KEYS]), depth - 1)
+        return F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), F.coalesce(keyed, F.lit(""))).when(kind == "VOID", F.lit("")).otherwise(plain)
+
+    return let(part, of)
 
 
 def response_text(raw: Column, depth: int = 2) -> Column:

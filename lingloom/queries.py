@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,12 @@ from lingloom.operators import sample as B
 from lingloom.operators import segment as G
 from lingloom.operators import sft as S
 from lingloom.operators import tables as KV
+from lingloom.operators import training as TR
 from lingloom.plans import config as P
-from lingloom.plans.pipeline import Pipeline
-from lingloom.session import materialize
+from lingloom.plans.pipeline import Pipeline, RunMode
+from lingloom.session import materialize, shared_dir
 from lingloom.sources import examples as EX
+from lingloom.sources import io as IO
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -640,6 +643,196 @@ def length_stats(spark, sf):
     return s.select(F.col("length_min").cast("long").alias("length_min"), F.col("length_max").cast("long").alias("length_max"), "length_avg_x100")
 
 
+# ---- rows, batches and statistics of training -----------------------------------------------------------------------
+
+
+@query(f"""WITH {_ADV}, lp AS (SELECT a, {_logprob('n', 'row_id', '(i - 1)')} AS n, {_logprob('o', 'row_id', '(i - 1)')} AS o, -1.0 * {_logprob('e', 'row_id', '(i - 1)')} AS e FROM adv)
+SELECT round(sum(-least(exp(n - o) * a, greatest(0.8, least(1.2, exp(n - o))) * a) - 0.01 * e) / count(*), 6) AS policy_loss, round(sum(e) / count(*), 6) AS entropy, count(*) AS token_count FROM lp""")
+def policy_loss_entropy(spark, sf):
+    adv = _advantages(spark, sf)
+    loss = K.policy_token_loss(_lp("n"), _lp("o"), F.col("advantages"), None, 0.2, 0.0, "grpo", F.transform(_lp("e"), lambda x: -x), 0.01)
+    s = A.policy_stats(adv.select(loss.alias("token_loss")))
+    return s.select(F.round("policy_loss", 6).alias("policy_loss"), F.round("entropy", 6).alias("entropy"), "token_count")
+
+
+def _lp(salt: str):
+    digits = lambda i: F.substring(F.sha2(F.concat_ws(":", F.lit(salt), F.col("row_id").cast("string"), i.cast("string")), 256), 1, 6)
+    return F.transform("advantages", lambda a, i: -(F.conv(digits(i), 16, 10).cast("long") % 1000) / 1000.0)
+
+
+@query(f"""WITH {_ADV}, lp AS (SELECT row_id, a, {_logprob('o', 'row_id', '(i - 1)')} AS o, {_logprob('r', 'row_id', '(i - 1)')} AS r FROM adv)
+SELECT row_id, round(avg(a), 6) AS adv_mean, round(sum(a), 5) AS adv_sum, round(avg(o), 9) AS old_logprob_mean, CASE WHEN row_id % 3 = 0 THEN NULL ELSE round(avg(r), 9) END AS ref_logprob_mean FROM lp GROUP BY row_id""")
+def rollout_means(spark, sf):
+    d = _advantages(spark, sf).withColumn("old_logprobs", _lp("o")).withColumn("ref_logprobs", F.when(F.col("row_id") % 3 != 0, _lp("r")))
+    m = A.rollout_means(d)
+    return m.select("row_id", F.round("adv_mean", 6).alias("adv_mean"), F.round("adv_sum", 5).alias("adv_sum"), F.round("old_logprob_mean", 9).alias("old_logprob_mean"), F.round("ref_logprob_mean", 9).alias("ref_logprob_mean"))
+
+
+@query(f"""WITH {_ADV}, p AS (SELECT {O.score('s', 'h')} AS a, {O.jaccard('s', 'h')} AS b FROM pairs WHERE h <> ''), t AS (SELECT avg(r) AS m, stddev_pop(r) AS sd, count(*) FILTER (WHERE abs(r) > 0)::DOUBLE / count(*) AS nz FROM rw)
+SELECT round(avg(a), 6) AS first_score_mean, round(stddev_pop(a), 6) AS first_score_std, round(avg(5.0 - a), 6) AS first_reward_mean, round(stddev_pop(5.0 - a), 6) AS first_reward_std, round(avg(b), 6) AS second_score_mean,
+round(stddev_pop(b), 6) AS second_score_std, round((SELECT m FROM t), 6) AS token_rewards_mean, round((SELECT sd FROM t), 6) AS token_rewards_std, round((SELECT nz FROM t), 6) AS token_rewards_non_zero_ratio,
+1.0::DOUBLE AS span_minor_mean, 1.0::DOUBLE AS span_major_mean, 2.0::DOUBLE AS span_critical_mean FROM p""")
+def reward_report(spark, sf):
+    d = _tokens(spark, sf).withColumn("score_first", X.heuristic_score(F.col("s"), F.col("h"))).withColumn("score_second", X.jaccard_overlap(F.col("s"), F.col("h"))).withColumn("reward_first", F.lit(5.0) - F.col("score_first"))
+    r = A.reward_report(d.withColumn("token_rewards", K.span_token_rewards(F.col("offsets"), F.col("spans"))))
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+
+
+@query(f"WITH {_ADV} SELECT src, round(avg(a), 6) AS mean_before, round(stddev_pop(a), 6) AS std_before, 0.0::DOUBLE AS mean_after, CASE WHEN stddev_pop(a) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS std_after, count(*) AS tokens FROM adv GROUP BY src")
+def batch_statistics(spark, sf):
+    rows = _advantages(spark, sf).select("src", "advantages")
+    before = A.batch_moments(rows, "src").select("src", F.round("mean", 6).alias("mean_before"), F.round("std", 6).alias("std_before"), "tokens")
+    after = A.batch_moments(A.batch_advantage(rows, "src"), "src").select("src", F.abs(F.round("mean", 4)).alias("mean_after"), F.round("std", 4).alias("std_after"))
+    return before.join(after, "src")
+
+
+@query(f"WITH {PAIRS} SELECT 1.0::DOUBLE AS mean_minor, 1.0::DOUBLE AS mean_major, 2.0::DOUBLE AS mean_critical FROM (SELECT count(*) AS n FROM pairs WHERE h <> '') WHERE n > 0")
+def severity_means(spark, sf):
+    return A.severity_means(_tokens(spark, sf))
+
+
+@query("WITH s AS (SELECT DISTINCT source_id, candidate_index, prefilter.score_sample AS x FROM prefilter_candidates) SELECT count(*) AS n, count(*) FILTER (WHERE x IS NULL OR isnan(x)) AS replaced, round(avg(CASE WHEN x IS NULL OR isnan(x) THEN 25.0 ELSE x END), 6) AS mean, round(stddev_pop(CASE WHEN x IS NULL OR isnan(x) THEN 25.0 ELSE x END), 6) AS std FROM s")
+def score_moments(spark, sf):
+    c = t(spark, sf, "prefilter_candidates").select("source_id", "candidate_index", F.col("prefilter.score_sample").alias("x")).distinct()
+    clean = c.withColumn("y", A.sanitize_score(F.col("x"), 25.0))
+    n = clean.agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | F.isnan("x")).alias("replaced"))
+    m = A.moments(clean, F.col("y"))
+    return n.join(F.broadcast(m), F.lit(True)).select("n", "replaced", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(f"WITH {PAIRS} SELECT row_id, length(h) > 80 AS skipped FROM pairs")
+def overflow_skipped(spark, sf):
+    p = pairs(spark, sf)
+    return p.select("row_id", F.isnan(A.skip_overflow(F.length("h"), 80, F.lit(1.0))).alias("skipped"))
+
+
+@query("SELECT row_id, row_id % 4 AS kept, least(row_id % 4, 2) AS shared FROM (SELECT DISTINCT row_id FROM final_dataset)")
+def completion_ids(spark, sf):
+    rows = t(spark, sf, "final_dataset").select("row_id").distinct()
+    k = (F.col("row_id") % 4).cast("int")
+    ids = F.concat(F.slice(F.array(*[F.lit(x) for x in (11, 12, 13)]), F.lit(1), k), F.array(F.lit(2), F.lit(99)))
+    trimmed = K.trim_completion(ids, [2, 0])
+    other = F.array(*[F.lit(x) for x in (11, 12, 77, 78)])
+    return rows.select("row_id", F.size(trimmed).cast("long").alias("kept"), K.common_prefix_length(trimmed, other).cast("long").alias("shared"))
+
+
+_PLACE = "(('0x' || substr(sha256('5:step3:' || d.draw), 1, 12))::BIGINT % (SELECT count(*) FROM documents))"
+
+
+@query(f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents), d AS (SELECT unnest(range(64)) AS draw) SELECT d.draw, r.doc_id FROM d JOIN r ON r.p = {_PLACE}")
+def sample_batch(spark, sf):
+    return B.sample_batch(docs(spark, sf).select("doc_id"), "doc_id", 64, 5, 3).select("draw", "doc_id")
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) SELECT doc_id, p // 48 AS chunk FROM r")
+def chunks(spark, sf):
+    return B.chunked(docs(spark, sf).select("doc_id"), "doc_id", 48).select("doc_id", F.col("chunk").cast("long").alias("chunk"))
+
+
+@query(f"WITH {PAIRS} SELECT row_id, CASE row_id % 6 WHEN 4 THEN '' WHEN 5 THEN '' ELSE {O.strip('h')} END AS answer FROM pairs")
+def response_texts(spark, sf):
+    h = X.json_string(F.col("h"))
+    m = F.col("row_id") % 6
+    raw = (
+        F.when(m == 0, F.concat(F.lit('{"choices": [{"message": {"content": '), h, F.lit("}}]}")))
+        .when(m == 1, F.concat(F.lit('{"choices": [{"message": {"content": [{"type": "text", "text": '), h, F.lit("}, null]}}]}")))
+        .when(m == 2, F.concat(F.lit('{"choices": [{"message": {"content": "  "}, "text": '), h, F.lit("}]}")))
+        .when(m == 3, F.concat(F.lit('{"choices": [{"message": {"content": {"content": {"value": '), h, F.lit("}}}}]}")))
+        .when(m == 4, F.lit('{"choices": []}'))
+        .otherwise(F.lit("no json"))
+    )
+    return pairs(spark, sf).select("row_id", X.response_text(raw).alias("answer"))
+
+
+@query(f"WITH {PAIRS} SELECT row_id, 'You are a professional ' || {O.name('src')} || ' (' || src || ') to ' || {O.name('tgt')} || ' (' || CASE WHEN row_id % 2 = 0 THEN tgt ELSE {O.name('tgt')} END || ') translator.' AS head, '\\n\\n' || s AS tail FROM pairs")
+def rollout_prompts(spark, sf):
+    code = F.when(F.col("row_id") % 2 == 0, F.col("tgt")).otherwise(F.lit(" "))
+    prompt = S.rollout_prompt(LG.language_name(F.col("src")), F.col("src"), LG.language_name(F.col("tgt")), code, F.col("s"))
+    p = pairs(spark, sf).withColumn("prompt", prompt)
+    return p.select("row_id", F.concat(F.substring_index("prompt", "translator.", 1), F.lit("translator.")).alias("head"), F.expr("substring(prompt, length(prompt) - length(s) - 3)").alias("tail"))
+
+
+class _Letters:
+    """A tokenizer stand-in: a token a letter, 1 closes a text; no template."""
+
+    end, turn_end = 1, None
+
+    def encode(self, text):
+        return [ord(c) + 10 for c in text]
+
+    def render(self, messages, generation):
+        return None
+
+
+def _asked_text(text: str) -> list[dict[str, str]]:
+    return [{"role": "user", "content": text}]
+
+
+_ROOM = 200
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT row_id, length(s) + 18 AS p, CASE WHEN {O.strip('h')} = '' THEN 0 ELSE length(h) END AS t FROM pairs),
+c AS (SELECT row_id, t, CASE WHEN t = 0 THEN least(p, {_ROOM}) WHEN p + t <= {_ROOM} THEN p ELSE least(p, {_ROOM} - least(t, 32)) END AS p FROM n)
+SELECT row_id, p::BIGINT AS prompt_tokens, (CASE WHEN t = 0 THEN 0 ELSE least(t + 1, {_ROOM} - p) END)::BIGINT AS num_target_tokens FROM c""")
+def training_rows(spark, sf):
+    rows = TR.training_rows(pairs(spark, sf), "row_id", "s", "h", _Letters, _asked_text, TR.TrainingConfig(_ROOM))
+    return rows.select("row_id", F.col("prompt_tokens").cast("long").alias("prompt_tokens"), F.col("num_target_tokens").cast("long").alias("num_target_tokens"))
+
+
+class _Spans:
+    """A span-scorer stand-in: a tenth of the difference in length, and one major span over the first half of the answer."""
+
+    def score(self, sources, candidates, references):
+        return [(abs(len(a) - len(b)) / 10, [(0, len(b) // 2, "MAJOR", 0.5)] if b else []) for a, b in zip(sources, candidates)]
+
+
+@query(f"WITH {PAIRS} SELECT row_id, round(abs(length(s) - length(h)) / 10.0, 9) AS score, CASE WHEN h = '' THEN 0 ELSE 1 END::BIGINT AS spans, CASE WHEN h = '' THEN NULL ELSE (length(h) // 2) END::BIGINT AS first_end FROM pairs")
+def span_scores(spark, sf):
+    p = pairs(spark, sf).withColumn("x", C.span_scorer_udf(_Spans)("s", "h", F.lit("")))
+    return p.select("row_id", F.round("x.score", 9).alias("score"), F.size("x.spans").cast("long").alias("spans"), F.get("x.spans", F.lit(0))["end"].cast("long").alias("first_end"))
+
+
+# ---- sources and sinks ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, lang FROM documents")
+def jsonl_round_trip(spark, sf):
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    d = t(spark, sf, "documents").select("doc_id", "text", "lang")
+    half = F.col("doc_id") % 2
+    IO.write_jsonl(d.where(half == 0), path)
+    IO.write_jsonl(d.where(half == 1), path, append=True)
+    back = materialize(IO.read_jsonl(spark, path, "doc_id long, text string, lang string"))
+    IO.remove(spark, path)
+    return back.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 200")
+def corpus_cap(spark, sf):
+    return IO.corpus(spark, t(spark, sf, "documents").select("doc_id", "lang"), lang="en", most=200, order="doc_id")
+
+
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('3:split:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents)
+SELECT CASE WHEN r <= greatest(1, least(n - 1, round_even(n * 0.05, 0))) THEN 'eval' ELSE 'train' END AS part, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM r GROUP BY 1""")
+def split_written(spark, sf):
+    folder = f"{shared_dir(spark)}/split-{uuid.uuid4().hex}"
+    paths = IO.write_split(B.split_train_eval(docs(spark, sf).select("doc_id"), "doc_id", 0.05, 3), folder)
+    back = [materialize(IO.read_jsonl(spark, p, "doc_id long").select(F.lit(part).alias("part"), "doc_id")) for part, p in paths.items()]
+    IO.remove(spark, folder)
+    return back[0].unionByName(back[1]).groupBy("part").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query("SELECT doc_id, 'row ' || doc_id AS example_id, doc_id % 3 AS tokens FROM documents WHERE doc_id % 3 > 0 AND doc_id % 5 > 0")
+def rollout_table(spark, sf):
+    path = f"{shared_dir(spark)}/rollouts-{uuid.uuid4().hex}"
+    k = (F.col("doc_id") % 3).cast("int")
+    made = docs(spark, sf).select(F.concat(F.lit("row "), F.col("doc_id").cast("string")).alias("example_id"), F.when(F.col("doc_id") % 5 > 0, F.lit("text")).otherwise(F.lit(" ")).alias("completion_text"), F.slice(F.array(F.lit(5), F.lit(6)), F.lit(1), k).alias("completion_token_ids"), F.col("doc_id").cast("string").alias("src_text"))
+    IO.write_jsonl(made, path)
+    back = materialize(IO.read_rollouts(spark, path))
+    IO.remove(spark, path)
+    return back.select(F.col("src_text").cast("long").alias("doc_id"), "example_id", F.size("completion_token_ids").cast("long").alias("tokens"))
+
+
 # ---- the whole pipeline ---------------------------------------------------------------------------------------------
 
 _FLAG = P.PipelineConfig()
@@ -685,6 +878,20 @@ def pipeline_final(spark, sf):
     return out.select("source_text", "target_text", F.round("metricx_qe_score_best", 9).alias("score"))
 
 
+@query(_PIPE)
+def pipeline_resumed(spark, sf):
+    """The verdicts of a run that was stopped after its first stages and resumed: caches, finished tables and progress are read back."""
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    first = Pipeline(spark, _FLAG, folder=folder)
+    for stage in ("sample_sources", "prefilter_score", "select_sources"):
+        first.run_stage(stage, docs(spark, sf))
+    again = Pipeline(spark, _FLAG, folder=folder, mode=RunMode(resume=True))
+    again.run(docs(spark, sf))
+    out = materialize(again.stored("filtered").select("source_text", "target_text", F.round("metricx_qe_score_best", 9).alias("score"), F.col("selection.selection_rank").cast("long").alias("selection_rank"), F.col("filters.reason_code").alias("reason_code")))
+    IO.remove(spark, folder)
+    return out
+
+
 @query(_pipe_sql(_FULL))
 def pipeline_full(spark, sf):
     """The verdicts at the sizes of a full run. The pool is written once: completions and their join with the sources both read it."""

@@ -40,7 +40,7 @@ def test_query(spark, con, name):
     assert all(alike(x, y) for g, w in zip(got, want) for x, y in zip(g, w))
 
 
-WITH_PYTHON = {"model_score_udf", "cached_completions", "blobs", "pool_mix", "token_offsets", "group_advantage", "batch_advantage", "policy_loss_grpo", "policy_loss_reinforce", "eval_report", "severity_counts", "reward_stats", "pipeline_verdicts", "pipeline_final"}
+WITH_PYTHON = {"model_score_udf", "cached_completions", "blobs", "pool_mix", "token_offsets", "group_advantage", "batch_advantage", "policy_loss_grpo", "policy_loss_reinforce", "eval_report", "severity_counts", "reward_stats", "pipeline_verdicts", "pipeline_final", "policy_loss_entropy", "rollout_means", "reward_report", "batch_statistics", "severity_means", "training_rows"}
 
 
 @pytest.mark.parametrize("name", sorted(Q.queries()))
@@ -51,6 +51,11 @@ def test_plan_stays_in_the_engine(spark, name):
         assert "Python" not in plan and "ArrowEval" not in plan and "Pandas" not in plan
 
 
+def test_segments_and_blobs_are_not_shuffled(spark):
+    for name in ("segments", "blobs", "lines_merged"):
+        assert "Exchange" not in Q.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scans_read_only_what_they_need(spark):
     plan = Q.queries()["approx_len"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
