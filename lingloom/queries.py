@@ -26,6 +26,7 @@ from lingloom.plans.pipeline import Pipeline, RunMode
 from lingloom.session import materialize, shared_dir
 from lingloom.sources import examples as EX
 from lingloom.sources import io as IO
+from lingloom.streaming import ingest as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -428,7 +429,7 @@ def typed_scan(spark, sf):
     return S.typed_scan(_lines(spark, sf), "line", ["k"]).groupBy("k").agg(F.count("*").alias("n"))
 
 
-MOST = 96
+MOST = S.BudgetConfig().max_tokens
 _BUDGET = f"""{PAIRS}, tok AS (SELECT row_id, {O.pieces("'USER: ' || s")} AS p0, CASE WHEN {O.strip('h')} = '' THEN [] ELSE {O.pieces('h')} END AS t0 FROM pairs),
 cut AS (SELECT row_id, t0, CASE WHEN len(t0) = 0 THEN p0[1:{MOST}] WHEN len(p0) + len(t0) <= {MOST} THEN p0 ELSE p0[1:greatest(0, {MOST} - least(len(t0), {max(32, MOST // 8)}))] END AS p,
   len(p0) + len(t0) <= {MOST} AS fits FROM tok),
@@ -807,6 +808,20 @@ def jsonl_round_trip(spark, sf):
     return back.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "lang")
 
 
+@query("WITH " + O.segments() + f" SELECT {O.bucket('length_approx')}::BIGINT AS bucket, count(*) AS n, sum(k)::BIGINT AS indices, count(DISTINCT source_id) AS ids FROM segs GROUP BY 1")
+def streamed_segments(spark, sf):
+    """Segments of files as they arrive, each document once: the stream reads the table in two batches and is then started again."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    d = docs(spark, sf)
+    for k in range(2):
+        d.where(F.col("doc_id") % 2 == k).write.mode("append").parquet(f"{folder}/in")
+        arriving = ST.document_stream(spark, f"{folder}/in", "doc_id long, text string", files_per_batch=1)
+        ST.ingest_segments(arriving, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    back = materialize(spark.read.parquet(f"{folder}/out").groupBy(B.bucket_of(F.col("length_approx")).cast("long").alias("bucket")).agg(F.count("*").alias("n"), F.sum("segment_index").alias("indices"), F.count_distinct("source_id").alias("ids")))
+    IO.remove(spark, folder)
+    return back
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 200")
 def corpus_cap(spark, sf):
     return IO.corpus(spark, t(spark, sf, "documents").select("doc_id", "lang"), lang="en", most=200, order="doc_id")

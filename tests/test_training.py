@@ -79,6 +79,24 @@ def test_rows_of_a_table(spark):
     assert T.with_targets(rows.where("k = 2"), required=False) is None
 
 
+@pytest.mark.parametrize("most", [8, 96])
+def test_piece_budget_like_plain_lists(spark, most):
+    import re
+
+    from lingloom.operators import sft as S
+
+    rows = [(i, "ask " * (i % 120), "say it. " * (i * 7 % 90)) for i in range(120)] + [(500, "ask", ""), (501, "", "say"), (502, "ask", " ")]
+    got = {r["k"]: r for r in S.tokenize_pairs(spark.createDataFrame(rows, "k int, p string, t string"), F.col("p"), F.col("t"), S.BudgetConfig(most)).collect()}
+    for k, p, t in rows:
+        prompt, target = re.findall(r"\w+|[^\w\s]", p), re.findall(r"\w+|[^\w\s]", t) if t.strip() else []
+        if not target:
+            prompt, kept = prompt[:most], []
+        else:
+            cut = T.TrainingConfig(most)
+            prompt, kept = T.within_budget(prompt, target, S.EOS, cut)
+        assert got[k]["input"] == prompt + kept and got[k]["prompt_tokens"] == len(prompt) and got[k]["full_tokens"] <= most, k
+
+
 RESPONSES = [
     ('{"choices": [{"message": {"content": " a "}}]}', "a"),
     ('{"choices": [{"message": {"content": [{"text": "a"}, {"value": "b"}, 3, null]}}]}', "ab3"),
