@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingloom.llm import defects, fixed_sample, keyword_spam, language, mixing, near_duplicates, packing, sentences, stratified, topn
+from lingloom.oracle import norm
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -145,6 +146,21 @@ _REPORT = f"""{_ITEMS}, r AS (SELECT plan_id, kind, length_from, greatest(min_ro
   (SELECT count(*) FROM it WHERE it.kind = lower(trim(t.kind)) AND it.len >= t.length_from AND it.len < t.length_to) AS available FROM sample_targets t, n)"""
 
 
+# near-duplicates by plain joins: copies collapsed, candidates by a shared rare n-gram, similarity by a count of shared ones
+_SIMILAR = f"""WITH s AS (SELECT source_id, max(source_text) AS x FROM sampled_sources GROUP BY source_id),
+u AS (SELECT source_id, {norm('lower(x)')} AS t FROM s WHERE length(x) >= 150),
+c AS (SELECT t, row_number() OVER () AS id, min(source_id) AS rep FROM u GROUP BY t),
+g AS (SELECT DISTINCT id, substr(t, i, 5) AS e FROM (SELECT id, t, unnest(range(1, length(t) - 3)) AS i FROM c)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+f AS (SELECT e, count(*) AS f FROM g GROUP BY e),
+p AS (SELECT g.id, g.e, row_number() OVER (PARTITION BY g.id ORDER BY f.f, g.e) AS k, n.n FROM g JOIN f ON f.e = g.e JOIN n ON n.id = g.id),
+q AS (SELECT id, e, n FROM p WHERE k <= n - ceil(0.7 * n) + 1),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM q a JOIN q b ON a.e = b.e AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n)),
+sim AS (SELECT cand.a, cand.b, count(*) AS o FROM cand JOIN g x ON x.id = cand.a JOIN g y ON y.id = cand.b AND y.e = x.e GROUP BY ALL),
+l AS (SELECT a, b FROM sim JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE o >= 0.7 * (na.n + nb.n - o)),
+m AS (SELECT u.source_id, c.id, c.rep FROM u JOIN c ON c.t = u.t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that a plain engine can express on whole tables; the others are tested against brute force."""
     return {
@@ -155,6 +171,9 @@ k AS (SELECT t.plan_id, t.kind, t.length_from, it.source_id, q.quota,
   row_number() OVER (PARTITION BY t.plan_id, t.kind, t.length_from ORDER BY xor(('0x' || substr(sha256('17:' || it.source_id), 1, 15))::BIGINT, ('0x' || substr(sha256('17:' || t.plan_id), 1, 15))::BIGINT), it.source_id) AS k
   FROM sample_targets t JOIN it ON it.kind = lower(trim(t.kind)) AND it.len >= t.length_from AND it.len < t.length_to JOIN q ON q.plan_id = t.plan_id AND q.kind = t.kind AND q.length_from = t.length_from)
 SELECT plan_id, kind, length_from, source_id FROM k WHERE k <= quota""",
+        "p6_found": f"""{_SIMILAR}, r AS (SELECT x.source_id AS p, y.source_id AS q FROM l JOIN m x ON x.id = l.a JOIN m y ON y.id = l.b UNION ALL SELECT x.source_id, y.source_id FROM m x JOIN m y ON x.id = y.id AND x.source_id < y.source_id)
+SELECT least(p, q) AS source_id_a, greatest(p, q) AS source_id_b FROM r""",
+        "p6_classes": f"{_SIMILAR}, k AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM l UNION ALL SELECT b FROM l) GROUP BY id) SELECT m.source_id, m.rep, coalesce(k.links, 0) AS links FROM m LEFT JOIN k ON k.id = m.id",
         "p7_sizes": "WITH n AS (SELECT count(DISTINCT source_id) AS n FROM sampled_sources) SELECT draw_id, least(sample_size, n)::BIGINT AS n, least(sample_size, n)::BIGINT AS ids, least(sample_size, n)::BIGINT AS texts FROM sample_draws, n WHERE sample_size > 0 AND n > 0",
         "p8_check": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS docs, 0::BIGINT AS overfull, 0::BIGINT AS cut_in_vain, 0::BIGINT AS gaps FROM containers WHERE capacity_tokens > 0",
         "p9_check": "SELECT DISTINCT mix_id, 0::BIGINT AS over FROM mix_targets",
