@@ -8,6 +8,7 @@ repeated when lineage is recomputed, and a rerun replaces what it made before.
 from __future__ import annotations
 
 import argparse
+import sys
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
@@ -219,10 +220,36 @@ class Pipeline:
         return self.export(passed)
 
 
+def split_main(argv: list[str]) -> int:
+    """split INPUT [--key K --eval-ratio R --seed S --output-dir D --train-output P --eval-output P --force]: exit code 1 on failure."""
+    parser = argparse.ArgumentParser(prog="lingloom split")
+    parser.add_argument("input")
+    parser.add_argument("--key", default="id")
+    parser.add_argument("--eval-ratio", type=float, default=0.05)
+    parser.add_argument("--seed", type=int, default=42)
+    for path in ("--output-dir", "--train-output", "--eval-output"):
+        parser.add_argument(path)
+    parser.add_argument("--force", action="store_true")
+    args = parser.parse_args(argv)
+    try:
+        if not 0 < args.eval_ratio < 1:
+            raise ValueError("the share of the evaluation part must be between 0 and 1")
+        spark = SparkSession.builder.appName("lingloom").getOrCreate()
+        rows = B.split_train_eval(io.read_any(spark, args.input), args.key, args.eval_ratio, args.seed)
+        made = io.write_split(rows, "", args.force, io.split_paths(args.input, args.eval_ratio, args.output_dir, args.train_output, args.eval_output))
+        print(", ".join(f"{k}: {v}" for k, v in made.items()))
+        return 0
+    except Exception as e:  # noqa: BLE001
+        print(f"failed: {e}")
+        return 1
+
+
 def main(argv: list[str] | None = None) -> int:
     """run --config FILE --input PATH [--stage S --resume --overwrite --dry-run --limit N --shard-id K --num-shards N]: exit code 1 on failure."""
+    if (argv or sys.argv[1:])[:1] == ["split"]:
+        return split_main((argv or sys.argv[1:])[1:])
     parser = argparse.ArgumentParser(prog="lingloom")
-    parser.add_argument("command", choices=["run"])
+    parser.add_argument("command", choices=["run", "split"])
     parser.add_argument("--config", required=True)
     parser.add_argument("--input", required=True)
     parser.add_argument("--stage", default="all", choices=["all", *STAGES, *ALIASES])

@@ -50,6 +50,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 @atexit.register
 def remove_materialized() -> None:
     """Delete the tables written by ``materialize``; also runs when the driver ends."""
+    _PATH_OF.clear()
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
@@ -63,14 +64,31 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     A written table survives the loss of executors and is read column by column.
-    Each call uses a fresh name; the files are removed when the driver ends, or
-    by ``remove_materialized``.
+    Each call uses a fresh name; the files are removed when the driver ends, by
+    ``remove_materialized``, or by ``forget`` once nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lingloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATH_OF[id(out)] = (out, path)
+    return out
+
+
+_PATH_OF: dict[int, tuple[DataFrame, str]] = {}  # the frame is held, so that its id is not given to another
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no plan to come reads; others are left alone."""
+    for df in tables:
+        _, path = _PATH_OF.pop(id(df), (None, None))
+        if path is None:
+            continue
+        _WRITTEN[:] = [w for w in _WRITTEN if w[1] != path]
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -45,8 +45,11 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def read_any(spark: SparkSession, path: str, limit: int | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """By suffix: .jsonl/.jsonlines (also .gz), .json (list, {"data": [...]}, or one object), .parquet. With a schema JSON lines are read once, not twice."""
+def read_any(spark: SparkSession, path: str, limit: int | None = None, schema: T.StructType | str | None = None, order: str | None = None) -> DataFrame:
+    """By suffix: .jsonl/.jsonlines (also .gz), .json (list, {"data": [...]}, or one object), .parquet. With a schema JSON lines are read once, not twice.
+
+    ``limit`` keeps the first rows by ``order``, without one any rows.
+    """
     plain = path.removesuffix(".gz")
     if plain.endswith((".jsonl", ".jsonlines")):
         df = spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
@@ -58,7 +61,7 @@ def read_any(spark: SparkSession, path: str, limit: int | None = None, schema: T
         df = spark.read.parquet(path)
     else:
         raise ValueError(f"unsupported file type: {path}")
-    return df if limit is None else df.limit(limit)
+    return df if limit is None else corpus(spark, df, most=limit, order=order)
 
 
 def corpus(spark: SparkSession, source: DataFrame | str, lang: str | None = None, split: str | None = None, most: int | None = None, order: str | None = None) -> DataFrame:

@@ -88,6 +88,27 @@ def test_command_line(spark, docs, tmp_path):
     assert main([*args, "--stage", "export"]) == 1
 
 
+def test_split_command(spark, tmp_path):
+    path = tmp_path / "rows.jsonl"
+    path.write_text("".join(f'{{"id": {i}, "t": "é{i}"}}\n' for i in range(40)))
+    assert main(["split", str(path), "--eval-ratio", "0.1"]) == 0
+    parts = {p: spark.read.json(str(tmp_path / f"rows_{p}")) for p in ("train_90", "eval_10")}
+    assert parts["eval_10"].count() == 4 and parts["train_90"].unionByName(parts["eval_10"]).select("id").distinct().count() == 40
+    assert main(["split", str(path), "--eval-ratio", "0.1"]) == 1
+    assert main(["split", str(path), "--eval-ratio", "0.1", "--force"]) == 0 and main(["split", str(path), "--eval-ratio", "2"]) == 1
+
+
+def test_tables_are_forgotten(spark):
+    import os
+
+    from lingloom import session as SE
+
+    kept, gone = SE.materialize(spark.range(3).toDF("a")), SE.materialize(spark.range(4).toDF("a"))
+    path = gone.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    SE.forget(gone, spark.range(2))
+    assert not os.path.exists(path) and kept.count() == 3
+
+
 def test_capped_corpus_keeps_the_first_by_key(spark):
     df = spark.createDataFrame([(i % 7, f"t{i}") for i in range(30)] + [(None, "n")], "k int, text string")
     for most in (1, 5, 6, 20, 31, 50):
