@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lingloom.llm import language
 from lingloom.llm.tally import tally
-from lingloom.session import materialize
+from lingloom.session import forget, materialize
 
 
 @dataclass(frozen=True)
@@ -529,10 +529,12 @@ def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
         most = config.core * np.array([sigma.get(int(x), 0.3) for x in np.floor(np.log2(c.n))])
         return np.isnan(d) | (d <= most)
 
+    forget(found)
     found = measured(tokens, learn(tokens, copies, config, near_prose), config, usual_grammar)
     scored = with_divergence(found, window_baselines(found, config))
     fitted = materialize(rank_frequency(scored))
     far = materialize(extremes(fitted, divergence_spread(fitted), config))
     odds = log_odds_column(fit_mixture(far, config), config.tail)
+    forget(tokens, found, fitted)
     posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))))
     return far.withColumn("posterior", posterior).where(F.col("posterior") >= config.cutoff).select("page", "posterior", "divergence", "slope_z", "residual_z")
