@@ -499,7 +499,8 @@ def keyword_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     judged once; of repeated rows of a key the longest text counts. A null
     language, or one that is none, is a language of its own. Where the script of
     a page has too little prose in the data, its divergence is null and only its
-    curve speaks.
+    curve speaks. A page of a few tokens that prose never has side by side counts
+    as no prose.
     """
     pages = docs.select(F.col(key).alias("page"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     tokens = tokenized(pages, config)

@@ -174,6 +174,13 @@ def test_copies_do_not_make_keywords_prose(spark):
     assert {r["page"] for r in K.keyword_pages(docs(spark, rows)).collect()} == {1000 + i for i in range(60)}
 
 
+def test_long_and_odd_pages(spark):
+    rows = [(i, prose_page(i), "en", "a") for i in range(80)] + [(1000, prose_page(7, 4000), "en", "a"), (1001, keyword_page(5, 3000), "no code", None), (1002, "!" * 5000, None, None), (1003, "😀\ue000\x00", "en", ""), (1004, "word", "en", "a"), (None, keyword_page(9), "en", "a")]
+    got = {r["page"] for r in K.keyword_pages(docs(spark, rows + rows).withColumn("ids", F.lit("clash"))).collect()}
+    assert {1001, None} <= got and not got & {*range(80), 1000}
+    assert got - {1001, None} <= {1002, 1003, 1004}  # a few tokens that prose never has side by side count as no prose
+
+
 def test_curve_of_a_page_is_its_least_squares_line(spark):
     import numpy as np
 
