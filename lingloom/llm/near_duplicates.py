@@ -300,6 +300,7 @@ def pairs_of(group: np.ndarray, depth: np.ndarray, text: np.ndarray, sizes: np.n
     label = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
     order = np.lexsort((slack, label * many + band))
     slack, n, text = slack[order], n[order], text[order]
+    remains = n - depth[order]
     place = (label * many + band)[order]
     wide = 4.0 * (np.abs(slack).max(initial=0.0) + 1.0)
     keys = place * wide + slack
@@ -319,6 +320,9 @@ def pairs_of(group: np.ndarray, depth: np.ndarray, text: np.ndarray, sizes: np.n
                 b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[at:stop], m)
                 near = (np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9) & (idents[text[a]] != idents[text[b]])
                 a, b = a[near], b[near]
+                # what is left below the shared element has to suffice for the overlap
+                enough = np.minimum(remains[a], remains[b]) >= t / (1 + t) * (n[a] + n[b]) - 1e-9
+                a, b = a[enough], b[enough]
                 bound = c * (n[a] + n[b]) + 1e-9
                 for wa in held.table:
                     for wb in held.table:
