@@ -7,8 +7,9 @@ tree is cut at that depth and spread over the cluster by element: the branches
 that hang below one element meet in one group. In a group a pair is followed only
 while the elements passed by (its depths in both branches) leave enough to reach
 the threshold, which a sort by slack turns into a range; a parity bitmap of each
-set then bounds what can remain below. Nothing is dropped that could still reach
-the threshold. Survivors are verified on the texts: the candidates of a record
+set then bounds what can remain below. Bitmaps and sizes are stored once a text,
+beside it, and read by the tasks; only numbers of texts and depths are shuffled.
+Nothing is dropped that could still reach the threshold. Survivors are verified on the texts: the candidates of a record
 form a tree whose walk shares the overlap of common beginnings and leaves a
 branch as soon as the remaining lengths cannot suffice.
 """
@@ -21,11 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingloom.llm.tally import tally
-from lingloom.session import materialize
+from lingloom.session import materialize, release
 
 
 @dataclass(frozen=True)
@@ -137,85 +140,107 @@ def fold(words: np.ndarray, bits: int) -> np.ndarray:
     return words
 
 
-PACKED = ["element", "block", "depth", "text", "id", "n", "words", "bitmap"]
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: zeros come together and compress."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def tree_prefixes(texts: DataFrame, counts, hot: dict[int, int], parts: int, config: NearDuplicateConfig) -> DataFrame:
-    """(part, element, block, depth, text, id, n, words, bitmap): each set cut at the depth at which a partner must have met it.
+def from_planes(raw: memoryview, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, modulo the width of their kind; ``np.cumsum`` in that kind undoes it."""
+    return np.concatenate((x[:1], x[1:] - x[:-1]))
+
+
+KINDS = [np.uint32, np.int32, np.uint16, np.uint16, np.int64]  # of key, count, text, depth, id
+CODEC = "zstd"
+
 
-    The index is spread by element over ``parts``. A row packs what some texts
-    put into one part: element, block and depth of each entry and the text it
-    belongs to, then number, size and bitmap of each of these texts once.
-    ``block`` is 0 but for hot elements: their records fall into blocks, and
-    every pair of blocks is a group of its own.
+def packed_postings(key: np.ndarray, text: np.ndarray, depth: np.ndarray, ident: np.ndarray) -> tuple[int, bytes]:
+    """Length before compression and bytes of entries sorted by key, then text; ``text`` points into ``ident``."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    wide = depth.max() >= 1 << 16
+    raw = [planes(steps(key[first])), planes(np.diff(np.append(first, len(key))).astype(np.int32)), planes(steps(text.astype(np.uint16))), planes(depth.astype(np.int32 if wide else np.uint16)), planes(steps(ident))]
+    whole = np.array([*map(len, raw), wide], dtype=np.int64).tobytes() + b"".join(raw)
+    return len(whole), pa.compress(whole, codec=CODEC, asbytes=True)
+
+
+def unpacked_postings(size: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, depth, id) of each entry."""
+    whole = memoryview(pa.decompress(data, decompressed_size=size, codec=CODEC, asbytes=True))
+    head = np.frombuffer(whole[:48], dtype=np.int64).tolist()
+    at = np.cumsum([48, *head[:5]]).tolist()
+    kinds = [*KINDS[:3], np.int32 if head[5] else np.uint16, KINDS[4]]
+    key, count, text, depth, ident = (from_planes(whole[i:j], kind) for i, j, kind in zip(at, at[1:], kinds))
+    return np.repeat(np.cumsum(key, dtype=np.uint32), count), depth.astype(np.int32), np.cumsum(ident)[np.cumsum(text, dtype=np.uint16)]
+
+
+def tree_prefixes(texts: DataFrame, counts, hot: dict[int, int], parts: int, config: NearDuplicateConfig) -> DataFrame:
+    """(part, size, data): each set cut at the depth at which a partner must have met it.
+
+    The index is spread by element over ``parts``. A row packs the entries that
+    some texts put into one part: 32 bits of the element's hash, which a part
+    seldom gives to two elements and then only makes pairs that are verified in
+    vain, and for each the texts and depths. Elements of slots that count one
+    text have no partner and are left out, depths count them. Records of hot
+    elements fall into blocks, and every pair of blocks is a group of its own.
     """
     k, slots, t, most = config.gram, config.slots, config.threshold, config.block
-    schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in PACKED]])
+    at_once = min(config.texts_at_once, 1 << 16)
+    schema = pa.schema([("part", pa.int32()), ("size", pa.int64()), ("data", pa.binary())])
     shipped = texts.sparkSession.sparkContext.broadcast((np.array(sorted(hot), dtype=np.int64), np.array([hot[x] for x in sorted(hot)], dtype=np.int64)))
 
-    def packed(entries, numbers, sizes, maps):
-        element, block, depth, text = (np.concatenate(c) for c in zip(*entries))
-        ident, n = np.array(numbers, dtype=np.int64), np.array(sizes, dtype=np.int32)
-        words = np.array([len(m) // 8 for m in maps], dtype=np.int64)
-        part = ((_mixed(element.view(np.uint64)) ^ _mixed(block.view(np.uint64))) % np.uint64(parts)).astype(np.int32)
-        order = np.lexsort((text, part))
-        element, block, depth, text, part = element[order], block[order], depth[order], text[order], part[order]
+    def packed(entries, numbers):
+        key, depth = (np.concatenate([e[c] for e in entries]) for c in (0, 1))
+        text = np.repeat(np.arange(len(entries)), [len(e[0]) for e in entries])
+        ident = np.array(numbers, dtype=np.int64)
+        place = (key % np.uint64(parts) << np.uint64(32)) | (key >> np.uint64(32))
+        order = np.argsort(place, kind="stable")
+        place, text, depth = place[order], text[order], depth[order]
+        part, key = (place >> np.uint64(32)).astype(np.int64), (place & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-        rows: list[list] = [[] for _ in schema.names]
-        for a, b in zip(cut[:-1], cut[1:]):
-            there, local = np.unique(text[a:b], return_inverse=True)
-            row = (element[a:b], block[a:b] if block[a:b].any() else block[:0], narrow(depth[a:b]), narrow(local.astype(np.int32)), ident[there], n[there], words[there])
-            for c, v in zip(rows, (int(part[a]), *[x.tobytes() for x in row], b"".join([maps[x] for x in there.tolist()]))):
-                c.append(v)
-            if len(rows[0]) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema)], schema=schema)
-                rows = [[] for _ in schema.names]
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema)], schema=schema)
+        for at in range(0, len(cut) - 1, 64):
+            rows = [(int(part[a]), *packed_postings(key[a:b], text[a:b], depth[a:b], ident)) for a, b in zip(cut[at : at + 64], cut[at + 1 : at + 65])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches):
         seen = counts.value
         hot_element, hot_count = shipped.value
-        entries, numbers, sizes, maps, held = [], [], [], [], 0
+        entries, numbers, held = [], [], 0
         for b in batches:
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = gram_hashes(text, k)
                 n = len(h)
                 if not n:
                     continue
-                order = np.lexsort((h, seen[_slot(h, slots)]))[: n - math.ceil(t * n) + 1]
-                element = h[order].view(np.int64)
-                depth = np.arange(len(order), dtype=np.int32)
-                mine = np.zeros(len(order), dtype=np.int64)
+                often = seen[_slot(h, slots)]
+                order = np.lexsort((h, often))[: n - math.ceil(t * n) + 1]
+                depth = np.flatnonzero(often[order] > 1).astype(np.int32)
+                if not len(depth):
+                    continue
+                element = h[order[depth]]
+                key = _mixed(element)
                 if len(hot_element):
-                    at = np.minimum(np.searchsorted(hot_element, element), len(hot_element) - 1)
-                    blocks = np.where(hot_element[at] == element, -(-hot_count[at] // most), 1)
-                    rep = np.repeat(np.arange(len(order)), blocks)
+                    at = np.minimum(np.searchsorted(hot_element, element.view(np.int64)), len(hot_element) - 1)
+                    blocks = np.where(hot_element[at] == element.view(np.int64), -(-hot_count[at] // most), 1)
+                    rep = np.repeat(np.arange(len(depth)), blocks)
                     other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    own = (abs(ident) % blocks)[rep]
-                    mine = np.where(blocks[rep] > 1, (np.minimum(own, other) << 31) + np.maximum(own, other), 0)
-                    element, depth = element[rep], depth[rep]
-                entries.append((element, mine, depth, np.full(len(element), len(numbers), dtype=np.int32)))
+                    own = (ident % blocks)[rep]
+                    mine = np.where(blocks[rep] > 1, (np.minimum(own, other) << 31) + np.maximum(own, other) + 1, 0)
+                    key, depth = _mixed(key[rep] ^ _mixed(mine.view(np.uint64))), depth[rep]
+                entries.append((key, depth))
                 numbers.append(ident)
-                sizes.append(n)
-                maps.append(parity(h, bits_for(n)).tobytes())
-                held += len(element)
-                if len(numbers) >= config.texts_at_once or held >= config.part_entries:
-                    yield from packed(entries, numbers, sizes, maps)
-                    entries, numbers, sizes, maps, held = [], [], [], [], 0
+                held += len(key)
+                if len(numbers) >= at_once or held >= config.part_entries:
+                    yield from packed(entries, numbers)
+                    entries, numbers, held = [], [], 0
         if entries:
-            yield from packed(entries, numbers, sizes, maps)
-
-    return texts.select("id", "text").mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in PACKED))
-
+            yield from packed(entries, numbers)
 
-def narrow(x: np.ndarray) -> np.ndarray:
-    """32-bit numbers in 16 bits where they fit; ``widened`` tells by the length."""
-    return x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x
-
-
-def widened(raw: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * count else np.int32).astype(np.int32)
+    return texts.select("id", "text").mapInArrow(run, "part int, size long, data binary")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -225,27 +250,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Part:
-    """One part of the index, its entries sorted by element and block; ``text`` points into number, size and bitmap of the texts."""
+class Stored:
+    """Number, size and bitmap of texts, in the order of their numbers."""
 
-    element: np.ndarray
-    block: np.ndarray
-    depth: np.ndarray
-    text: np.ndarray
     id: np.ndarray
     n: np.ndarray
     bitmaps: Bitmaps
 
     @classmethod
-    def of_rows(cls, rows: list[tuple]) -> Part:
-        element, block, ident, n, words, data = ([np.frombuffer(r[k], dtype=d) for r in rows] for k, d in ((0, np.int64), (1, np.int64), (4, np.int64), (5, np.int32), (6, np.int64), (7, np.uint64)))
-        depth, text = ([widened(r[k], len(e)) for r, e in zip(rows, element)] for k in (2, 3))
-        block = [b if len(b) else np.zeros(len(e), dtype=np.int64) for b, e in zip(block, element)]
-        first = np.cumsum([0, *map(len, ident)])[:-1]
-        text = np.concatenate([x.astype(np.int64) + f for x, f in zip(text, first.tolist())])
-        element, block, depth, ident, n, words, data = (np.concatenate(c) for c in (element, block, depth, ident, n, words, data))
-        order = np.lexsort((block, element)) if block.any() else np.argsort(element, kind="stable")
-        return cls(element[order], block[order], depth[order], text[order], ident, n.astype(np.int64), Bitmaps(data, np.cumsum(words) - words, words))
+    def read(cls, files: list[str], wanted: np.ndarray | None) -> Stored:
+        """From the Parquet files of the texts: those whose numbers are ``wanted`` (sorted), or all."""
+        idents, sizes, words, data = [], [], [], []
+        for name in files:
+            system, path = pa.fs.FileSystem.from_uri(name)
+            with pq.ParquetFile(system.open_input_file(path)) as file:
+                for b in file.iter_batches(65_536, columns=["id", "n", "bitmap"], use_threads=False):
+                    if wanted is not None:
+                        own = b.column("id").to_numpy()
+                        at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+                        b = b.take(pa.array(np.flatnonzero(wanted[at] == own)))
+                    if not b.num_rows:
+                        continue
+                    idents.append(b.column("id").to_numpy())
+                    sizes.append(b.column("n").to_numpy())
+                    d, _, w = Bitmaps.parts_of(b.column("bitmap"))
+                    data.append(d)
+                    words.append(w)
+        ident, n, words, data = (np.concatenate([*x, np.zeros(0, dtype=kind)]) for x, kind in ((idents, np.int64), (sizes, np.int32), (words, np.int64), (data, np.uint64)))
+        start = np.cumsum(words) - words
+        order = np.argsort(ident, kind="stable")
+        return cls(ident[order], n[order].astype(np.int64), Bitmaps(data, start[order], words[order]))
 
 
 class Bitmaps:
@@ -263,8 +297,13 @@ class Bitmaps:
 
     @classmethod
     def of_column(cls, column: pa.Array) -> Bitmaps:
+        return cls(*cls.parts_of(column))
+
+    @staticmethod
+    def parts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of all bitmaps, where each begins, and how many it has."""
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        return cls(np.frombuffer(column.buffers()[2], dtype=np.uint8, count=offsets[-1])[offsets[0] :].view(np.uint64), (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8)
+        return np.frombuffer(column.buffers()[2], dtype=np.uint8, count=offsets[-1])[offsets[0] :].view(np.uint64), (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8
 
     @classmethod
     def of_bytes(cls, maps: list[bytes]) -> Bitmaps:
@@ -338,17 +377,25 @@ def pairs_of(group: np.ndarray, depth: np.ndarray, text: np.ndarray, sizes: np.n
             at = stop
 
 
-def candidate_pairs(prefixes: DataFrame, config: NearDuplicateConfig) -> DataFrame:
-    """Distinct (a, b), a < b, of record ids whose sets may reach the threshold."""
+def candidate_pairs(prefixes: DataFrame, texts: DataFrame, config: NearDuplicateConfig) -> DataFrame:
+    """Distinct (a, b), a < b, of record ids whose sets may reach the threshold. ``texts`` is a table of ``materialize`` with id, n and bitmap."""
     t, chunk = config.threshold, config.chunk
-
-    def pairs(rows: list[tuple]):
-        x = Part.of_rows(rows)
-        new = np.flatnonzero(np.concatenate(([True], (x.element[1:] != x.element[:-1]) | (x.block[1:] != x.block[:-1]))))
-        size = np.diff(np.append(new, len(x.element)))
+    files = texts.inputFiles()
+    # so many bitmaps a task holds; of larger tables it reads those of one part at a time
+    whole = texts.count() <= config.part_entries
+
+    def pairs(rows: list[tuple], all_texts: Stored | None):
+        key, depth, ident = (np.concatenate(c) for c in zip(*(unpacked_postings(*r) for r in rows)))
+        order = np.argsort(key, kind="stable")
+        key, depth, ident = key[order], depth[order], ident[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(new, len(key)))
         kept = np.repeat(size > 1, size)
-        group = np.repeat(np.arange(len(size)), size)[kept]
-        found = list(pairs_of(group, x.depth[kept], x.text[kept], x.n, x.id, x.bitmaps, t, chunk))
+        group, depth, ident = np.repeat(np.arange(len(size)), size)[kept], depth[kept], ident[kept]
+        if not len(group):
+            return
+        held = all_texts or Stored.read(files, np.unique(ident))
+        found = list(pairs_of(group, depth, np.searchsorted(held.id, ident), held.n, held.id, held.bitmaps, t, chunk))
         if found:
             a, b = np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
             both = np.unique(np.stack([a, b], axis=1), axis=0)
@@ -356,16 +403,18 @@ def candidate_pairs(prefixes: DataFrame, config: NearDuplicateConfig) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 50_000, 0]), pa.array(both[at : at + 50_000, 1])], names=["a", "b"])
 
     def run(batches):
-        part, rows = None, []
+        part, rows, all_texts = None, [], None
         for b in batches:
             for at, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if whole and all_texts is None:
+                    all_texts = Stored.read(files, None)
                 if at != part and rows:
-                    yield from pairs(rows)
+                    yield from pairs(rows, all_texts)
                     rows = []
                 part = at
                 rows.append(tuple(row))
         if rows:
-            yield from pairs(rows)
+            yield from pairs(rows, all_texts)
 
     return prefixes.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long").distinct()
 
@@ -425,6 +474,10 @@ def verify(candidates: DataFrame, reps: DataFrame, counts, config: NearDuplicate
     as one tree.
     """
     k, slots, t = config.gram, config.slots, config.threshold
+    # only the texts of candidates move, where their list can be broadcast
+    ids = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+    if ids.limit(config.few + 1).count() <= config.few:
+        reps = reps.join(F.broadcast(ids), "id", "left_semi")
     x = reps.select(F.col("id").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     y = reps.select(F.col("id").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
     # b's text first; that of a comes last, by the key that the candidates are then spread by
@@ -480,24 +533,31 @@ def near_duplicates(df: DataFrame, key: str = "source_id", text: str = "source_t
         for b in batches:
             yield b.set_column(1, "text", pa.array([normal_text(t) for t in b.column(1).to_pylist()], type=pa.string()))
 
+    def measured(batches):
+        for b in batches:
+            n, maps = [], []
+            for t in b.column(2).to_pylist():
+                h = gram_hashes(t, config.gram)
+                n.append(len(h))
+                maps.append(parity(h, bits_for(len(h))).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, type=pa.int32()), pa.array(maps, type=pa.binary())], names=[*b.schema.names, "n", "bitmap"])
+
     normed = usable.mapInArrow(normal, "key string, text string")
-    hashed = normed.withColumn("h", F.md5(F.encode("text", "UTF-8")))
+    hashed = normed.withColumn("h", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     classes = hashed.groupBy("h").agg(F.min("key").alias("rep"), F.min("text").alias("text"))
-    seed = 0
-    while True:
-        reps = materialize(classes.select("h", "rep", "text", F.xxhash64("rep", F.lit(seed)).alias("id")))
-        # two classes with one number would lose their pair: then all get other numbers
-        if reps.groupBy("id").count().where("count > 1").isEmpty():
-            break
-        seed += 1
+    # numbers are those of partition and row as written, so no two classes have the same
+    reps = materialize(classes.mapInArrow(measured, "h binary, rep string, text string, n int, bitmap binary").withColumn("id", F.monotonically_increasing_id()))
+    release(spark)
+    # keys by the hash of their text; a key lost with its text cannot occur, as both come from one row
+    members = materialize(hashed.select("key", "h").distinct().join(reps.select("h", "rep"), "h").select("key", "rep"))
+    release(spark)
     counts = spark.sparkContext.broadcast(frequencies(reps, config))
     # an upper bound of the entries, from lengths alone
     entries = reps.agg(F.sum(F.length("text") * (1 - config.threshold) + 2)).first()[0] or 0
     parts = max(1, math.ceil(entries / config.part_entries))
-    candidates = materialize(candidate_pairs(tree_prefixes(reps, counts, hot_elements(reps, counts, config), parts, config), config))
+    candidates = materialize(candidate_pairs(tree_prefixes(reps, counts, hot_elements(reps, counts, config), parts, config), reps, config))
+    release(spark)
     links = verify(candidates, reps, counts, config)
-    # keys by the hash of their text; a key lost with its text cannot occur, as both come from one row
-    members = hashed.select("key", "h").distinct().join(reps.select("h", "rep"), "h").select("key", "rep")
     return NearDuplicates(members, links)
 
 

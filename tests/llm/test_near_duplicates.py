@@ -92,3 +92,34 @@ def test_empty_and_hostile_input(spark):
     rows = [("a", " " * 300), ("b", "\n" * 300), ("c", "x" * 200_000), ("d", "x" * 199_999 + "y")]
     got = {(r["a"], r["b"]) for r in N.expand(N.near_duplicates(spark.createDataFrame(rows, "source_id string, source_text string"))).collect()}
     assert ("c", "d") not in got and ("a", "b") in got  # c has one n-gram, d five; two blank texts are copies
+
+
+def test_like_brute_force_when_a_task_cannot_hold_all_bitmaps(spark):
+    rows = made(6, 40) + [("long", " ".join(f"word{k}" for k in range(500)))]
+    df = spark.createDataFrame(rows, "source_id string, source_text string")
+    found = N.near_duplicates(df, config=N.NearDuplicateConfig(part_entries=len(rows) // 3, texts_at_once=7))
+    assert {(r["a"], r["b"]) for r in N.expand(found).collect()} == brute(rows)
+
+
+def test_index_does_not_grow_with_its_parts(spark):
+    rows = [(k, N.normal_text(x)) for k, (_, x) in enumerate(made(7, 300))]
+    texts = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    config = N.NearDuplicateConfig()
+    counts = spark.sparkContext.broadcast(N.frequencies(texts, config))
+
+    def size(parts):
+        index = N.tree_prefixes(texts, counts, {}, parts, config)
+        return index.select(sum(F.octet_length(c) for c, kind in index.dtypes if kind == "binary").alias("n")).agg(F.sum("n")).first()[0] / len(rows)
+
+    one, many = size(1), size(50)
+    assert many < 2 * one
+    assert one < 450  # bytes a text
+
+
+def test_postings_are_packed_without_loss():
+    rng = np.random.default_rng(8)
+    for deepest in (50, 70_000):
+        key = np.sort(rng.integers(0, 1 << 32, 3000, dtype=np.uint32) // 7)
+        text, depth, ident = rng.integers(0, 400, 3000), rng.integers(0, deepest, 3000).astype(np.int32), np.cumsum(rng.integers(1, 1 << 40, 400))
+        got = N.unpacked_postings(*N.packed_postings(key, text, depth, ident))
+        assert all((x == y).all() for x, y in zip(got, (key, depth, ident[text])))
