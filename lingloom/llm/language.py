@@ -73,12 +73,12 @@ END = "\ue011"
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """fit_rows: labelled records a language, at most, from which word counts are learned (a bounded sample).
+    """fit_rows: labelled records a language, at most, from which word counts are learned (a bounded sample); None: all.
     fit_words: words kept of each language. switch: price of a change of language, in nats.
     declared_trust: chance that a declared label is right. host_weight: records that the parent's prior counts as.
     heavy_rows: records from which a host is split; few: heavy hosts up to which their list is broadcast."""
 
-    fit_rows: int = 500
+    fit_rows: int | None = 500
     fit_words: int = 20_000
     least_rows: int = 4
     switch: float = 4.0
@@ -263,22 +263,27 @@ def best_language(packed: pd.Series) -> pd.Series:
 
 
 def fit_words(records: DataFrame, config: LanguageConfig = LanguageConfig()) -> dict[str, list[float]]:
-    """Word log-likelihoods learned from a bounded sample of labelled records.
+    """Word log-likelihoods learned from labelled records: all, or a bounded sample.
 
     Of each declared language the ``fit_rows`` records with the lowest hash are
-    taken; those whose function words speak for another language are dropped as
+    taken, or every record (then records must be distinct); those whose function words speak for another language are dropped as
     mislabelled. Words found in at least ``least_rows`` of a language's records
     are counted, the commonest ``fit_words`` are kept. Names fall out that way.
     """
     spark = records.sparkSession
-    narrow = records.select("origin", "rec_key", normal_code(F.col("declared")).alias("code")).where(F.col("code").isin(LATIN + ["ru", "uk", "bg"]))
-    w = Window.partitionBy("code").orderBy(F.xxhash64("origin", "rec_key"), "origin", "rec_key")
-    chosen = narrow.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= config.fit_rows).select("origin", "rec_key", "code").distinct()
-    sample = records.join(F.broadcast(chosen), ["origin", "rec_key"]).select("origin", "rec_key", "text", "code").dropDuplicates(["origin", "rec_key"])
+    code = normal_code(F.col("declared"))
+    fitted = LATIN + ["ru", "uk", "bg"]
+    if config.fit_rows is None:
+        sample = records.select("origin", "rec_key", "text", code.alias("code")).where(F.col("code").isin(fitted))
+    else:
+        narrow = records.select("origin", "rec_key", code.alias("code")).where(F.col("code").isin(fitted))
+        w = Window.partitionBy("code").orderBy(F.xxhash64("origin", "rec_key"), "origin", "rec_key")
+        chosen = narrow.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= config.fit_rows).select("origin", "rec_key", "code").distinct()
+        sample = records.join(F.broadcast(chosen), ["origin", "rec_key"]).select("origin", "rec_key", "text", "code").dropDuplicates(["origin", "rec_key"])
     seeds = spark.sparkContext.broadcast(seed_words())
-    scored = score_sentences(sample.select("origin", "rec_key", F.coalesce("text", F.lit("")).alias("_m")), seeds, "_m")
-    said = scored.select("origin", "rec_key", F.pandas_udf(best_language, T.StringType())("packed").alias("said"))
-    clean = materialize(sample.join(said, ["origin", "rec_key"])).where(F.col("said").isNull() | (F.col("said") == F.col("code")))
+    scored = score_sentences(sample.withColumn("_m", F.coalesce("text", F.lit(""))), seeds, "_m")
+    said = scored.select("code", "text", F.pandas_udf(best_language, T.StringType())("packed").alias("said"))
+    clean = materialize(said.where(F.col("said").isNull() | (F.col("said") == F.col("code"))))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1)))
     counted = clean.select("code", F.explode(tokens).alias("word")).groupBy("code", "word").count().where(F.col("count") >= config.least_rows)
     top = Window.partitionBy("code").orderBy(F.desc("count"), "word")

@@ -87,3 +87,25 @@ def test_planted_defects_are_what_they_say():
         assert d != "copy" or target == source
         assert d != "truncated" or not target.endswith((".", "!"))
         assert d != "wrong_language" or (want == "fr") == (target != FR)
+
+
+def test_words_and_cutoffs_come_from_all_pairs(spark, monkeypatch):
+    final, _ = table(spark)
+    final = final.unionByName(final.withColumn("row_id", F.col("row_id") + 10_000))
+    asked = []
+    learn = L.fit_words
+    monkeypatch.setattr(L, "fit_words", lambda records, config=L.LanguageConfig(): asked.append(config.fit_rows) or learn(records, config))
+    votes = D.votes_of_pairs(final)
+    assert asked == [None]
+    pairs = final.dropDuplicates(["row_id"])
+    n = {(r["defect"], r["positive"]): r["n"] for r in votes.cases.groupBy("defect", "positive").agg(F.sum("n").alias("n")).collect()}
+    full = pairs.where("source_text != '' and target_text != ''").count()
+    assert full > 800 and n["copy", True] == n["empty", True] == full
+    assert n["refusal", False] == sum(n[d, True] for d in ("copy", "empty", "truncated", "wrong_language") if (d, True) in n)
+
+
+def test_words_are_counted_in_every_record(spark):
+    rows = [("t", str(i), "der Hund und die Katze sind nicht hier" + (" Kupferkessel" if i % 5 < 2 else ""), "de") for i in range(1500)]
+    words = L.fit_words(spark.createDataFrame(rows, "origin string, rec_key string, text string, declared string"), L.LanguageConfig(fit_rows=None))
+    other = next(k for k, c in enumerate(L.LANGUAGES) if c != "de")
+    assert np.isclose(words["kupferkessel"][other], np.log(0.5 / 100 / (600 / 1500)), atol=1e-9)
